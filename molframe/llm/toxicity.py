@@ -44,7 +44,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(feats).astype(np.int64)
 
 
-def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 0.3, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.1, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) that are not zero."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
