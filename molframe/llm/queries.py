@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from molframe.llm import langid, mixing, simhash, toxicity
+from molframe.llm import langid, mixing, sentencepiece, simhash, toxicity
 
 
 def queries():
     return {
+        "op1_sentencepiece": sentencepiece.op1,
         "op6_simhash_near_dedup": simhash.op6,
         "op7_mixing": mixing.op7,
         "op8_language_id": langid.op8,
