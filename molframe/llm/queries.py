@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from molframe.llm import langid, mixing, sentencepiece, simhash, toxicity
+from molframe.llm import fingerprints, langid, mixing, sentencepiece, simhash, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op7_mixing": mixing.op7,
         "op8_language_id": langid.op8,
         "op9_toxicity": toxicity.op9,
+        "op10_fingerprints": fingerprints.op10,
     }
 
 
