@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from molframe.llm import fingerprints, langid, mixing, sentencepiece, simhash, toxicity
+from molframe.llm import fingerprints, langid, mixing, rollups, sentencepiece, simhash, toxicity, urlfilter
 
 
 def queries():
     return {
         "op1_sentencepiece": sentencepiece.op1,
+        "op4_token_counts": rollups.op4,
+        "op5_url_filters": urlfilter.op5,
         "op6_simhash_near_dedup": simhash.op6,
         "op7_mixing": mixing.op7,
         "op8_language_id": langid.op8,
@@ -17,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {"op4_token_counts": rollups.OP4_SQL, "op5_url_filters": urlfilter.OP5_SQL, "op7_mixing": mixing.OP7_SQL}
