@@ -65,14 +65,20 @@ def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float
     return keep, w[keep], float(-zb / rate(nb))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", positives: int = 2500, negatives: int = 5000) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on the rows that have a label; a null text counts as empty. Without a row the weights are empty and every score is 0.5."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), (F.col(label_col) > 0).cast("int").alias("y"))
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    u = F.xxhash64("i", F.lit("toxicity"))
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", positives: int = 2500, negatives: int = 5000) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fit on a hash-sampled share of the ids in `labels` whose expected size `positives` and `negatives` bound.
+
+    Contradictory labels of an id: toxic wins; null labels and null ids are ignored; a null text counts as
+    empty. The sampled ids are broadcast (their number is bounded), so texts move only if sampled. Without
+    a row the weights are empty and every score is 0.5."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg((F.max(label_col) > 0).cast("int").alias("y"))
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    u = F.xxhash64(F.col("i").cast("string"), F.lit("toxicity"))
     part = F.pmod(u, F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("y") == 1, min(1.0, positives / max(1, sizes.get(1, 0)))).otherwise(min(1.0, negatives / max(1, sizes.get(0, 0))))
-    picked = rows.where(part < share).select("t", "y", u.alias("u")).repartition(1).sortWithinPartitions("u", "t")
+    ids = known.where(part < share).select("i", "y", u.alias("u"))
+    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    picked = rows.join(F.broadcast(ids), "i").select("t", "y", "u").repartition(1).sortWithinPartitions("u", "t")
 
     def train(batches):
         examples = []
@@ -117,13 +123,12 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col:
     return rows.mapInArrow(run, f"{schema}, score double").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents outside the held-out fold; contradictory labels of an id: toxic wins."""
-    y = labels.where(F.col("toxic").isNotNull() & (fold("doc_id") != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where(fold("doc_id") != 0).select("doc_id", "text").join(y, "doc_id")
+def seen(labels: DataFrame) -> DataFrame:
+    """Labels outside the held-out fold."""
+    return labels.select("doc_id", "toxic").where(fold("doc_id") != 0)
 
 
 def op9(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    model = fit(docs, seen(table(spark, sf_dir, "labels")))
     return score(docs, model).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
