@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from molframe.llm import fingerprints, langid, lm, mixing, rollups, sentencepiece, simhash, toxicity, urlfilter
+from molframe.llm import fingerprints, langid, lm, media, mixing, rollups, sentencepiece, simhash, toxicity, urlfilter
 
 
 def queries():
     return {
         "op1_sentencepiece": sentencepiece.op1,
+        "op2_media": media.op2,
         "op3_lm_scoring": lm.op3,
         "op4_token_counts": rollups.op4,
         "op5_url_filters": urlfilter.op5,
