@@ -23,6 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def lean(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand rows to Python in batches of at most `rows`: a batch of whole texts then needs little memory on either side.
+
+    A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+#: What operators keep in a reused Python worker, by operator: a function that lets go of it.
+KEPT_BY: dict = {}
+
+
+def only(name: str) -> None:
+    """Called in a task: let go of what other operators keep in this worker."""
+    for k, let_go in KEPT_BY.items():
+        if k != name:
+            let_go()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molframe.llm.common import fold, slices, text_buffers
+from molframe.llm.common import fold, lean, only, slices, text_buffers
 
 DIMS = 8192
-BLOCK_BYTES = 1 << 21
-BLOCK_ROWS = 384
+BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 192
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -104,6 +104,7 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
     `per_language` bounds the expected number of rows of a language that reach the driver (as sparse
     vectors of at most DIMS cells). Rows with null texts or labels are ignored; with no row left the
     model has no centroid and every text is rejected."""
+    lean(train.sparkSession)
     rows = train.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l"))
     sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
@@ -153,19 +154,22 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: t
     Null, empty and letterless texts: lang_pred `und`, score 0, rejected. A text whose cosine is below
     the model's threshold is rejected too but keeps the name of the nearest language."""
     spark = df.sparkSession
+    lean(spark)
     held = spark.sparkContext.broadcast(model)  # DIMS * (1 + centroids * languages) floats
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    rows = df.select(*kept, letters, F.when(letters, F.col(text_col)).otherwise("").alias("t"))
+    at = keep.index(text_col) if text_col in keep else len(keep) + 1  # the text travels once
+    rows = df.select(*kept, letters, *([] if text_col in keep else [F.when(letters, F.col(text_col)).otherwise("").alias("t")]))
     schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
 
     def run(batches):
+        only("langid")
         m = held.value
         for batch in batches:
             n = batch.num_rows
             lang, score = np.zeros(n, np.int64), np.zeros(n)
             if len(m.owner):
-                for k, counts in blocks(batch.column(len(keep) + 1)):
+                for k, counts in blocks(batch.column(at)):
                     lang[k : k + len(counts)], score[k : k + len(counts)] = m.predict(counts)
             ok = np.asarray(batch.column(len(keep)).to_numpy(zero_copy_only=False), bool) & bool(len(m.owner))
             names = [m.langs[x] if y else "und" for x, y in zip(lang, ok)]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molframe.llm.common import cut, table
+from molframe.llm.common import cut, lean, only, table
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -48,9 +48,11 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp long). Null, empty and blank texts: 0."""
+    lean(df.sparkSession)
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
 
     def run(batches):
+        only("simhash")
         for batch in batches:
             fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["i", "fp"])

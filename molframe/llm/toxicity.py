@@ -16,10 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molframe.llm.common import fold, slices, table, text_buffers
+from molframe.llm.common import fold, lean, only, slices, table, text_buffers
 
 BITS = 20
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -81,6 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     picked = rows.join(F.broadcast(ids), "i").select("t", "y", "u").repartition(1).sortWithinPartitions("u", "t")
 
     def train(batches):
+        only("toxicity")
         examples = []
         for batch in batches:
             data, off = text_buffers(batch.column(0))
@@ -101,18 +102,21 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
 def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` with `score`, the probability of label 1. Null and empty texts get the bias alone."""
+    lean(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS weights
-    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if text_col in keep else [F.col(text_col).alias("t")]))
+    at = keep.index(text_col) if text_col in keep else len(keep)  # the text travels once
     schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
 
     def run(batches):
+        only("toxicity")
         f, w, b = held.value
         dense = np.zeros(1 << BITS)
         dense[f] = w
         live = dense != 0
         for batch in batches:
             s = np.full(batch.num_rows, b)
-            data, off = text_buffers(batch.column(len(keep)))
+            data, off = text_buffers(batch.column(at))
             for i, j in slices(off, BLOCK_BYTES):
                 row, feat = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 on = live[feat]
