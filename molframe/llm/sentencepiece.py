@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from functools import reduce
 
 import numpy as np
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molframe.llm.common import cut, table
+from molframe.llm.common import KEPT_BY, cut, lean, table
 
-GIANT = 32_768
-CHUNK = 8_192
-KEPT = 300_000
+GIANT = 65_536
+CHUNK = 16_384
+KEPT = 900_000
 MOST_BYTES = 64 << 20
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -108,7 +109,11 @@ class PieceModel:
         self.segments = (lambda t: [t] if t else []) if spans else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.whole = spans
         self._fits: dict[tuple[str, str], bool] = {}
-        self._own: dict[str, bool] = {}
+        #: Pieces that can occur, and the longest of them by their first three characters.
+        self.good = {p for p in self.ids if len(p) == 1 or self.kind == 1 or self.merge(p) == [p]}
+        self.most: dict[str, int] = {}
+        for p in self.good:
+            self.most[p[:3]] = max(len(p), self.most.get(p[:3], 2))
         self.table = _Table(self)
 
     def merge(self, text: str) -> list[str]:
@@ -124,15 +129,6 @@ class PieceModel:
                 return s
             s[at : at + 2] = [s[at] + s[at + 1]]
 
-    def own(self, piece: str) -> bool:
-        """Whether a piece can occur in an encoding."""
-        if self.kind == 1 or len(piece) == 1:
-            return True
-        got = self._own.get(piece)
-        if got is None:
-            got = self._own[piece] = self.merge(piece) == [piece]
-        return got
-
     def fits(self, a: str, b: str) -> bool:
         """Whether piece b may follow piece a."""
         if self.kind == 1:
@@ -141,7 +137,7 @@ class PieceModel:
         if got is None:
             if len(self._fits) > 2_000_000:
                 self._fits.clear()
-            got = self._fits[a, b] = self.merge(a + b) == [a, b]
+            got = self._fits[a, b] = a + b not in self.good and self.merge(a + b) == [a, b]
         return got
 
     def weight(self, piece: str) -> float:
@@ -152,27 +148,50 @@ class PieceModel:
         yield t[s : s + 1]
         for e in range(s + 2, min(end, s + self.longest) + 1):
             p = t[s:e]
-            if p in self.ids and self.own(p):
+            if p in self.good:
                 yield p
 
     def solve(self, t: str) -> list[str]:
         """Pieces of a text with nothing around it."""
-        n, ids, fits = len(t), self.ids, self.fits
-        best, last = [NEVER] * (n + 1), [""] * (n + 1)
-        best[0] = 0.0
-        bpe, long = self.kind == 2, self.longest
-        for e in range(1, n + 1):
-            for s in range(e - 1, max(-1, e - long - 1), -1):
-                if best[s] == NEVER:
-                    continue
+        return self._solve_bpe(t) if self.kind == 2 else self._solve_unigram(t)
+
+    def _solve_bpe(self, t: str) -> list[str]:
+        """Depth first along the lattice, long pieces first. A prefix has one encoding, so a place that proved a dead end is never entered again."""
+        n, good, fits, most = len(t), self.good, self._fits, self.most
+        out, dead, s, prev = [], set(), 0, ""
+        size = min(n, most.get(t[:3], 2))
+        while s < n:
+            while size:
+                p = t[s : s + size]
+                if (size == 1 or p in good) and s + size not in dead:
+                    if not prev:
+                        break
+                    ok = fits.get((prev, p))
+                    if ok or ok is None and self.fits(prev, p):
+                        break
+                size -= 1
+            if size:
+                out.append(p)
+                prev = p
+                s += size
+                size = min(n - s, most.get(t[s : s + 3], 2))
+            else:
+                dead.add(s)
+                size = len(out.pop()) - 1
+                s -= size + 1
+                prev = out[-1] if out else ""
+        return out
+
+    def _solve_unigram(self, t: str) -> list[str]:
+        best, last = [0.0] + [NEVER] * len(t), [""] * (len(t) + 1)
+        for e in range(1, len(t) + 1):
+            for s in range(e - 1, max(-1, e - self.longest - 1), -1):
                 p = t[s:e]
-                if (p in ids and (not bpe or self.own(p)) or e - s == 1) and (not bpe or s == 0 or fits(last[s], p)):
-                    w = 0.0 if bpe else best[s] + self.weight(p)
+                if p in self.ids or e - s == 1:
+                    w = best[s] + self.weight(p)
                     if w > best[e]:
                         best[e], last[e] = w, p
-                    if bpe:
-                        break
-        out = []
+        out, n = [], len(t)
         while n:
             out.append(last[n])
             n -= len(last[n])
@@ -247,13 +266,20 @@ class PieceModel:
         """First and last place in [p, q] that no piece spans; None if there is none."""
         if self.whole:
             return None
-        at = [m.start() + 1 for m in re.finditer(f"[^{SPACE}](?={SPACE})", t[max(0, p - 1) : q + 1])]
-        at = [x + max(0, p - 1) for x in at if p <= x + max(0, p - 1) <= q]
-        if p == 0:
-            at.insert(0, 0)
-        if q == len(t):
-            at.append(q)
-        return (at[0], at[-1]) if at else None
+        first = 0 if p == 0 else self._edge(t, p, 1)
+        last = q if q == len(t) else self._edge(t, q, -1)
+        return (first, last) if 0 <= first <= q and last >= p else None
+
+    @staticmethod
+    def _edge(t: str, i: int, step: int) -> int:
+        """The nearest place from i on, in the direction of `step`, between another character and a space; -1 if there is none."""
+        while True:
+            i = t.find(SPACE, i) if step > 0 else t.rfind(SPACE, 0, i + 1)
+            if i <= 0:
+                return -1
+            if t[i - 1] != SPACE:
+                return i
+            i += step
 
     def matrix(self, t: str, p: int, q: int) -> np.ndarray:
         """Best weights from every state at p to every state at q."""
@@ -311,30 +337,34 @@ class PieceModel:
 
 
 class _Table(dict):
-    """Ids of segments, as bytes; emptied when it holds KEPT of them."""
+    """Ids of segments, as bytes; the older half goes when it holds KEPT of them."""
 
     def __init__(self, model: PieceModel):
         super().__init__()
-        self.model = model
+        self.model, self.older = model, {}
 
     def __missing__(self, segment: str) -> bytes:
-        got = np.array(self.model.to_ids(self.model.solve(segment)), np.int32).tobytes()
+        got = self.older.get(segment)
+        if got is None:
+            got = array("i", self.model.to_ids(self.model.solve(segment))).tobytes()
         if len(segment) <= 64:
-            if len(self) >= KEPT:
+            if len(self) >= KEPT // 2:
+                self.older = dict(self)
                 self.clear()
             self[segment] = got
         return got
 
 
 _loaded: dict[int, PieceModel] = {}
+KEPT_BY["sentencepiece"] = _loaded.clear
 
 
 def _model(held) -> PieceModel:
     """The worker's model, parsed once per broadcast."""
-    if held.id not in _loaded if hasattr(held, "id") else True:
+    if held.id not in _loaded:
         _loaded.clear()
-        _loaded[getattr(held, "id", 0)] = PieceModel(held.value)
-    return _loaded[getattr(held, "id", 0)]
+        _loaded[held.id] = PieceModel(held.value)
+    return _loaded[held.id]
 
 
 class _Held:
@@ -372,10 +402,12 @@ def choose(steps: list[np.ndarray]) -> list[int]:
     return out[::-1]
 
 
-def encode(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """(id_col, token_ids array<int>) of every row, the texts whole. Null and empty texts: no tokens.
 
-    Every row gives a row, repeated and null ids too."""
+    Every row gives a row, repeated and null ids too. With `decoded` the text that the ids decode to comes
+    as a column of that name; for all but giant texts in the same pass, so the ids do not travel twice."""
+    lean(df.sparkSession)
     held = _Held(df.sparkSession, path)
     rows = df.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kind = rows.schema["i"].dataType.simpleString()
@@ -390,7 +422,9 @@ def encode(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 b = batch.slice(k, 1024)
-                yield pa.RecordBatch.from_arrays([b.column(0), listed([m.encode(x.as_py()) for x in b.column(1)])], schema=pa.schema([("i", b.column(0).type), ("ids", ids)]))
+                got = [m.encode(x.as_py()) for x in b.column(1)]
+                text = [pa.array([m.decode(x.tolist()) for x in got], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([b.column(0), listed(got), *text], schema=pa.schema([("i", b.column(0).type), ("ids", ids), *[("decoded", pa.string())] * decoded]))
 
     def chunks(batches):
         m = _model(held)
@@ -425,18 +459,20 @@ def encode(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: s
                 got = listed([m.trace(t, p, q, (s0, e0), (s1, e1))])
                 yield pa.RecordBatch.from_arrays([pa.array([u]), pa.array([no]), got], schema=pa.schema([("u", pa.string()), ("no", pa.int64()), ("ids", ids)]))
 
-    usual = rows.where(F.char_length("t") <= giant).mapInArrow(small, f"i {kind}, ids array<int>")
+    usual = rows.where(F.char_length("t") <= giant).mapInArrow(small, f"i {kind}, ids array<int>" + ", decoded string" * decoded)
     big = cut(rows.where(F.char_length("t") > giant).select("i", "t", F.expr("uuid()").alias("u")))
     pieces = cut(big.mapInArrow(chunks, "u string, no long, t string, p long, q long").repartition("u", "no"))
     states = pieces.mapInArrow(matrices, "u string, no long, w binary, a binary, b binary").groupBy("u").applyInPandas(scan, "u string, no long, s0 int, e0 int, s1 int, e1 int")
     done = pieces.join(states, ["u", "no"]).select("u", "no", "t", "p", "q", "s0", "e0", "s1", "e1").mapInArrow(traced, "u string, no long, ids array<int>")
     whole = done.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("x")).select("u", F.flatten("x.ids").alias("ids"))
     giants = big.select("i", "u").join(whole, "u").select("i", "ids")
-    return usual.unionByName(giants).select(F.col("i").alias(id_col), F.col("ids").alias("token_ids"))
+    giants = decode(giants, path, "ids") if decoded else giants
+    return usual.unionByName(giants).withColumnsRenamed({"i": id_col, "ids": "token_ids"})
 
 
 def decode(df: DataFrame, path: str = MODEL, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """All columns of `df` with `out_col`, the text of the ids. Null ids: null. An existing column of that name is replaced."""
+    lean(df.sparkSession)
     held = _Held(df.sparkSession, path)
     own = df.drop(out_col)
     names = [f"k{i}" for i in range(len(own.columns))]
@@ -457,5 +493,5 @@ def decode(df: DataFrame, path: str = MODEL, ids_col: str = "token_ids", out_col
 
 
 def op1(spark, sf_dir) -> DataFrame:
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
     return out.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", "decoded")
