@@ -18,7 +18,7 @@ from molframe.options import BuildOptions, parse_override
 from molframe.plans.prepare import ForceField
 from molframe.plans.report import inspect, prepare
 from molframe.runtime import cut
-from molframe.sinks.bundle import write_bundles
+from molframe.sinks.bundle import places, write_bundles
 from molframe.sources import parameters, pdb
 from molframe.sources.templates import Templates, overlaid, read_off, read_prep
 
@@ -75,6 +75,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for r in inspect(docs, ff, o).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
                 print(r.j)
         else:
+            places(a.output, [r.sid for r in docs.select("sid").collect()], o.overwrite)
             s, reports = prepare(docs, ff, o)
             write_bundles(s, reports, a.output, o.overwrite)
             for r in s.info.join(s.atoms.groupBy("sid").agg(F.count("*").alias("n")), "sid").orderBy("sid").toLocalIterator():

@@ -91,8 +91,7 @@ def declared_ends(p: ParsedPdb) -> DataFrame:
 def kept_residues(p: ParsedPdb, options: BuildOptions) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(residues with their final names, decisions, ends of declared bonds, warnings); water and free ions go."""
     solvent = F.col("name").isin(WATER) | F.upper("name").isin(FREE_IONS)
-    decisions = histidine_states(p, options)
-    ends = declared_ends(p)
+    decisions, ends = cut(histidine_states(p, options)), cut(declared_ends(p))
     r = p.residues.where(~solvent).withColumn("residue", F.row_number().over(W.partitionBy("sid").orderBy("residue_idx")) - 1)
     warnings = violation(p.residues.where(solvent), "existing_solvent_removed", F.col("residue_idx"), reference())
     warnings = warnings.unionByName(violation(decisions, "histidine_state_inferred", F.col("residue_idx"), F.concat("selector", F.lit(" selected as "), "state")))
@@ -170,7 +169,7 @@ def match_atoms(r: DataFrame, p: ParsedPdb, t: Templates) -> tuple[DataFrame, Da
     dim = t.atoms.select("family", "template", "ord", F.col("name").alias("atom_name"), "atom_type", F.col("element").alias("number_of"), "charge", *[F.col(a).alias(f"t{a}") for a in "xyz"])
     wanted = r.where("template IS NOT NULL").join(F.broadcast(dim), ["family", "template"])
     given = p.atoms.select("sid", "residue_idx", F.col("name").alias("atom_name"), "serial", "x", "y", "z", F.lit(True).alias("there"))
-    both = wanted.join(given, ["sid", "residue_idx", "atom_name"], "left")
+    both = cut(wanted.join(given, ["sid", "residue_idx", "atom_name"], "left"))
     gone = both.where("there IS NULL AND number_of <> 1").groupBy("sid", "residue_idx", reference().alias("ref")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "atom_name"))), lambda s: s["atom_name"]), ", ").alias("names"))
     bad = bad.unionByName(violation(gone, "missing_heavy_atoms", F.col("residue_idx"), F.concat(F.lit("residue "), "ref", F.lit(" is missing heavy atoms: "), "names")))
     heavy = p.atoms.where(~F.col("element").isin("H", "D")).select("sid", "residue_idx", F.col("name").alias("atom_name"))
@@ -262,12 +261,12 @@ def parameterize(p: ParsedPdb, ff: ForceField, options: BuildOptions | None = No
     """Systems without solvent. With `strict` the first problem of any structure is raised; otherwise problems are in `violations`."""
     o = (options or BuildOptions()).validate()
     t, par = ff.templates, ff.parameters
-    p = ParsedPdb(cut(p.atoms), cut(p.residues), cut(p.conect), cut(p.links), cut(p.ssbonds), p.warnings, p.violations)
+    p = ParsedPdb(*[cut(x) for x in (p.atoms, p.residues, p.conect, p.links, p.ssbonds, p.warnings, p.violations)])
     r, decisions, ends, warnings = kept_residues(p, o)
     r, more = resolve_templates(cut(r), p, ends, t)
     r = cut(r)
     matched, bad = match_atoms(r, p, t)
-    bad = p.violations.unionByName(bad)
+    bad = cut(p.violations.unionByName(bad))
     if strict:
         require_none(bad)
     whole = matched.join(amide_hydrogens(r, p, t).withColumn("atom_name", F.lit("H")), ["sid", "residue", "atom_name"], "left")
@@ -280,8 +279,8 @@ def parameterize(p: ParsedPdb, ff: ForceField, options: BuildOptions | None = No
     bad = bad.unionByName(violation(atoms.where("radius IS NULL").select("sid", "atom_type").distinct(), "missing_parameter", F.col("atom_type"), F.concat(F.lit("no parameter for nonbonded atom types "), "atom_type")))
     bad = bad.unionByName(violation(atoms.where("x IS NULL"), "invalid_pdb", F.col("name"), F.concat(F.lit("cannot construct local geometry for hydrogen "), "name")))
     edges = cut(find_bonds(atoms, r, p, t))
-    bonds, angles, dihedrals, exclusions, lost = attach_parameters(atoms, edges, par, o)
-    bad = bad.unionByName(lost)
+    bonds, angles, dihedrals, exclusions, lost = attach_parameters(cut(atoms.select("sid", "atom_idx", "atom_type")), edges, par, o)
+    bad = cut(bad.unionByName(lost))
     to_residue = atoms.select("sid", F.col("atom_idx"), "residue")
     joined = edges.join(to_residue.toDF("sid", "i", "ri"), ["sid", "i"]).join(to_residue.toDF("sid", "j", "rj"), ["sid", "j"]).select("sid", F.col("ri").alias("i"), F.col("rj").alias("j"))
     nodes = r.select("sid", F.col("residue").alias("id"))
@@ -293,7 +292,7 @@ def parameterize(p: ParsedPdb, ff: ForceField, options: BuildOptions | None = No
     zero = lambda n, k: F.lit(0).cast(k).alias(n)
     info = info.select("sid", zero("box_x", "double"), zero("box_y", "double"), zero("box_z", "double"), "solute_atoms", zero("waters", "long"), zero("sodium", "long"), zero("chloride", "long"), F.col("components").cast("long"))
     columns = ["sid", "atom_idx", "name", "atom_type", "element", "residue", "charge", "mass", "radius", "epsilon", "x", "y", "z"]
-    system = System(atoms.select(*columns), residues, bonds, angles, dihedrals, exclusions, info, bad, reduce(DataFrame.unionByName, [p.warnings, warnings, more]), decisions).kept()
+    system = System(atoms.select(*columns), residues, bonds, angles, dihedrals, exclusions, info, bad, cut(reduce(DataFrame.unionByName, [p.warnings, warnings, more])), decisions).kept()
     if strict:
         require_none(system.violations)
         off = system.charges().where("abs(solute_charge - round(solute_charge)) > 1e-3")

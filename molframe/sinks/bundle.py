@@ -59,17 +59,22 @@ def _atomic(path: Path, text: str) -> None:
     os.replace(beside, path)
 
 
+def places(folder: str | Path, ids: list[str], overwrite: bool = False) -> dict[str, Path]:
+    """The folder of each system; one that holds generated files is refused without `overwrite`."""
+    out = {sid: Path(folder) if len(ids) == 1 else Path(folder) / sid for sid in sorted(ids)}
+    for place in out.values():
+        if not overwrite and any((place / n).exists() for n in [*FILES, "manifest.json"]):
+            raise MolframeError("output_exists", f"output directory already contains generated files: {place}")
+    return out
+
+
 def write_bundles(s: System, reports: DataFrame, folder: str | Path, overwrite: bool = False) -> list[Path]:
     """One folder a system under `folder`; with a single system its files go into `folder` itself.
 
     Existing files are refused without `overwrite`; each file is written beside its place and renamed."""
     made = texts(s)
-    ids = sorted(r.sid for r in s.info.select("sid").collect())
-    out = []
-    for sid in ids:
-        place = Path(folder) if len(ids) == 1 else Path(folder) / sid
-        if not overwrite and any((place / n).exists() for n in [*FILES, "manifest.json"]):
-            raise MolframeError("output_exists", f"output directory already contains generated files: {place}")
+    out = places(folder, [r.sid for r in s.info.select("sid").collect()], overwrite)
+    for sid, place in out.items():
         place.mkdir(parents=True, exist_ok=True)
         rows = {r.file: r for r in made.where(F.col("sid") == sid).collect()}
         for name in FILES:
@@ -77,5 +82,4 @@ def write_bundles(s: System, reports: DataFrame, folder: str | Path, overwrite:
         report = json.loads(reports.where(F.col("sid") == sid).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first().j)
         report["output_sha256"] = {n: rows[n].sha256 for n in FILES}
         _atomic(place / "manifest.json", json.dumps(report, indent=2, sort_keys=True) + "\n")
-        out.append(place)
-    return out
+    return list(out.values())

@@ -37,7 +37,7 @@ class Parameters:
 def _typed(n: int) -> tuple[Column, Column]:
     """(types, leading numbers) of a line with a prefix of n types; types are null where the prefix does not fit."""
     w = WIDTHS[n]
-    types = F.transform(F.split(F.substring("row", 1, w), "-"), F.trim)
+    types = F.transform(F.split(F.substring("row", 1, w), "-"), lambda t: F.trim(t))
     fits = (F.length("row") >= w) & (F.size(types) == n) & ~F.exists(types, lambda t: t == "")
     words = F.split(F.trim(F.substring(F.col("row"), w + 1, 1000)), r"\s+")
     numbers = F.transform(words, lambda x: x.try_cast("double"))
@@ -65,8 +65,8 @@ def _legacy(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     blank = F.trim("line") == ""
     text = lines.withColumn("blank", blank)
     starts = running_state(text, ["sid"], ["line_no"], F.when(F.col("blank"), F.col("line_no")), "gap")
-    first = starts.where("NOT blank").groupBy("sid", "gap").agg(F.min("line_no").alias("begin"))
-    body = starts.where("NOT blank").join(first, (starts.sid == first.sid) & starts.gap.eqNullSafe(first.gap)).select(starts.sid, "line_no", "line", "begin")
+    starts = starts.where("NOT blank").withColumn("gap", F.coalesce("gap", F.lit(0)))
+    body = starts.join(starts.groupBy("sid", "gap").agg(F.min("line_no").alias("begin")), ["sid", "gap"]).select("sid", "line_no", "line", "begin")
     body = block_ids(body, ["sid"], ["line_no"], F.col("line_no") == F.col("begin"), "block").withColumn("block", F.col("block") - 1)
     words = F.split(F.trim("line"), r"\s+")
     nonbond = (F.size(words) >= 3) & ~words[0].isin("MOD4", "RE", "END") & F.try_element_at(words, F.lit(2)).try_cast("double").isNotNull() & F.try_element_at(words, F.lit(3)).try_cast("double").isNotNull()
