@@ -18,8 +18,9 @@ from molframe.llm.common import table
 
 SAMPLES = 32
 WORDS = "[\\x20\\x09-\\x0D]+"
-BUCKET_ROWS = 2_000
-MOST_BUCKETS = 20_000
+BUCKET_ROWS = 1_000
+MOST_BUCKETS = 100_000
+CUTS = 128
 
 
 def _unit(h: Column, shift: int) -> Column:
@@ -71,49 +72,49 @@ def printable(sig: Column, n: int = SAMPLES) -> Column:
     return F.lower(F.concat(*[part(j) for j in range(n)]))
 
 
-def bounds(df: DataFrame, id_col: str, rows: int = BUCKET_ROWS) -> list[int]:
-    """Ids that cut the ids into ranges of about `rows` rows: approximate quantiles, at most MOST_BUCKETS."""
-    n = df.count()
-    parts = min(MOST_BUCKETS, max(1, -(-n // rows)))
-    if n == 0 or parts == 1:
-        return []
-    got = df.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("q")).first().q
-    return sorted(set(got or []))
+def ranges(ids: DataFrame, id_col: str, rows: int = BUCKET_ROWS) -> tuple[Column, int]:
+    """(bucket of an id, number of buckets): rising with the id, about `rows` rows each, at most MOST_BUCKETS.
 
+    Approximate quantiles cut the ids into at most CUTS parts of equal size, each part is cut evenly by
+    value. So the expression stays short, and gaps or dense runs of ids do not fill a bucket. Null ids: -1."""
+    x = F.col(id_col)
+    n = ids.where(x.isNotNull()).count()
+    wanted = min(MOST_BUCKETS, max(1, -(-n // rows)))
+    parts = min(CUTS, wanted)
+    got = ids.select(F.percentile_approx(x, [i / parts for i in range(parts + 1)], 10_000).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    if n == 0 or wanted == 1:
+        return F.when(x.isNull(), -1).otherwise(0), 2
+    q = sorted({got.lo, *got.q[1:-1], got.hi + 1})
+    inner = -(-wanted // parts)
+    low, width = F.array(*[F.lit(v) for v in q[:-1]]), F.array(*[F.lit(b - a) for a, b in zip(q, q[1:])])
 
-def _range_of(x: Column, cuts: list[int]) -> Column:
-    """Number of cuts at or under x, as a binary search over literals: a balanced tree of comparisons."""
-    def tree(lo: int, hi: int) -> Column:
+    def part(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x >= cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
+        mid = (lo + hi + 1) // 2
+        return F.when(x >= q[mid], part(mid, hi)).otherwise(part(lo, mid - 1))
 
-    return tree(0, len(cuts))
+    k = part(0, len(q) - 2)
+    within = F.least(F.floor((x - F.element_at(low, k + 1)) * float(inner) / F.element_at(width, k + 1)).cast("int"), F.lit(inner - 1))
+    return F.when(x.isNull(), -1).otherwise(k * inner + within), (len(q) - 1) * inner
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = BUCKET_ROWS) -> DataFrame:
     """(b, rn, ghost, id, text, next): the next text in descending id order, after the last one the first.
 
-    The ids are cut into ranges of about `rows` rows, the rows dealt by range, and the first row of each
-    range is repeated at the end of the range before it (`ghost`), so the texts move once and no task
-    sees more than its range. Equal ids follow each other in the order of their texts; null ids come last."""
+    The ids are cut into ranges, the rows dealt by range, and the first row of each range is repeated at
+    the end of the range before it (`ghost`), so the texts move once and no task sees more than its range.
+    Equal ids follow each other in the order of their texts; null ids come last."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = d.select("id")
-    cuts = bounds(ids.where("id IS NOT NULL"), "id", rows)
-    place = F.coalesce(_range_of(F.col("id"), cuts), F.lit(-1)) if cuts else F.when(F.col("id").isNull(), -1).otherwise(0)
-    firsts = {r.b: r.m for r in ids.select(place.alias("b"), "id").groupBy("b").agg(F.max("id").alias("m")).collect()}  # one row a range
-    used = sorted(firsts, reverse=True)
-    before = {firsts[b]: used[i - 1] for i, b in enumerate(used)}  # the range that shows this range's first row at its end
-    own = d.select("id", "text", place.alias("b"), F.lit(False).alias("ghost"))
-    real = [x for x in before if x is not None]
-    extra = own.where(F.col("id").isin(real) if real else F.lit(False))
-    if None in before:
-        extra = extra.unionByName(own.where("id IS NULL"))
-    to = F.create_map(*[F.lit(x) for k, v in before.items() if k is not None for x in (k, v)])[F.col("id")] if real else F.lit(None).cast("int")
-    extra = extra.select("id", "text", F.coalesce(to, F.lit(before.get(None))).alias("b"), F.lit(True).alias("ghost"))
+    bucket, n = ranges(d.select("id"), "id", rows)
+    own = d.select("id", "text", bucket.alias("b"))
+    # one row a range, at most MOST_BUCKETS: small enough for one task and for a broadcast
+    down, every = W.partitionBy(F.lit(0)).orderBy(F.col("b").desc()), W.partitionBy(F.lit(0))
+    firsts = own.groupBy("b").agg(F.max("id").alias("m")).select(F.col("b").alias("fb"), "m", F.coalesce(F.lag("b").over(down), F.min("b").over(every)).alias("to"))
+    extra = own.join(F.broadcast(firsts), (F.col("b") == F.col("fb")) & F.col("id").eqNullSafe(F.col("m"))).select("id", "text", F.col("to").alias("b"), F.lit(True).alias("ghost"))
     w = W.partitionBy("b").orderBy("ghost", F.col("id").desc_nulls_last(), "text")
-    return own.unionByName(extra).select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next")).select("b", "rn", "ghost", "id", "text", "next")
+    dealt = own.withColumn("ghost", F.lit(False)).unionByName(extra).repartition(n, "b")
+    return dealt.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next")).select("b", "rn", "ghost", "id", "text", "next")
 
 
 def edit(text: Column, nxt: Column) -> Column:
