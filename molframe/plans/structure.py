@@ -16,6 +16,8 @@ from molframe.schema import PROTEIN
 from molframe.sources.pdb import ParsedPdb
 
 RID = ["chain", "number", "icode"]
+#: Order numbers of links start here that were appended or added, not read; those are no metadata by themselves.
+APPENDED, ADDED = 10_000_000, 20_000_000
 
 
 def _same(a: DataFrame, b: DataFrame, prefix: str = "", suffix: str = "") -> Column:
@@ -60,9 +62,9 @@ class Structure:
         return j.groupBy("sid", *RID, "name").agg(F.min_by("serial", "pos").alias("serial"))
 
     def glycosylation_sites(self) -> DataFrame:
-        """(sid, ord, protein_*, glycan_*): links with exactly one end in a protein residue, then added sites."""
+        """(sid, ord, protein_*, glycan_*): links of the file with exactly one end in a protein residue, then added sites."""
         p = self.parsed
-        out = p.links
+        out = p.links.where(F.col("ord") < APPENDED)
         for k in (1, 2):
             r = p.residues.select(*[F.col(c).alias(f"q_{c}") for c in ["sid", *RID]], F.col("name").isin(PROTEIN).alias(f"protein{k}"))
             out = out.join(r, _same(out, r, "q_", str(k))).drop("q_sid", *[f"q_{c}" for c in RID])
@@ -154,7 +156,7 @@ class Structure:
                 m = rmap.select(*[F.col(c).alias(f"m_{c}") for c in ["sid", *RID]], F.col("new_number").alias(f"to{k}"))
                 out = out.join(m, _same(out, m, "m_", k), "left").drop("m_sid", *[f"m_{c}" for c in RID])
             require_none(violation(out.where("to1 IS NULL OR to2 IS NULL"), "invalid_pdb", F.lit(what), F.lit(f"{what} references a missing residue")))
-            changed = {f"chain{k}": F.lit(chain) for k in (1, 2)} | {f"number{k}": F.col(f"to{k}") for k in (1, 2)} | {f"icode{k}": F.lit(None).cast("string") for k in (1, 2)} | {"ord": F.col("ord") + 10_000_000}
+            changed = {f"chain{k}": F.lit(chain) for k in (1, 2)} | {f"number{k}": F.col(f"to{k}") for k in (1, 2)} | {f"icode{k}": F.lit(None).cast("string") for k in (1, 2)} | {"ord": F.col("ord") + APPENDED}
             return out.withColumns(changed).select(*columns)
 
         out = self._with(
@@ -180,14 +182,13 @@ class Structure:
         """Sites (sid, protein_*, glycan_*): each is recorded, its link is added unless it is there already."""
         p = self.parsed
         named = {f"{c}{k}": F.col(f"{t}_{c}") for t, k in (("protein", 1), ("glycan", 2)) for c in [*RID, "atom"]}
-        link = sites.select("sid", F.lit(20_000_000).alias("ord"), *[v.alias(k) for k, v in named.items()])
+        link = sites.select("sid", F.lit(ADDED).alias("ord"), *[v.alias(k) for k, v in named.items()])
         on = link["sid"] == p.links["sid"]
         for c in named:
             on = on & link[c].eqNullSafe(p.links[c])
         new = link.join(p.links, on, "left_anti").select(*p.links.columns)
         kept = sites if self.extra_sites is None else self.extra_sites.unionByName(sites)
-        # a site whose link is there already shows once as a link; extra_sites holds those that were added
-        return replace(self._with(links=cut(p.links.unionByName(new))), extra_sites=None if self.extra_sites is None and not new.isEmpty() else kept.limit(0))
+        return replace(self._with(links=cut(p.links.unionByName(new))), extra_sites=kept)
 
     def update_from(self, s: System) -> Structure:
         """Positions of a prepared system's atoms, by residue and atom name; atoms that it added are ignored."""

@@ -18,9 +18,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint."""
+    """Cut the lineage by a reliable checkpoint. The columns are new ones, so the result joins with what it was made from."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return df.checkpoint().select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:

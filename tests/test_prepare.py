@@ -351,3 +351,14 @@ def test_optimisers(spark):
     one = optimize.genetic_optimize(Target(321), c)
     two = optimize.genetic_optimize(Target(321), c, evaluate=optimize.spark_evaluate(spark, Target(321), 3))
     assert one == two and len(one.history) == one.generations + 1
+
+
+def test_facade(spark, dry, tmp_path):
+    from molframe import io
+
+    (tmp_path / "g.pdb").write_text(GLYCO)
+    s = io.read_pdb(spark, str(tmp_path / "g.pdb"))
+    assert s.residues().select("sid").distinct().first().sid == "g"
+    path = io.write_pdb(s, tmp_path / "out")[0]
+    assert path.read_text() == io.read_pdb_str(spark, {"g": path.read_text()}).to_pdb().first().text
+    assert io.gro(dry).count() == 2 and io.prmtop(dry).where("text LIKE '%POINTERS%'").count() == 2
