@@ -23,6 +23,7 @@ from molframe.llm.common import cut, lean, only, table
 THRESHOLD = 3
 SHINGLE = 3
 CELL = 4096
+HOT_SHARE, SALTS = 1000, 32
 _ROWS = 1 << 14
 
 
@@ -211,13 +212,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprint 0 and link like any other. A null id gets a component from the other ids of its
     group, null if it has none. Repeated rows each get a row; an empty table gives none."""
     fps = cut(fingerprints(df, id_col, text_col).select(F.col(id_col).alias("id"), "fp"))
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("m")))
+    counted = cut(fps.groupBy("fp").agg(F.min("id").alias("m"), F.count("*").alias("n")))
+    nodes = counted.select("fp", "m")
     comp = components(links(nodes, threshold))
     named = comp.join(nodes, comp.node == nodes.fp).select("fp", "m", "root")
     best = named.groupBy("root").agg(F.min("m").alias("c"))
     moved = named.join(best, "root").select("fp", "c")
     ids = nodes.join(moved, "fp", "left").select("fp", F.coalesce("c", "m").alias("component_id"))
-    return fps.join(ids, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    # fingerprints of over a HOT_SHARE-th of all rows, so fewer than HOT_SHARE of them, are dealt over SALTS tasks
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counted.where(F.col("n") * HOT_SHARE > total).select("fp", F.lit(True).alias("hot")))
+    salted = ids.join(hot, "fp", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    dealt = fps.join(hot, "fp", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+    return dealt.join(salted, ["fp", "salt"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op6(spark, sf_dir) -> DataFrame:
