@@ -144,7 +144,7 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
                 all_c.append(c := spherical_kmeans(v, centroids))
                 owner += [i] * len(c)
                 own.append((v @ c.T).max(1))
-    least = 0.5 * float(np.quantile(np.concatenate(own), 0.001))
+    least = 0.25 * float(np.quantile(np.concatenate(own), 0.001))
     return LanguageModel(langs, idf, np.concatenate(all_c), np.array(owner, np.int64), least)
 
 
