@@ -54,11 +54,15 @@ def wrapping_mul(x: Column, k: int) -> Column:
     return _joined(out_hi, out_lo)
 
 
+def _bound(x: Column, f) -> Column:
+    """f of x with x evaluated once: each step uses its input many times, and copies would grow as powers."""
+    return F.transform(F.array(x), f)[0]
+
+
 def splitmix64(x: Column) -> Column:
-    x = wrapping_add(x, GAMMA)
-    x = wrapping_mul(x.bitwiseXOR(F.shiftrightunsigned(x, 30)), FIRST)
-    x = wrapping_mul(x.bitwiseXOR(F.shiftrightunsigned(x, 27)), SECOND)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
+    x = _bound(wrapping_add(x, GAMMA), lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 30)))
+    x = _bound(_bound(x, lambda v: wrapping_mul(v, FIRST)), lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 27)))
+    return _bound(_bound(x, lambda v: wrapping_mul(v, SECOND)), lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 31)))
 
 
 def unsigned_order(x: Column) -> Column:
