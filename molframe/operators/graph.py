@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from molframe.operators.relational import global_rank
 from molframe.runtime import cut
 
 
@@ -54,8 +55,9 @@ def components(nodes: DataFrame, edges: DataFrame, part: Sequence[str] = (), ide
 
 def numbered_components(rooted: DataFrame, part: Sequence[str] = (), ident: str = "id", out: str = "component") -> DataFrame:
     """Components numbered from 0 by their first node."""
-    w = W.partitionBy(*part) if part else W.partitionBy(F.lit(0))
-    return rooted.withColumn(out, F.dense_rank().over(w.orderBy("root")) - 1)
+    if not part:
+        return rooted.join(global_rank(rooted.select("root").distinct(), "root", out), "root").select(*rooted.columns, out)
+    return rooted.withColumn(out, F.dense_rank().over(W.partitionBy(*part).orderBy("root")) - 1)
 
 
 def two_paths(edges: DataFrame, part: Sequence[str] = ()) -> DataFrame:

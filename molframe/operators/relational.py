@@ -35,12 +35,34 @@ def best_with_ties(df: DataFrame, key: Sequence[str], score: Column) -> DataFram
     return df.withColumn("__rk", F.rank().over(W.partitionBy(*key).orderBy(score.desc()))).where("__rk = 1").drop("__rk")
 
 
+def global_rank(df: DataFrame, order: str, out: str, cuts: int = 64) -> DataFrame:
+    """`out`: the place of each row from 0 by the numeric column `order`, whose values are distinct.
+
+    A window without a partition would put all rows into one task. Here approximate quantiles cut the values
+    into ranges, rows are numbered within their range, and the sizes of the ranges before (at most `cuts` + 1
+    numbers) are added."""
+    got = df.select(F.percentile_approx(order, [i / cuts for i in range(1, cuts)], 10_000).alias("q")).first().q
+    at = F.lit(0)
+    for q in sorted(set(got or [])):
+        at = at + (F.col(order) >= F.lit(q)).cast("int")
+    placed = df.withColumn("__part", at)
+    sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
+    before, n = [], 0
+    for k in range(max(sizes, default=0) + 1):
+        before.append(n)
+        n += sizes.get(k, 0)
+    offset = F.element_at(F.array(*[F.lit(v).cast("long") for v in before]), F.col("__part") + 1)
+    rank = F.row_number().over(W.partitionBy("__part").orderBy(order)) - 1
+    return placed.withColumn(out, (rank + offset).cast("int" if n < 1 << 31 else "long")).drop("__part")
+
+
 def first_seen(df: DataFrame, part: Sequence[str], key: Sequence[str], order: str, picks: dict[str, Column], out: str) -> DataFrame:
     """One row per (part, key) with a dense id `out` from 0 by first appearance; `picks` are taken from its first row."""
     aggs = [F.min_by(c, F.col(order)).alias(n) for n, c in picks.items()]
     grouped = df.groupBy(*part, *key).agg(F.min(order).alias("__first"), *aggs)
-    w = W.partitionBy(*part) if part else W.partitionBy(F.lit(0))
-    return grouped.withColumn(out, F.row_number().over(w.orderBy("__first")) - 1).drop("__first")
+    if not part:
+        return global_rank(grouped, "__first", out).drop("__first")
+    return grouped.withColumn(out, F.row_number().over(W.partitionBy(*part).orderBy("__first")) - 1).drop("__first")
 
 
 def end_flags(df: DataFrame, part: Sequence[str], order: Sequence, first: str, last: str) -> DataFrame:
