@@ -374,6 +374,61 @@ def test_links_find_every_near_pair(spark, cell):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, mine.values()))
 
 
+def shingle_set(text, width=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def jaccard_components(rows, least=0.8):
+    sets = {i: shingle_set(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    where, share = {}, collections.Counter()
+    for i, s in sets.items():
+        for x in s or {None}:
+            for j in where.setdefault(x, []):
+                share[j, i] += 1
+            where[x].append(i)
+    for (j, i), n in share.items():
+        if n >= least * max(1, len(sets[i] | sets[j])):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("cell", [simhash.CELL, 32])
+def test_similar_finds_near_copies_and_nothing_else(spark, cell, monkeypatch):
+    monkeypatch.setattr(simhash.candidates, "__defaults__", (cell,))
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(5000)}"
+    rows = []
+    for size in [1, 3, 5, 6, 40, 90, 200, 700]:
+        text = [word() for _ in range(size)]
+        for edits in [0, 0, 0.004, 0.01, 0.02, 0.05, 0.2]:
+            rows.append((len(rows), " ".join(word() if r.random() < edits else w for w in text)))
+    crowd = [word() for _ in range(300)]
+    for i in range(150):
+        rows.append((len(rows), " ".join([*crowd[: i % 290], word(), *crowd[i % 290 + 1 :]])))
+    rows += [(len(rows) + i, t) for i, t in enumerate([None, "", " \n", "A b C", "a  B c"])]
+    want = jaccard_components(rows)
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(want)
+    assert all(want[i] == want[c] for i, c in got.items())  # no link of its own
+    crowded = {got[i] for i, t in rows[56:206]}
+    assert len(crowded) == 1 and sum(got[i] != want[i] for i in want) <= 2
+
+
+def test_similar_of_odd_rows(odd, empty):
+    rows = simhash.similar(odd).collect()
+    assert len(rows) == odd.count()
+    assert simhash.similar(empty).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()

@@ -24,7 +24,7 @@ def test_stages_keep_columns_and_rows(spark, docs):
     assert two.columns == docs.columns and two.join(clean, "doc_id", "left_semi").count() >= 0.98 * clean.count()
     three = pipeline.dedup_stage(spark, docs, DATA)
     ids = {r.doc_id for r in three.select("doc_id").collect()}
-    assert three.columns == docs.columns and ids == {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert three.columns == docs.columns and ids == {r.component_id for r in simhash.similar(docs).collect()}
     four = pipeline.mixing_stage(spark, docs, DATA)
     assert four.columns == docs.columns and 0.7 * docs.count() < four.count() < 1.3 * docs.count()
     five = pipeline.token_stage(spark, docs, DATA)
