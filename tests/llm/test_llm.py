@@ -242,6 +242,14 @@ def test_scores_equal_a_plain_model(spark, docs, texts, shard_rows):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(s, abs=2e-4 * n)
 
 
+def test_the_query_keeps_pairs_seen_once(spark, texts):
+    plain = model([t for i, t, *_ in texts if zlib.crc32(str(i).encode()) % 5 != 1], least=1)
+    got = {r.doc_id: r.score for r in lm.op3(spark, DATA).collect()}
+    for i, t, *_ in texts:
+        n, *_, s = plain(t)
+        assert got[i] == pytest.approx(s, abs=2e-4 * n)
+
+
 def test_scores_of_odd_rows(odd, empty):
     m = lm.fit(odd)
     rows = lm.score(odd, m).collect()
