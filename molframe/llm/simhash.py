@@ -12,7 +12,8 @@ into cells of two slices each; every two members still share a cell.
 `similar` finds texts by Jaccard similarity of their five-word shingles instead (0.8 or more). There the
 search runs on a wider fingerprint of word pairs, WORDS words of 32 bits: near copies agree in word pairs
 far more than unrelated texts do. Two texts whose words number j differ in at most 2 bits have a common
-anchor within covering radius + 1, as the point between them has its home there. An exact check of the
+anchor within covering radius + 1, as the point between them has its home there. At an anchor the texts first
+meet a few hubs; then every two within NEAR bits that no link joins are compared. An exact check of the
 shingle sets decides, so the fingerprint only loses links (about one in a hundred at 0.8, none seen above
 0.9) and never makes one.
 """
@@ -282,8 +283,15 @@ def wide_fingerprint(text: bytes) -> np.ndarray:
     return np.packbits(2 * total > len(x), bitorder="little").view("<u8")
 
 
-def near_runs(run: np.ndarray, k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hub, member, bits that differ) of candidates in runs of equal `run`, and where the hubs are.
+def _near(f: np.ndarray):
+    """(first row, bits that differ from every one) of blocks of the unsigned longs f."""
+    for i in range(0, len(f), 256):
+        yield i, np.bitwise_count(f[i : i + 256, None] ^ f)
+
+
+def near_runs(run: np.ndarray, k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hub, member, bits that differ) of candidates in runs of equal `run`, where the hubs are, and where members
+    are that have another within NEAR bits which they do not meet.
 
     Runs of at most SMALL: every pair, and all are hubs. In longer ones a member within TIGHT bits of a hub is
     none itself, and each member meets its two nearest hubs, so a group of copies gives no more than two a member."""
@@ -292,7 +300,7 @@ def near_runs(run: np.ndarray, k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray
     start = np.concatenate([[0], edge]).astype(np.int64)
     length = np.diff(np.append(start, len(run)))
     short = np.repeat(length <= SMALL, length)
-    out, hubs = [], [np.flatnonzero(short)]
+    out, hubs, left = [], [np.flatnonzero(short)], [np.zeros(0, np.int64)]
     for d in range(1, int(min(SMALL, length.max()))):
         i = np.flatnonzero((run[d:] == run[:-d]) & short[d:])
         bits = np.bitwise_count(f[i] ^ f[i + d])
@@ -312,15 +320,24 @@ def near_runs(run: np.ndarray, k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray
         to = np.argpartition(bits, 1, axis=0)[:2] if len(own) > 2 else np.arange(len(own))[:, None].repeat(n, 1)
         got = np.take_along_axis(bits, to, 0)
         which, member = np.nonzero(got <= NEAR)
-        out.append((s + own[to[which, member]], s + member, got[which, member]))
+        hub = own[to[which, member]]
+        out.append((s + hub, s + member, got[which, member]))
+        unmet = np.zeros((n, n), bool)
+        for i, bits in _near(f[s : s + n]):
+            unmet[i : i + 256] = bits <= NEAR
+        unmet[hub, member] = unmet[member, hub] = False
+        np.fill_diagonal(unmet, False)
+        left.append(s + np.flatnonzero(unmet.any(1)))
     a, b, d = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-    return k[a], k[b], d.astype(np.int32), np.concatenate(hubs)
+    return k[a], k[b], d.astype(np.int32), np.concatenate(hubs), np.concatenate(left)
 
 
-def candidates(nodes: DataFrame, cell: int = CELL) -> DataFrame:
-    """(a, b, d): directed candidate pairs of nodes(fp, f0, f1, ...), b the member and d the bits that differ.
+def candidates(nodes: DataFrame, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """(a, b, d): directed candidate pairs of nodes(fp, f0, f1, ...), b the member and d the bits that differ;
+    and (key, cell, k, f): the members of anchors that have not met all others within NEAR bits there.
 
-    Anchors of more than `cell` members are cut into slices; the hubs of the slices meet once more."""
+    Anchors of more than `cell` members are cut into slices; the hubs of the slices meet once more. All their
+    members are in the second table, in cells of two slices each: every two share a cell."""
     longs = [f"f{i}" for i in range(WORDS // 2)]
 
     def spread(batches):
@@ -334,15 +351,17 @@ def candidates(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     def compare(batches):
         for key, c, k, f in whole_runs(batches, 4):
             run = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (c[1:] != c[:-1])))
-            a, b, d, hubs = near_runs(run, k, f)
-            hubs = hubs[c[hubs] >= 0]
+            a, b, d, hubs, left = near_runs(run, k, f)
+            hubs, left = hubs[c[hubs] >= 0], left[c[left] < 0]
+            kind = np.repeat([0, 1], [len(hubs), len(left)]).astype(np.int32)
+            hubs = np.concatenate([hubs, left])
             n, m = len(a), len(hubs)
             if n + m:
                 edge = np.arange(n + m) < n
                 none, rest = np.zeros(n, np.int64), np.zeros(m, np.int64)
                 whole = lambda x, y, **kw: pa.array(np.concatenate([x, y]), **kw)
                 yield pa.RecordBatch.from_arrays(
-                    [whole(none, key[hubs], mask=edge), whole(a, k[hubs]), whole(b, rest, mask=~edge), whole(d, rest.astype(np.int32)), whole(none, f[hubs])],
+                    [whole(none, key[hubs], mask=edge), whole(a, k[hubs]), whole(b, rest, mask=~edge), whole(d, kind), whole(none, f[hubs])],
                     ["key", "a", "b", "d", "f"],
                 )
 
@@ -365,9 +384,43 @@ def candidates(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     found = compared(placed, hot)
     if hot is not None:
         found = cut(found)
-        hubs = found.where("b IS NULL").select("key", F.col("a").alias("k"), "f")
-        found = found.unionByName(compared(hubs, crowded(hubs)))
-    return found.where("b IS NOT NULL").groupBy("a", "b").agg(F.min("d").alias("d"))
+        hubs = found.where("b IS NULL AND d = 0").select("key", F.col("a").alias("k"), "f")
+        found = found.unionByName(compared(hubs, crowded(hubs)).where("b IS NOT NULL"))
+    at = F.when(F.col("b").isNull(), F.col("key")).alias("key")
+    found = cut(found.where("b IS NOT NULL OR d = 1").groupBy("a", "b", at).agg(F.min("d").alias("d"), F.min("f").alias("f")))
+    left = found.where("b IS NULL").select("key", F.lit(0).alias("cell"), F.col("a").alias("k"), "f")
+    if hot is not None:
+        parts = F.col("parts")
+        slot = F.pmod(F.xxhash64("k", F.lit("cell")), parts).cast("int")
+        every = placed.join(hot.select("key", F.ceil(F.col("n") * 2 / cell).cast("int").alias("parts")), "key").withColumn("slot", slot)
+        to = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(j, F.col("slot")) * parts + F.greatest(j, F.col("slot")))
+        left = left.unionByName(every.select("key", F.explode(to).alias("cell"), "k", "f"))
+    return found.where("b IS NOT NULL").select("a", "b", "d"), left
+
+
+def unmet(left: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b, d): every pair within NEAR bits that shares a key and cell of left(key, cell, k, f), other than those
+    within one component of comp(node, root)."""
+    rooted = left.join(comp, F.col("k") == F.col("node"), "left").select("key", "cell", "k", "f", F.coalesce("root", "k").alias("root"))
+
+    def compare(batches):
+        for key, c, k, f, root in whole_runs(batches, 5):
+            start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (c[1:] != c[:-1])))
+            for s, e in zip(start, np.append(start[1:], len(key))):
+                kk, rr = k[s:e], root[s:e]
+                if (rr == rr[0]).all():
+                    continue
+                for i, bits in _near(f[s:e].view(np.uint64)):
+                    x, y = np.nonzero((bits <= NEAR) & (rr[i : i + 256, None] != rr))
+                    d, x = bits[x, y].astype(np.int32), x + i
+                    once = x < y
+                    a, b, d = kk[x[once]], kk[y[once]], d[once]
+                    for j in range(0, len(a), _ROWS):
+                        p, q = a[j : j + _ROWS], b[j : j + _ROWS]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(d[j : j + _ROWS])], ["a", "b", "d"])
+
+    ordered = rooted.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return ordered.mapInArrow(compare, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def _shingle_sets(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -424,21 +477,25 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     kind = rows.schema["id"].dataType.simpleString()
     fps = cut(rows.mapInArrow(run, f"id {kind}, fp long, " + ", ".join(f"{c} long" for c in longs)))
     counted = cut(fps.groupBy("fp").agg(F.min("id").alias("m"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in longs]))
-    lists = candidates(counted).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("d", "a"))).alias("x"))  # a few per anchor visited
-    pairs = cut(lists.select("b", F.posexplode("x").alias("pos", "y")).select(F.col("y.a").alias("a"), "b", "pos"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = cut(_shingle_sets(cut(counted.join(ends, "fp").select("fp", "m")), df, id_col, text_col))
+    near, left = candidates(counted)
     good = comp = None
-    for lo, hi in ROUNDS:
-        now = pairs.where((F.col("pos") >= lo) & (F.col("pos") < hi)).select("a", "b")
-        if comp is not None:  # links within a component add nothing
-            root = lambda x: comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-            now = now.join(root("a"), "a", "left").join(root("b"), "b", "left").where("NOT coalesce(ra = rb, false)").select("a", "b")
-        now = cut(_verified(now, sets, least))
-        if comp is not None and now.isEmpty():
+    for found in (lambda: near, lambda: unmet(left, comp)):
+        lists = found().groupBy("b").agg(F.array_sort(F.collect_list(F.struct("d", "a"))).alias("x"))
+        pairs = cut(lists.select("b", F.posexplode("x").alias("pos", "y")).select(F.col("y.a").alias("a"), "b", "pos"))
+        if comp is not None and pairs.isEmpty():
             continue
-        good = now if good is None else good.unionByName(now)
-        comp = components(good)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        sets = cut(_shingle_sets(cut(counted.join(ends, "fp").select("fp", "m")), df, id_col, text_col))
+        for lo, hi in ROUNDS:
+            now = pairs.where((F.col("pos") >= lo) & (F.col("pos") < hi)).select("a", "b")
+            if comp is not None:  # links within a component add nothing
+                root = lambda x: comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+                now = now.join(root("a"), "a", "left").join(root("b"), "b", "left").where("NOT coalesce(ra = rb, false)").select("a", "b")
+            now = cut(_verified(now, sets, least))
+            if comp is not None and now.isEmpty():
+                continue
+            good = now if good is None else good.unionByName(now)
+            comp = components(good)
     return _labelled(fps.select("id", "fp"), counted.select("fp", "m", "n"), comp).select(F.col("id").alias(id_col), "component_id")
 
 

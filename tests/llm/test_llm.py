@@ -431,6 +431,36 @@ def test_similar_finds_near_copies_and_nothing_else(spark, cell, monkeypatch):
     assert len(crowded) == 1 and sum(got[i] != want[i] for i in want) <= 2
 
 
+@pytest.mark.parametrize("cell, tight", [(simhash.CELL, simhash.NEAR), (8, simhash.TIGHT)])
+def test_similar_links_copies_within_a_template(spark, cell, tight, monkeypatch):
+    monkeypatch.setattr(simhash.candidates, "__defaults__", (cell,))
+    monkeypatch.setattr(simhash, "TIGHT", tight)  # few hubs, as where a template has many texts
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(5000)}"
+    edited = lambda words, share: [word() if r.random() < share else w for w in words]
+    template = [word() for _ in range(300)]
+    texts = []
+    for _ in range(120):
+        texts.append(edited(template, 0.035))
+        texts.append(edited(texts[-1], 0.012))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = jaccard_components(rows)
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) > 10
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[i] != want[i] for i in want) == 0
+
+
+@pytest.mark.parametrize("cell", [simhash.CELL, 32])
+def test_every_near_pair_of_an_anchor_is_met(spark, cell):
+    r = random.Random(7)
+    rows = [(i, sum(1 << b for b in r.sample(range(32, 63), 4)) | 0x1234567, *[r.getrandbits(62) for _ in range(3)]) for i in range(60)]
+    near, left = simhash.candidates(spark.createDataFrame(rows, "fp long, f0 long, f1 long, f2 long, f3 long"), cell)
+    met = near.select("a", "b").unionByName(simhash.unmet(left, spark.createDataFrame([], "node long, root long")).select("a", "b"))
+    assert {(min(x), max(x)) for x in met.collect()} == {(i, j) for j in range(60) for i in range(j)}
+
+
 def test_similar_of_odd_rows(odd, empty):
     rows = simhash.similar(odd).collect()
     assert len(rows) == odd.count()
