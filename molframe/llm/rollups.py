@@ -141,8 +141,8 @@ class Rollup:
 
 
 def op4(spark, sf_dir) -> DataFrame:
-    """A life of the table: all documents inserted under one tokenizer version; every third source's
-    documents counted anew under the next version beside it; ids divisible by 7 revised, their last word
+    """A life of the table: all documents inserted under both versions at once (no change of version is
+    rolled up); ids divisible by 7 revised, their last word
     cut and their language taken away; ids divisible by 11 deleted; the revision delivered twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     roll = Rollup(spark, f"{shared_dir(spark)}/rollup-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}")
