@@ -9,13 +9,16 @@ every link. Per anchor only a spanning forest of the links found is emitted, at
 member, so a group of copies never yields all its pairs. Anchors of more than CELL members are split
 into cells of two slices each; every two members still share a cell.
 
-`similar` finds texts by Jaccard similarity of their five-word shingles instead (0.8 or more). There the
-search runs on a wider fingerprint of word pairs, WORDS words of 32 bits: near copies agree in word pairs
-far more than unrelated texts do. Two texts whose words number j differ in at most 2 bits have a common
-anchor within covering radius + 1, as the point between them has its home there. At an anchor the texts first
-meet a few hubs; then every two within NEAR bits that no link joins are compared. An exact check of the
-shingle sets decides, so the fingerprint only loses links (about one in a hundred at 0.8, none seen above
-0.9) and never makes one.
+`similar` finds texts by Jaccard similarity of their five-word shingles instead (0.8 or more), in two steps.
+First, groups: a wider fingerprint of word pairs, WORDS words of 32 bits, visits the anchors within covering
+radius + 1 of each word. Two texts whose words number j differ in at most 2 bits have a common anchor, as the
+point between them has its home there. Members of an anchor within NEAR bits are linked by a spanning
+forest, so a group is a set of texts that may be alike. Then the sets of shingles of a group meet and are
+compared exactly, again up to a spanning forest. No pair is emitted before it is verified. The
+fingerprint only loses links and never makes one.
+
+Anchors and groups of more than a cell are met in two rounds: slices that share a few hubs; then, where
+components are left apart, every member outside of the largest one with every member, in cells of bounded size.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molframe.llm.common import cut, lean, only, table
@@ -35,11 +38,10 @@ HOT_SHARE, SALTS = 1000, 32
 _ROWS = 1 << 14
 
 #: `similar`: shingle widths of the search and of the check, 32-bit words of the fingerprint, the bits of the first
-#: 64 that may differ between candidates, and those within which a text is left to a hub.
-PAIR, SHINGLES, WORDS, NEAR, TIGHT = 2, 5, 8, 16, 6
-SMALL = 24
-#: Candidates of a text are checked in rounds, nearest first: the first, the next three, the rest.
-ROUNDS = ((0, 1), (1, 4), (4, 1 << 30))
+#: 128 and of all 256 that may differ.
+PAIR, SHINGLES, WORDS, NEAR = 2, 5, 8, (26, 46)
+#: Runs compared pair by pair, hubs of a crowded key, shingles that a cell may hold, texts that a task places.
+SMALL, HUBS, CELL_SHINGLES, PLACED_ROWS = 16, 32, 1 << 21, 20_000
 MOST_BROADCAST = 1_000_000
 
 
@@ -148,8 +150,8 @@ def link_runs(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int
     return np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
 
 
-def whole_runs(batches, columns: int):
-    """The columns of sorted batches as arrays, cut only where one of the first two changes."""
+def whole_runs(batches, columns: int, keys: int = 1):
+    """The columns of sorted batches as arrays, cut only where one of the first `keys` changes."""
     kept = None
     for batch in batches:
         here = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
@@ -157,7 +159,7 @@ def whole_runs(batches, columns: int):
             here = [np.concatenate(x) for x in zip(kept, here)]
         if len(here[0]) == 0:
             continue
-        other = np.nonzero((here[0] != here[0][-1]) | (here[1] != here[1][-1]))[0]
+        other = np.flatnonzero(np.any([x != x[-1] for x in here[:keys]], axis=0))
         last = int(other[-1]) + 1 if len(other) else 0
         kept = [x[last:] for x in here]
         if last:
@@ -191,7 +193,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> DataF
         cells = parts.select("key", "fp", "home", F.explode(to).alias("cell"))
 
     def compare(batches):
-        for here in whole_runs(batches, 4):
+        for here in whole_runs(batches, 4, 2):
             yield from found(here)
 
     def found(here):
@@ -235,24 +237,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprint 0 and link like any other. A null id gets a component from the other ids of its
     group, null if it has none. Repeated rows each get a row; an empty table gives none."""
     fps = cut(fingerprints(df, id_col, text_col).select(F.col(id_col).alias("id"), "fp"))
-    counted = cut(fps.groupBy("fp").agg(F.min("id").alias("m"), F.count("*").alias("n")))
-    nodes = counted.select("fp", "m")
-    return _labelled(fps, counted, components(links(nodes, threshold))).withColumnRenamed("id", id_col)
+    counted = cut(fps.groupBy("fp").agg(F.min("id").alias("m"), F.count("*").alias("n")).withColumn("node", F.col("fp")))
+    return _labelled(fps, counted, components(links(counted.select("fp"), threshold)), ["fp"]).withColumnRenamed("id", id_col)
 
 
-def _labelled(fps: DataFrame, counted: DataFrame, comp: DataFrame) -> DataFrame:
-    """(id, fp, component_id) of every row of fps(id, fp): counted(fp, m, n) has the smallest id and number of rows of each fp."""
-    nodes = counted.select("fp", "m")
-    named = comp.join(nodes, comp.node == nodes.fp).select("fp", "m", "root")
+def _labelled(rows: DataFrame, counted: DataFrame, comp: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, keys, component_id) of every row of rows(id, keys): counted(keys, node, m, n) has the smallest id and number of rows
+    of each node. Rows of a component's root meet its name in a plain equi-join that adaptive execution splits."""
+    nodes = counted.select(*keys, "node", "m")
+    named = comp.join(nodes, "node").select("node", "m", "root")
     best = named.groupBy("root").agg(F.min("m").alias("c"))
-    moved = named.join(best, "root").select("fp", "c")
-    ids = nodes.join(moved, "fp", "left").select("fp", F.coalesce("c", "m").alias("component_id"))
-    # fingerprints of over a HOT_SHARE-th of all rows, so fewer than HOT_SHARE of them, are dealt over SALTS tasks
+    moved = named.join(best, "root").select("node", "c")
+    ids = nodes.join(moved, "node", "left").select(*keys, F.coalesce("c", "m").alias("component_id"))
+    # nodes of over a HOT_SHARE-th of all rows, so fewer than HOT_SHARE of them, are dealt over SALTS tasks
     total = counted.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(counted.where(F.col("n") * HOT_SHARE > total).select("fp", F.lit(True).alias("hot")))
-    salted = ids.join(hot, "fp", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    dealt = fps.join(hot, "fp", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
-    return dealt.join(salted, ["fp", "salt"]).select("id", "fp", "component_id")
+    hot = F.broadcast(counted.where(F.col("n") * HOT_SHARE > total).select(*keys, F.lit(True).alias("hot")))
+    salted = ids.join(hot, keys, "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    dealt = rows.join(hot, keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+    return dealt.join(salted, [*keys, "salt"]).select("id", *keys, "component_id")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -283,220 +285,206 @@ def wide_fingerprint(text: bytes) -> np.ndarray:
     return np.packbits(2 * total > len(x), bitorder="little").view("<u8")
 
 
-def _near(f: np.ndarray):
-    """(first row, bits that differ from every one) of blocks of the unsigned longs f."""
-    for i in range(0, len(f), 256):
-        yield i, np.bitwise_count(f[i : i + 256, None] ^ f)
+def alike(one: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
+    """Of each of `others`: whether its Jaccard similarity with `one` is `least` or more; all are sorted sets, two empty ones are alike."""
+    size = np.fromiter(map(len, others), np.int64, len(others))
+    if len(one) == 0:
+        return size == 0
+    flat = np.concatenate([*others, one[:0]])
+    there = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    common = np.diff(np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(size)])])
+    return common >= least * (size + len(one) - common)
 
 
-def near_runs(run: np.ndarray, k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hub, member, bits that differ) of candidates in runs of equal `run`, where the hubs are, and where members
-    are that have another within NEAR bits which they do not meet.
+def spanning(f: np.ndarray, near: int, sets: list[np.ndarray] | None = None, least: float = 0.0, root: np.ndarray | None = None, light: np.ndarray | None = None):
+    """Links (i, j) that join all of one run's members that belong together, fewer than there are members.
 
-    Runs of at most SMALL: every pair, and all are hubs. In longer ones a member within TIGHT bits of a hub is
-    none itself, and each member meets its two nearest hubs, so a group of copies gives no more than two a member."""
-    f = f.view(np.uint64)
-    edge = np.flatnonzero(np.diff(run)) + 1
-    start = np.concatenate([[0], edge]).astype(np.int64)
-    length = np.diff(np.append(start, len(run)))
+    f: a row of longs for each member; two are near within `near` bits of them, and alike if their sets are.
+    Members of equal `root` are joined already. Of two that are both not `light`, the comparison is left out.
+    A member that has been reached is compared only with those not reached yet, so the members of a dense
+    group are compared a few times each; nothing that is near and not joined is left uncompared."""
+    n = len(f)
+    root = np.arange(n) if root is None else root
+    rest = np.arange(n)
+    a, b = [], []
+    while len(rest):
+        own = root[rest] == root[rest[0]]
+        todo, rest = list(rest[own]), rest[~own]
+        while todo and len(rest):
+            x = todo.pop()
+            to = rest if light is None or light[x] else rest[light[rest]]
+            hit = to[np.bitwise_count(f[to] ^ f[x]).sum(1, dtype=np.int32) <= near]
+            if sets is not None and len(hit):
+                step = max(1, (1 << 20) // (1 + max(len(sets[j]) for j in hit)))
+                hit = np.concatenate([hit[i : i + step][alike(sets[x], [sets[j] for j in hit[i : i + step]], least)] for i in range(0, len(hit), step)])
+            if len(hit):
+                _, first = np.unique(root[hit], return_index=True)
+                a += [x] * len(first)
+                b += list(hit[first])
+                new = np.isin(root[rest], root[hit])
+                todo += list(rest[new])
+                rest = rest[~new]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def short_and_long(key: np.ndarray, k: np.ndarray, f: np.ndarray, near: int, root: np.ndarray | None = None, light: np.ndarray | None = None):
+    """Links (a, b) between members k of runs of equal `key`: pair by pair in runs of up to SMALL, `spanning` ones in longer."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    length = np.diff(np.append(start, len(key)))
     short = np.repeat(length <= SMALL, length)
-    out, hubs, left = [], [np.flatnonzero(short)], [np.zeros(0, np.int64)]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, int(min(SMALL, length.max()))):
-        i = np.flatnonzero((run[d:] == run[:-d]) & short[d:])
-        bits = np.bitwise_count(f[i] ^ f[i + d])
-        i, bits = i[bits <= NEAR], bits[bits <= NEAR]
-        out.append((i, i + d, bits))
+        i = np.flatnonzero((key[d:] == key[:-d]) & short[d:])
+        if root is not None:
+            i = i[(root[i] != root[i + d]) & (light[i] | light[i + d])]
+        i = i[np.bitwise_count(f[i] ^ f[i + d]).sum(1, dtype=np.int32) <= near]
+        a.append(k[i])
+        b.append(k[i + d])
     for s, n in zip(start[length > SMALL], length[length > SMALL]):
-        free, own, rows = np.ones(n, bool), [], []
-        while free.any():
-            h = int(np.argmax(free))
-            bits = np.bitwise_count(f[s : s + n] ^ f[s + h])
-            free &= bits > TIGHT
-            bits[h] = 255
-            own.append(h)
-            rows.append(bits)
-        bits, own = np.stack(rows), np.array(own)
-        hubs.append(s + own)
-        to = np.argpartition(bits, 1, axis=0)[:2] if len(own) > 2 else np.arange(len(own))[:, None].repeat(n, 1)
-        got = np.take_along_axis(bits, to, 0)
-        which, member = np.nonzero(got <= NEAR)
-        hub = own[to[which, member]]
-        out.append((s + hub, s + member, got[which, member]))
-        unmet = np.zeros((n, n), bool)
-        for i, bits in _near(f[s : s + n]):
-            unmet[i : i + 256] = bits <= NEAR
-        unmet[hub, member] = unmet[member, hub] = False
-        np.fill_diagonal(unmet, False)
-        left.append(s + np.flatnonzero(unmet.any(1)))
-    a, b, d = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-    return k[a], k[b], d.astype(np.int32), np.concatenate(hubs), np.concatenate(left)
-
-
-def candidates(nodes: DataFrame, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
-    """(a, b, d): directed candidate pairs of nodes(fp, f0, f1, ...), b the member and d the bits that differ;
-    and (key, cell, k, f): the members of anchors that have not met all others within NEAR bits there.
-
-    Anchors of more than `cell` members are cut into slices; the hubs of the slices meet once more. All their
-    members are in the second table, in cells of two slices each: every two share a cell."""
+        kk, once = np.unique(k[s : s + n], return_index=True)
+        at = s + once
+        lit = None if light is None else np.isin(kk, k[s : s + n][light[s : s + n]])
+        x, y = spanning(f[at], near, None, 0.0, None if root is None else root[at], lit)
+        a.append(kk[x])
+        b.append(kk[y])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _slot(parts: Column, salt: str) -> Column:
+    return F.pmod(F.xxhash64("k", F.lit(salt)), parts).cast("long")
+
+
+def first_cells(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """`members` with their cell. Keys of hot(key, n, parts) are dealt over `parts` cells, and about HUBS of their members are in all of them."""
+    got = members.join(hot, "key", "left")
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    to = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).when(F.pmod(F.xxhash64("k", F.lit("hub")), F.col("n")) < HUBS, every).otherwise(F.array(_slot(F.col("parts"), "slice")))
+    return got.select(*members.columns, F.explode(to).alias("cell"))
+
+
+def second_cells(members: DataFrame, hot: DataFrame, comp: DataFrame) -> DataFrame:
+    """The members of hot keys that are not all joined by comp(node, root), with `root`, `light` and the cell.
+
+    Light are those outside of the key's largest component; each of them shares a cell with every member of its key."""
+    here = members.join(F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot, "key").drop("n")
+    here = here.join(comp, F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k")).drop("node")
+    shares = cut(here.groupBy("key", "root", "parts").agg(F.count("*").alias("n")))
+    main = shares.groupBy("key", "parts").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+    halves = 2 * F.col("parts")
+    main = main.select("key", "main", halves.alias("every"), F.greatest(F.lit(1), F.ceil(halves * (F.col("n") - F.col("most")) / F.col("n"))).cast("long").alias("few"))
+    got = here.drop("parts").join(main, "key").withColumn("light", F.col("root") != F.col("main"))
+    across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("few") - 1), lambda i: F.struct(F.lit(False).alias("light"), (i * F.col("every") + _slot(F.col("every"), "all")).alias("cell")))
+    along = F.transform(F.sequence(F.lit(0).cast("long"), F.col("every") - 1), lambda j: F.struct(F.lit(True).alias("light"), (_slot(F.col("few"), "light") * F.col("every") + j).alias("cell")))
+    to = F.when(F.col("light"), F.concat(across, along)).otherwise(across)
+    return got.select(*members.columns, "root", F.explode(to).alias("z")).select(*members.columns, "root", "z.light", "z.cell")
+
+
+def candidate_groups(nodes: DataFrame, cell: int = CELL) -> DataFrame:
+    """(node, root) of the nodes(node, f0, f1, ...) that have another in their group: texts of one group are joined by steps
+    of at most NEAR[0] of the first 128 bits between two that visit one anchor."""
     longs = [f"f{i}" for i in range(WORDS // 2)]
 
     def spread(batches):
         for batch in batches:
-            k, f = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            k, *f = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1 + WORDS // 2))
             for w in range(WORDS):
-                x = batch.column(1 + w // 2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(32 * (w % 2))
-                i, key, _ = covered(x.astype(np.int64) & 0xFFFFFFFF)
-                yield pa.RecordBatch.from_arrays([pa.array(key | w << 32), pa.array(k[i]), pa.array(f[i])], ["key", "k", "f"])
-
-    def compare(batches):
-        for key, c, k, f in whole_runs(batches, 4):
-            run = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (c[1:] != c[:-1])))
-            a, b, d, hubs, left = near_runs(run, k, f)
-            hubs, left = hubs[c[hubs] >= 0], left[c[left] < 0]
-            kind = np.repeat([0, 1], [len(hubs), len(left)]).astype(np.int32)
-            hubs = np.concatenate([hubs, left])
-            n, m = len(a), len(hubs)
-            if n + m:
-                edge = np.arange(n + m) < n
-                none, rest = np.zeros(n, np.int64), np.zeros(m, np.int64)
-                whole = lambda x, y, **kw: pa.array(np.concatenate([x, y]), **kw)
-                yield pa.RecordBatch.from_arrays(
-                    [whole(none, key[hubs], mask=edge), whole(a, k[hubs]), whole(b, rest, mask=~edge), whole(d, kind), whole(none, f[hubs])],
-                    ["key", "a", "b", "d", "f"],
-                )
-
-    def compared(placed: DataFrame, hot: DataFrame | None) -> DataFrame:
-        if hot is None:
-            cells = placed.withColumn("cell", F.lit(-1))
-        else:
-            parts = hot.select("key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
-            slot = F.coalesce(F.pmod(F.xxhash64("k", F.lit("slice")), F.col("parts")).cast("int"), F.lit(-1))
-            cells = placed.join(parts, "key", "left").withColumn("cell", slot)
-        ordered = cells.select("key", "cell", "k", "f").repartition("key", "cell").sortWithinPartitions("key", "cell", "k")
-        return ordered.mapInArrow(compare, "key long, a long, b long, d int, f long")
-
-    def crowded(placed: DataFrame) -> DataFrame | None:
-        hot = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell))
-        return None if hot.isEmpty() else hot
-
-    placed = nodes.select("fp", *longs).mapInArrow(spread, "key long, k long, f long")
-    hot = crowded(placed)
-    found = compared(placed, hot)
-    if hot is not None:
-        found = cut(found)
-        hubs = found.where("b IS NULL AND d = 0").select("key", F.col("a").alias("k"), "f")
-        found = found.unionByName(compared(hubs, crowded(hubs)).where("b IS NOT NULL"))
-    at = F.when(F.col("b").isNull(), F.col("key")).alias("key")
-    found = cut(found.where("b IS NOT NULL OR d = 1").groupBy("a", "b", at).agg(F.min("d").alias("d"), F.min("f").alias("f")))
-    left = found.where("b IS NULL").select("key", F.lit(0).alias("cell"), F.col("a").alias("k"), "f")
-    if hot is not None:
-        parts = F.col("parts")
-        slot = F.pmod(F.xxhash64("k", F.lit("cell")), parts).cast("int")
-        every = placed.join(hot.select("key", F.ceil(F.col("n") * 2 / cell).cast("int").alias("parts")), "key").withColumn("slot", slot)
-        to = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(j, F.col("slot")) * parts + F.greatest(j, F.col("slot")))
-        left = left.unionByName(every.select("key", F.explode(to).alias("cell"), "k", "f"))
-    return found.where("b IS NOT NULL").select("a", "b", "d"), left
-
-
-def unmet(left: DataFrame, comp: DataFrame) -> DataFrame:
-    """(a, b, d): every pair within NEAR bits that shares a key and cell of left(key, cell, k, f), other than those
-    within one component of comp(node, root)."""
-    rooted = left.join(comp, F.col("k") == F.col("node"), "left").select("key", "cell", "k", "f", F.coalesce("root", "k").alias("root"))
-
-    def compare(batches):
-        for key, c, k, f, root in whole_runs(batches, 5):
-            start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (c[1:] != c[:-1])))
-            for s, e in zip(start, np.append(start[1:], len(key))):
-                kk, rr = k[s:e], root[s:e]
-                if (rr == rr[0]).all():
-                    continue
-                for i, bits in _near(f[s:e].view(np.uint64)):
-                    x, y = np.nonzero((bits <= NEAR) & (rr[i : i + 256, None] != rr))
-                    d, x = bits[x, y].astype(np.int32), x + i
-                    once = x < y
-                    a, b, d = kk[x[once]], kk[y[once]], d[once]
-                    for j in range(0, len(a), _ROWS):
-                        p, q = a[j : j + _ROWS], b[j : j + _ROWS]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(d[j : j + _ROWS])], ["a", "b", "d"])
-
-    ordered = rooted.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return ordered.mapInArrow(compare, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
-
-
-def _shingle_sets(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(fp, set): the sorted distinct hashes of the SHINGLES-word shingles of each of nodes(fp, m), m an id that has the text."""
-    texts = df.select(F.col(id_col).alias("m"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    texts = texts.withColumn("fp", F.xxhash64("t"))
-    few = nodes.count() <= MOST_BROADCAST
-    same = (F.col("x.fp") == F.col("y.fp")) & F.col("x.m").eqNullSafe(F.col("y.m"))
-    rows = texts.alias("x").join((F.broadcast(nodes) if few else nodes).alias("y"), same, "left_semi").select("fp", "t")
+                i, key, _ = covered((f[w // 2].view(np.uint64) >> np.uint64(32 * (w % 2))).astype(np.int64) & 0xFFFFFFFF)
+                yield pa.RecordBatch.from_arrays([pa.array(key | w << 32), pa.array(k[i]), pa.array(f[0][i]), pa.array(f[1][i])], ["key", "k", "f0", "f1"])
+
+    def links_in(cells: DataFrame, *more: str) -> DataFrame:
+        def compare(batches):
+            for key, k, f0, f1, *state in whole_runs(batches, 4 + len(more)):
+                a, b = short_and_long(key, k, np.stack([f0, f1], 1).view(np.uint64), NEAR[0], *(x.astype(t) for x, t in zip(state, (np.int64, bool))))
+                for i in range(0, len(a), _ROWS):
+                    p, q = a[i : i + _ROWS], b[i : i + _ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+        # a key has 35 bits; two cells of it that meet in the upper 28 are only compared more
+        one = cells.select((F.col("key") + F.shiftleft(F.col("cell").bitwiseAND((1 << 28) - 1), 35)).alias("key"), "k", "f0", "f1", *more)
+        return one.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+
+    n = nodes.count()
+    placed = nodes.select("node", *longs).repartition(max(1, n // PLACED_ROWS)).mapInArrow(spread, "key long, k long, f0 long, f1 long")
+    hot = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell).withColumn("parts", F.ceil(F.col("n") / cell)))
+    if hot.isEmpty():
+        return components(links_in(placed.withColumn("cell", F.lit(0).cast("long"))))
+    comp = components(links_in(first_cells(placed, hot)))
+    return _joined(comp, links_in(second_cells(placed, hot, comp), "root", "light"))
 
-    def run(batches):
-        only("simhash")
-        for batch in batches:
-            got = [np.unique(shingle_hashes(x.as_py().encode(), SHINGLES)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["fp", "set"])
 
-    return rows.mapInArrow(run, "fp long, set binary").dropDuplicates(["fp"])
+def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """The components of comp(node, root) and the links more(a, b)."""
+    more = cut(more)
+    if more.isEmpty():
+        return comp
+    return components(comp.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more.select("a", "b")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of pairs(a, b) whose sets are alike by `least` or more; two empty sets are."""
-    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a")
+def checked_groups(members: DataFrame, texts: DataFrame, least: float, cell: int = CELL) -> DataFrame:
+    """(node, root) of the texts that are alike by `least` or more, within the groups of
+    members(key, k, h1, h2, m, size, f0, f1, ...); texts(id, h1, h2, t) hold the text of a member where id, h1 and h2 are its own."""
+    longs = [f"f{i}" for i in range(WORDS // 2)]
+    few = members.count() <= MOST_BROADCAST
+    same = (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")) & F.col("x.id").eqNullSafe(F.col("y.m"))
+    rows = texts.alias("x").join((F.broadcast(members) if few else members).alias("y"), same).select("y.key", "y.k", *[f"y.{c}" for c in longs], "x.t")
 
-    def run(batches):
+    def shingled(batches):
         only("simhash")
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= least * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+            got = [np.unique(shingle_hashes(x.as_py().encode(), SHINGLES)).tobytes() for x in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.binary())], ["key", "k", *longs, "set"])
+
+    made = rows.mapInArrow(shingled, ", ".join(f"{c} long" for c in ("key", "k", *longs)) + ", set binary").dropDuplicates(["k"])
+
+    def compare(tab: pa.Table) -> pa.Table:
+        col = {c: tab.column(c).to_numpy() for c in tab.column_names if c != "set"}
+        k, once = np.unique(col["k"], return_index=True)
+        f = np.stack([col[c][once] for c in longs], 1).view(np.uint64)
+        held = tab.column("set").combine_chunks()
+        sets = [np.frombuffer(held[int(i)].as_py(), np.uint64) for i in once]
+        light = np.isin(k, col["k"][col["light"].astype(bool)]) if "light" in col else None
+        a, b = spanning(f, NEAR[1], sets, least, col["root"][once] if "root" in col else None, light)
+        return pa.table({"a": np.minimum(k[a], k[b]), "b": np.maximum(k[a], k[b])}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    links_in = lambda cells: cells.groupBy("key", "cell").applyInArrow(compare, "a long, b long").distinct()
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    parts = F.ceil(F.greatest(F.col("n") / cell, F.col("s") / CELL_SHINGLES))
+    hot = cut(sizes.withColumn("parts", parts).where("parts > 1").select("key", "n", "parts"))
+    if hot.isEmpty():
+        return components(links_in(made.withColumn("cell", F.lit(0).cast("long"))))
+    made = cut(made)
+    comp = components(links_in(first_cells(made, hot)))
+    return _joined(comp, links_in(second_cells(made, hot, comp)))
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, cell: int = CELL) -> DataFrame:
     """(id_col, component_id) for every row: component_id is the smallest id reachable over texts whose sets of
     five-word shingles have a Jaccard similarity of `least` or more (A-Z lower-cased; shorter texts: one shingle).
 
-    Equal texts are one node. Null, empty and blank texts are alike. A null id gets a component from the other
-    ids of its group, null if it has none. Repeated rows each get a row; an empty table gives none."""
+    Equal texts (equal in two 64-bit hashes) are one node. Null, empty and blank texts are alike. A null id gets a
+    component from the other ids of its group, null if it has none. Repeated rows each get a row; an empty
+    table gives none. Further columns are not used. Very long texts are hashed whole; a group is cut by the shingles that it holds."""
     lean(df.sparkSession)
     longs = [f"f{i}" for i in range(WORDS // 2)]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("fp"), text.alias("t"))
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("identity"), text).alias("h2"), text.alias("t"))
 
     def run(batches):
         only("simhash")
         for batch in batches:
-            f = np.array([wide_fingerprint(x.as_py().encode()) for x in batch.column(2)], np.uint64).reshape(-1, WORDS // 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(f[:, i].copy().view(np.int64)) for i in range(WORDS // 2)]], ["id", "fp", *longs])
+            got = [x.as_py().encode() for x in batch.column(3)]
+            f = np.array([wide_fingerprint(x) for x in got], np.uint64).reshape(-1, WORDS // 2)
+            size = np.array([x.count(b" ") + x.count(b"\n") + 1 for x in got], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size), *[pa.array(f[:, i].copy().view(np.int64)) for i in range(WORDS // 2)]], ["id", "h1", "h2", "size", *longs])
 
     kind = rows.schema["id"].dataType.simpleString()
-    fps = cut(rows.mapInArrow(run, f"id {kind}, fp long, " + ", ".join(f"{c} long" for c in longs)))
-    counted = cut(fps.groupBy("fp").agg(F.min("id").alias("m"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in longs]))
-    near, left = candidates(counted)
-    good = comp = None
-    for found in (lambda: near, lambda: unmet(left, comp)):
-        lists = found().groupBy("b").agg(F.array_sort(F.collect_list(F.struct("d", "a"))).alias("x"))
-        pairs = cut(lists.select("b", F.posexplode("x").alias("pos", "y")).select(F.col("y.a").alias("a"), "b", "pos"))
-        if comp is not None and pairs.isEmpty():
-            continue
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        sets = cut(_shingle_sets(cut(counted.join(ends, "fp").select("fp", "m")), df, id_col, text_col))
-        for lo, hi in ROUNDS:
-            now = pairs.where((F.col("pos") >= lo) & (F.col("pos") < hi)).select("a", "b")
-            if comp is not None:  # links within a component add nothing
-                root = lambda x: comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-                now = now.join(root("a"), "a", "left").join(root("b"), "b", "left").where("NOT coalesce(ra = rb, false)").select("a", "b")
-            now = cut(_verified(now, sets, least))
-            if comp is not None and now.isEmpty():
-                continue
-            good = now if good is None else good.unionByName(now)
-            comp = components(good)
-    return _labelled(fps.select("id", "fp"), counted.select("fp", "m", "n"), comp).select(F.col("id").alias(id_col), "component_id")
+    fps = cut(rows.mapInArrow(run, f"id {kind}, h1 long, h2 long, size long, " + ", ".join(f"{c} long" for c in longs)))
+    counted = fps.groupBy("h1", "h2").agg(F.min("id").alias("m"), F.count("*").alias("n"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in longs])
+    counted = cut(counted.withColumn("node", F.monotonically_increasing_id()))  # read from the checkpoint only, so a number stays
+    near = cut(candidate_groups(counted, cell))
+    members = counted.join(near, "node").select(F.col("root").alias("key"), F.col("node").alias("k"), "h1", "h2", "m", "size", *longs)
+    comp = checked_groups(cut(members), rows, least, cell)
+    return _labelled(fps.select("id", "h1", "h2"), counted.select("h1", "h2", "node", "m", "n"), comp, ["h1", "h2"]).select(F.col("id").alias(id_col), "component_id")
 
 
 def op6(spark, sf_dir) -> DataFrame:

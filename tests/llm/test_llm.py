@@ -410,8 +410,7 @@ def jaccard_components(rows, least=0.8):
 
 
 @pytest.mark.parametrize("cell", [simhash.CELL, 32])
-def test_similar_finds_near_copies_and_nothing_else(spark, cell, monkeypatch):
-    monkeypatch.setattr(simhash.candidates, "__defaults__", (cell,))
+def test_similar_finds_near_copies_and_nothing_else(spark, cell):
     r = random.Random(3)
     word = lambda: f"w{r.randrange(5000)}"
     rows = []
@@ -424,18 +423,16 @@ def test_similar_finds_near_copies_and_nothing_else(spark, cell, monkeypatch):
         rows.append((len(rows), " ".join([*crowd[: i % 290], word(), *crowd[i % 290 + 1 :]])))
     rows += [(len(rows) + i, t) for i, t in enumerate([None, "", " \n", "A b C", "a  B c"])]
     want = jaccard_components(rows)
-    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), cell=cell).collect()}
     assert set(got) == set(want)
     assert all(want[i] == want[c] for i, c in got.items())  # no link of its own
     crowded = {got[i] for i, t in rows[56:206]}
     assert len(crowded) == 1 and sum(got[i] != want[i] for i in want) <= 2
 
 
-@pytest.mark.parametrize("cell, tight", [(simhash.CELL, simhash.NEAR), (8, simhash.TIGHT)])
-def test_similar_links_copies_within_a_template(spark, cell, tight, monkeypatch):
-    monkeypatch.setattr(simhash.candidates, "__defaults__", (cell,))
-    monkeypatch.setattr(simhash, "TIGHT", tight)  # few hubs, as where a template has many texts
-    monkeypatch.setattr(simhash, "SMALL", 4)
+@pytest.mark.parametrize("cell", [simhash.CELL, 16])
+def test_similar_links_copies_within_a_template(spark, cell):
+    """Texts of one template are near each other and not linked, but each has a copy among them."""
     r = random.Random(5)
     word = lambda: f"w{r.randrange(5000)}"
     edited = lambda words, share: [word() if r.random() < share else w for w in words]
@@ -446,19 +443,78 @@ def test_similar_links_copies_within_a_template(spark, cell, tight, monkeypatch)
         texts.append(edited(texts[-1], 0.012))
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     want = jaccard_components(rows)
-    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), cell=cell).collect()}
     assert len(set(want.values())) > 10
     assert all(want[i] == want[c] for i, c in got.items())
     assert sum(got[i] != want[i] for i in want) == 0
 
 
-@pytest.mark.parametrize("cell", [simhash.CELL, 32])
-def test_every_near_pair_of_an_anchor_is_met(spark, cell):
+def test_spanning_joins_what_is_near_or_alike_and_no_more():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 62, (6, 2), np.int64)
+    f = base[r.integers(0, 6, 90)].copy()
+    for i in range(90):
+        for bit in r.integers(0, 60, r.integers(0, 9)):
+            f[i, bit % 2] ^= 1 << int(bit)
+    f = f.view(np.uint64)
+    sets = [np.unique(r.integers(0, 12, 8)).astype(np.uint64) for _ in range(90)]
+    bits = np.bitwise_count(f[:, None] ^ f).sum(2)
+    jac = np.array([[len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for y in sets] for x in sets])
+
+    def components(ok, start=None):
+        label = np.arange(90) if start is None else start.copy()
+        for _ in range(90):
+            new = np.array([label[ok[i]].min(initial=label[i]) for i in range(90)])
+            for c in np.unique(label):  # those of one label stay together
+                new[label == c] = new[label == c].min()
+            if (new == label).all():
+                return label
+            label = new
+
+    same = lambda x, y: len(set(zip(x.tolist(), y.tolist()))) == len(set(x.tolist())) == len(set(y.tolist()))
+    roots, light = r.integers(0, 25, 90), r.random(90) < 0.3
+    for near, s, least, root, lit in [(9, None, 0.0, None, None), (60, sets, 0.6, None, None), (9, sets, 0.5, roots, None), (60, sets, 0.6, roots, light)]:
+        ok = bits <= near
+        if s is not None:
+            ok &= jac >= least
+        if lit is not None:
+            ok &= lit[:, None] | lit
+        a, b = simhash.spanning(f, near, s, least, root, lit)
+        linked = np.zeros((90, 90), bool)
+        linked[a, b] = linked[b, a] = True
+        assert len(a) < 90 and not (linked & ~ok).any()
+        assert same(components(linked, root), components(ok, root))
+
+
+def test_groups_join_all_that_share_an_anchor(spark):
+    """One crowded anchor: chains of steps within the distance, in cells far smaller than the anchor."""
     r = random.Random(7)
-    rows = [(i, sum(1 << b for b in r.sample(range(32, 63), 4)) | 0x1234567, *[r.getrandbits(62) for _ in range(3)]) for i in range(60)]
-    near, left = simhash.candidates(spark.createDataFrame(rows, "fp long, f0 long, f1 long, f2 long, f3 long"), cell)
-    met = near.select("a", "b").unionByName(simhash.unmet(left, spark.createDataFrame([], "node long, root long")).select("a", "b"))
-    assert {(min(x), max(x)) for x in met.collect()} == {(i, j) for j in range(60) for i in range(j)}
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(62), n))
+    rows = []
+    for i in range(120):
+        if i % 15 == 0:
+            top, f1 = r.getrandbits(31) << 32, r.getrandbits(62)
+        f1 = flip(f1, 20)
+        rows.append((i, top | 0x1234567, f1, r.getrandbits(62), r.getrandbits(62)))
+    bits = [[bin(x[2] ^ y[2]).count("1") + bin(x[1] ^ y[1]).count("1") for y in rows] for x in rows]
+    want = list(range(120))
+    for _ in range(120):
+        want = [min(want[j] for j in range(120) if bits[i][j] <= simhash.NEAR[0]) for i in range(120)]
+    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long")
+    for cell in (simhash.CELL, 16):
+        got = {x.node: x.root for x in simhash.candidate_groups(nodes, cell).collect()}
+        assert [got.get(i, i) for i in range(120)] == want
+    assert 5 < len(set(want)) < 60
+
+
+def test_texts_of_one_hash_stay_apart(spark):
+    """Two texts with one 64-bit hash are two nodes: identity takes two hashes."""
+    rows = [(i, h1, h2, 1) for i, (h1, h2) in enumerate([(7, 1), (7, 2), (7, 1), (8, 1)])]
+    fps = spark.createDataFrame([r[:3] for r in rows], "id long, h1 long, h2 long")
+    counted = spark.createDataFrame([(7, 1, 0, 0, 2), (7, 2, 1, 1, 1), (8, 1, 2, 3, 1)], "h1 long, h2 long, node long, m long, n long")
+    comp = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
+    got = {x.id: x.component_id for x in simhash._labelled(fps, counted, comp, ["h1", "h2"]).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1}
 
 
 def test_similar_of_odd_rows(odd, empty):
