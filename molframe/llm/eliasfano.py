@@ -80,25 +80,31 @@ class EliasFano:
         upper = at * 64 + self._bit(self.high[at], i - ones[at]) - i
         return (upper.astype(U64) << U64(self.width)) | self._lower(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each x (uint64, under the universe), -1 where it is not in the sequence."""
-        if self.n == 0 or len(x) == 0:
-            return np.full(len(x), -1, np.int64)
-        h = (x >> U64(self.width)).astype(np.int64)
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Place of each x (uint64), -1 where it is not in the sequence, or not among the places from `first` up to `end`.
+
+        The range is cut to the places with the upper part of x; the rest is a binary search."""
+        out = np.full(len(x), -1, np.int64)
+        h = x >> U64(self.width)
+        inside = np.flatnonzero(h < U64(self.zeros[-1]))
+        if self.n == 0 or len(inside) == 0:
+            return out
+        h, want = h[inside].astype(np.int64), x[inside] & U64((1 << self.width) - 1)
         hi = self._select0(h) - h
         lo = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) - (h - 1), 0)
-        want, end = x & U64((1 << self.width) - 1), hi.copy()
-        live = np.nonzero(lo < hi)[0]
+        if first is not None:
+            lo, hi = np.maximum(lo, first[inside]), np.minimum(hi, end[inside])
+        top = hi.copy()
+        live = np.flatnonzero(lo < hi)
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
             less = self._lower(mid) < want[live]
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
             live = live[lo[live] < hi[live]]
-        there = np.nonzero(lo < end)[0]
-        out = np.full(len(x), -1, np.int64)
-        got = there[self._lower(lo[there]) == want[there]]
-        out[got] = lo[got]
+        there = np.flatnonzero(lo < top)
+        there = there[self._lower(lo[there]) == want[there]]
+        out[inside[there]] = lo[there]
         return out
 
 

@@ -206,35 +206,50 @@ def test_elias_fano():
     assert eliasfano.EliasFano.build(pointers, 10).access(np.arange(6)).tolist() == pointers.tolist()
 
 
-def model(rows, least=2):
+def test_elias_fano_within_a_range():
+    e = eliasfano.EliasFano.build(np.array([3, 4, 4, 9, 9, 9, 70]), 71)
+    x, lo, hi = np.array([[4, 0, 2], [4, 2, 3], [4, 3, 7], [9, 4, 6], [70, 0, 6], [70, 0, 7], [1 << 40, 0, 7], [3, 1, 1]]).T
+    assert e.find(x.astype(np.uint64), lo, hi).tolist() == [1, 2, -1, 4, -1, 6, -1, -1]
+
+
+def model(rows, order=3):
+    """Interpolated absolute discounting in plain dictionaries."""
     tokens = [t.encode().lower().split() + [b"\n"] for t in rows]
-    c, pairs, heads = collections.Counter(), collections.Counter(), collections.Counter()
+    c, grams, heads, mass = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
     for w in tokens:
         c.update(w)
-        pairs.update(zip([b"\r", *w], w))
-        heads.update([b"\r", *w[:-1]])
-    kept = {k: n for k, n in pairs.items() if n >= least}
-    mass = collections.Counter()
-    for (h, _), n in kept.items():
-        mass[h] += (n - lm.DISCOUNT) / heads[h]
+        w = [b"\r", *w]
+        for n in range(2, order + 1):
+            grams.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    for g, n in grams.items():
+        heads[g[:-1]] += n
+    for g, n in grams.items():
+        mass[g[:-1]] += (n - lm.DISCOUNT) / heads[g[:-1]]
     total, z = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
 
     def score(text):
-        w = text.encode().lower().split() + [b"\n"]
+        w = [b"\r", *text.encode().lower().split(), b"\n"]
         base = s = 0.0
-        for h, x in zip([b"\r", *w], w):
-            one = (c[x] + 0.5) / z
-            base += math.log10(one)
-            s += math.log10((kept[h, x] - lm.DISCOUNT) / heads[h] * ((h, x) in kept) + one * (1 - mass[h]) if (h, x) in kept else one * (1 - mass[h]))
-        return len(w), sum(c[x] > 0 for x in w), total, base, s
+        for i in range(1, len(w)):
+            p = (c[w[i]] + 0.5) / z
+            base += math.log10(p)
+            for n in range(2, min(order, i + 1) + 1):
+                g = tuple(w[i + 1 - n : i + 1])
+                if heads[g[:-1]]:
+                    p = (grams[g] - lm.DISCOUNT) / heads[g[:-1]] * (g in grams) + p * (1 - mass[g[:-1]])
+            s += math.log10(p)
+        return len(w) - 1, sum(c[x] > 0 for x in w[1:]), total, base, s
 
     return score
 
 
-@pytest.mark.parametrize("shard_rows", [1_000_000, 700])
-def test_scores_equal_a_plain_model(spark, docs, texts, shard_rows):
-    plain = model([t for i, t, *_ in texts if zlib.crc32(str(i).encode()) % 5 != 1])
-    got = {r.doc_id: r for r in lm.score(docs, lm.fit(docs.where(fold("doc_id") != 1), shard_rows=shard_rows)).collect()}
+@pytest.mark.parametrize("order, shard_words, shard_tokens", [(3, 1_000_000, 10_000_000), (3, 700, 900), (2, 1_000_000, 500)])
+def test_scores_equal_a_plain_model(spark, docs, texts, order, shard_words, shard_tokens):
+    """With small shards many words and pairs of them are hot contexts, split over shards of their own."""
+    plain = model([t for i, t, *_ in texts if zlib.crc32(str(i).encode()) % 5 != 1], order)
+    trie = lm.fit(docs.where(fold("doc_id") != 1), order=order, shard_words=shard_words, shard_tokens=shard_tokens)
+    assert shard_tokens > 1000 or len(trie.two.of.ids) > 2
+    got = {r.doc_id: r for r in lm.score(docs, trie).collect()}
     for i, t, *_ in texts:
         n, known, total, base, s = plain(t)
         r = got[i]
@@ -242,14 +257,33 @@ def test_scores_equal_a_plain_model(spark, docs, texts, shard_rows):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(s, abs=2e-4 * n)
 
 
-def test_the_query_keeps_pairs_seen_once(spark, texts):
-    plain = model([t for i, t, *_ in texts if zlib.crc32(str(i).encode()) % 5 != 1], least=1)
+def test_the_query_keeps_all(spark, texts):
+    plain = model([t for i, t, *_ in texts if zlib.crc32(str(i).encode()) % 5 != 1])
     got = {r.doc_id: r.score for r in lm.op3(spark, DATA).collect()}
     for i, t, *_ in texts:
         n, *_, s = plain(t)
         assert got[i] == pytest.approx(s, abs=2e-4 * n)
 
 
+def test_hot_pairs_are_split(spark):
+    """One pair of words that outweighs a shard, its successors in several shards."""
+    r = random.Random(9)
+    rows = [(i, " ".join(["of the " + r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    trie = lm.fit(df, shard_words=10, shard_tokens=300)
+    assert len(trie.three.of.ids) and (trie.three.of.parts > 1).all()
+    plain = model([t for _, t in rows])
+    for x in lm.score(df, trie).collect():
+        assert x.score == pytest.approx(plain(rows[x.doc_id][1])[-1], abs=2e-4 * x.n_tokens)
+
+
+def test_packed_keys():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        x = np.sort(r.integers(0, 1 << 62, n))
+        assert (lm.unpacked(lm.packed(x)) == x).all()
+
+
 def test_scores_of_odd_rows(odd, empty):
     m = lm.fit(odd)
     rows = lm.score(odd, m).collect()
