@@ -72,31 +72,45 @@ def printable(sig: Column, n: int = SAMPLES) -> Column:
     return F.lower(F.concat(*[part(j) for j in range(n)]))
 
 
-def ranges(ids: DataFrame, id_col: str, rows: int = BUCKET_ROWS) -> tuple[Column, int]:
-    """(bucket of an id, number of buckets): rising with the id, about `rows` rows each, at most MOST_BUCKETS.
+def _tie(text: Column) -> Column:
+    """The order of equal ids: a hash of the text."""
+    return F.xxhash64(text)
+
+
+def ranges(ids: DataFrame, id_col: str, tie_col: str, rows: int = BUCKET_ROWS) -> tuple[Column, int]:
+    """(bucket of a row, number of buckets): rising with (id, tie), about `rows` rows each, at most about MOST_BUCKETS.
 
     Approximate quantiles cut the ids into at most CUTS parts of equal size, each part is cut evenly by
-    value. So the expression stays short, and gaps or dense runs of ids do not fill a bucket. Null ids: -1."""
+    value. So the expression stays short, and gaps or dense runs of ids do not fill a bucket. An id that is
+    several quantiles, as one that a third of the rows have, is a part of its own, cut evenly by the tie.
+    Null ids are such a part too, below the others."""
     x = F.col(id_col)
-    n = ids.where(x.isNotNull()).count()
-    wanted = min(MOST_BUCKETS, max(1, -(-n // rows)))
+    got = ids.select(F.count("*").alias("all"), F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    wanted = min(MOST_BUCKETS, max(1, -(-got.n // rows)))
     parts = min(CUTS, wanted)
-    got = ids.select(F.percentile_approx(x, [i / parts for i in range(parts + 1)], 10_000).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    if n == 0 or wanted == 1:
-        return F.when(x.isNull(), -1).otherwise(0), 2
-    q = sorted({got.lo, *got.q[1:-1], got.hi + 1})
+    q = ids.select(F.percentile_approx(x, [i / parts for i in range(parts + 1)], 10_000).alias("q")).first().q if got.n else [0, 0]
     inner = -(-wanted // parts)
-    low, width = F.array(*[F.lit(v) for v in q[:-1]]), F.array(*[F.lit(b - a) for a, b in zip(q, q[1:])])
+    own = {v for v in q if q.count(v) > 2}
+    # parts by their least id: those of one id, and the gaps between
+    cuts = sorted({got.lo or 0, *q[1:-1], *[v + 1 for v in own if v < (got.hi or 0)]})
+    ends = [*cuts[1:], (got.hi or 0) + 1]
+    cells = [inner * q.count(v) if v in own else inner for v in cuts]
+    first = [sum(cells[:i]) for i in range(len(cells))]
+    share = F.col(tie_col).cast("double") / float(1 << 64) + 0.5
+
+    def cell(i: int) -> Column:
+        at = share if cuts[i] in own else (x.cast("double") - float(cuts[i])) / float(ends[i] - cuts[i])
+        return F.greatest(F.lit(0), F.least(F.floor(at * float(cells[i])).cast("int"), F.lit(cells[i] - 1))) + first[i]
 
     def part(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo)
+            return cell(lo)
         mid = (lo + hi + 1) // 2
-        return F.when(x >= q[mid], part(mid, hi)).otherwise(part(lo, mid - 1))
+        return F.when(x >= cuts[mid], part(mid, hi)).otherwise(part(lo, mid - 1))
 
-    k = part(0, len(q) - 2)
-    within = F.least(F.floor((x - F.element_at(low, k + 1)) * float(inner) / F.element_at(width, k + 1)).cast("int"), F.lit(inner - 1))
-    return F.when(x.isNull(), -1).otherwise(k * inner + within), (len(q) - 1) * inner
+    nulls = max(1, min(MOST_BUCKETS, -(-(got["all"] - got.n) // rows)))
+    null = F.greatest(F.lit(0), F.least(F.floor(share * float(nulls)).cast("int"), F.lit(nulls - 1))) - nulls
+    return F.when(x.isNull(), null).otherwise(part(0, len(cuts) - 1)), sum(cells) + nulls
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = BUCKET_ROWS) -> DataFrame:
@@ -104,15 +118,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     The ids are cut into ranges, the rows dealt by range, and the first row of each range is repeated at
     the end of the range before it (`ghost`), so the texts move once and no task sees more than its range.
-    Equal ids follow each other in the order of their texts; null ids come last."""
+    Equal ids follow each other in the order of a hash of their texts; null ids come last."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bucket, n = ranges(d.select("id"), "id", rows)
-    own = d.select("id", "text", bucket.alias("b"))
-    # one row a range, at most MOST_BUCKETS: small enough for one task and for a broadcast
+    d = d.withColumn("tie", _tie(F.col("text")))
+    bucket, n = ranges(d.select("id", "tie"), "id", "tie", rows)
+    own = d.select("id", "tie", "text", bucket.alias("b"))
+    # one row a range, at most about MOST_BUCKETS: small enough for one task and for a broadcast
     down, every = W.partitionBy(F.lit(0)).orderBy(F.col("b").desc()), W.partitionBy(F.lit(0))
-    firsts = own.groupBy("b").agg(F.max("id").alias("m")).select(F.col("b").alias("fb"), "m", F.coalesce(F.lag("b").over(down), F.min("b").over(every)).alias("to"))
-    extra = own.join(F.broadcast(firsts), (F.col("b") == F.col("fb")) & F.col("id").eqNullSafe(F.col("m"))).select("id", "text", F.col("to").alias("b"), F.lit(True).alias("ghost"))
-    w = W.partitionBy("b").orderBy("ghost", F.col("id").desc_nulls_last(), "text")
+    firsts = own.groupBy("b").agg(F.max(F.struct("id", "tie")).alias("m"))
+    firsts = firsts.select(F.col("b").alias("fb"), F.col("m.id").alias("mi"), F.col("m.tie").alias("mt"), F.coalesce(F.lag("b").over(down), F.min("b").over(every)).alias("to"))
+    same = (F.col("b") == F.col("fb")) & F.col("id").eqNullSafe(F.col("mi")) & (F.col("tie") == F.col("mt"))
+    extra = own.join(F.broadcast(firsts), same).select("id", "tie", "text", F.col("to").alias("b"), F.lit(True).alias("ghost"))
+    w = W.partitionBy("b").orderBy("ghost", F.col("id").desc_nulls_last(), F.col("tie").desc(), "text")
     dealt = own.withColumn("ghost", F.lit(False)).unionByName(extra).repartition(n, "b")
     return dealt.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next")).select("b", "rn", "ghost", "id", "text", "next")
 
@@ -126,7 +143,7 @@ def edit(text: Column, nxt: Column) -> Column:
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SAMPLES, rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null texts are empty, and empty or blank texts are alike (1.0). Equal ids are ordered by text. One
+    Null texts are empty, and empty or blank texts are alike (1.0). Equal ids are ordered by a hash of their text. One
     document alone is its own next one. Further columns of `docs` are not used."""
     rows_ = with_next(docs, id_col, text_col, rows)
     e = edit(F.col("text"), F.coalesce("next", "text"))
