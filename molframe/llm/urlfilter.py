@@ -1,8 +1,8 @@
 """URL filters by host-suffix and path-prefix expressions, in DataFrame functions only.
 
 A rule is a host and a path. It fits a url whose host is the rule's or a subdomain of it and whose path
-starts with the rule's. Every url is expanded into the pairs of its host suffixes and of its path's
-prefixes of those lengths that rules have; both sides are joined on a short hash prefix of the pair, and
+starts with the rule's. Every url is expanded into the pairs of its host suffixes, of those numbers of labels that
+rules have, and of its path's prefixes of those lengths that rules have; both sides are joined on a short hash prefix of the pair, and
 the full digests decide. The longest fitting rule wins (host and path together, then host, then text).
 
 Equal urls are judged once. Rules are broadcast if there are at most `most_rules` of them; beyond that the
@@ -49,17 +49,18 @@ def _short(digest: Column) -> Column:
 def judge(pages: DataFrame, rule_rows: DataFrame, url_col: str = "url", default: str = "allow", most_rules: int = MOST_RULES) -> DataFrame:
     """All columns of `pages` with host, path, rule (null if none fits) and verdict; own columns of these names are replaced.
 
-    Null urls and urls without `://` have an empty host and path and fit no rule. Rules of equal host and
+    Null urls and urls without `://` have an empty host and path and fit no rule; very long hosts and paths are judged whole. Rules of equal host and
     path: `block` wins. Null hosts or paths of rules count as empty and fit nothing; null actions are dropped."""
     r = rule_rows.where("action IS NOT NULL").groupBy(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("rh"), F.coalesce("path", F.lit("")).alias("rp")).agg(F.max("action").alias("act")).where("rh <> ''")
-    sizes = r.agg(F.count("*").alias("n"), F.collect_set(F.length("rp")).alias("l")).first()
+    dots = lambda h: F.length(h) - F.length(F.replace(h, F.lit("."), F.lit("")))
+    sizes = r.agg(F.count("*").alias("n"), F.collect_set(F.length("rp")).alias("l"), F.collect_set(dots(F.col("rh")) + 1).alias("labels")).first()
     lengths = sorted(sizes.l)
     small = sizes.n <= most_rules
     own = pages.drop("host", "path", "rule", "verdict")
     host, path = host_and_path(F.col("__u"))
     urls = own.select(F.coalesce(F.col(url_col), F.lit("")).alias("__u")).distinct().select("__u", host.alias("h"), path.alias("p"))
-    labels = F.split("h", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # a suffix of each number of labels that a rule has, so a host of many labels costs no more than its length for each
+    suffixes = F.array_compact(F.array(*[F.when(dots(F.col("h")) >= k - 1, F.substring_index("h", ".", -k)) for k in sorted(sizes.labels)]).cast("array<string>"))
     ends = F.filter(F.array(*[F.lit(x) for x in lengths]) if lengths else F.array().cast("array<int>"), lambda x: x <= F.length("p"))
     expanded = urls.where("h <> ''").select("__u", "h", "p", F.explode(suffixes).alias("eh")).select("__u", "eh", F.explode(F.transform(ends, lambda x: F.substring(F.col("p"), F.lit(1), x))).alias("ep"))
     keyed = r.withColumn("rd", _digest(F.col("rh"), F.col("rp"))).withColumn("rk", _short(F.col("rd")))
