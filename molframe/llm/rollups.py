@@ -13,7 +13,9 @@ per key and task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,12 @@ def counts(docs: DataFrame, versions: list[str], text_col: str = "text") -> Data
     return docs.select("doc_id", "source", "lang", F.octet_length(t).cast("long").alias("bytes"), F.inline(each))
 
 
+def without_last_word(t: Column) -> Column:
+    """The text up to its last run of non-blanks, the same if it has none. Searched from the end, so a word of any length costs its length once."""
+    blank = "[\\x20\\x09-\\x0D]"
+    return F.regexp_replace(t, f"(?s)\\A(.*{blank})?[^\\x20\\x09-\\x0D]++{blank}*\\z", "$1")
+
+
 def signed(rows: DataFrame, sign: int) -> DataFrame:
     """Rows of `counts` as signed amounts."""
     return rows.select(*KEYS, F.lit(sign).cast("long").alias("docs"), (F.col("tokens") * sign).alias("tokens"), (F.col("bytes") * sign).alias("bytes"))
@@ -106,8 +114,9 @@ class Rollup:
             raise ValueError(f"bad batch id: {batch!r}")
         if self.committed(batch):
             return False
-        reduced(amounts).write.mode("overwrite").parquet(f"{self.folder}/staged/{batch}")
-        self._commit(f"{self.folder}/staged/{batch}", f"{self.folder}/batches/{batch}")
+        staged = f"{self.folder}/staged/{batch}-{uuid.uuid4().hex}"  # two drivers never write to one place
+        reduced(amounts).write.parquet(staged)
+        self._commit(staged, f"{self.folder}/batches/{batch}")
         return True
 
     def totals(self) -> DataFrame:
@@ -149,7 +158,7 @@ def op4(spark, sf_dir) -> DataFrame:
     every = list(VERSIONS)
     roll.apply("0001-insert", signed(counts(docs, every), 1))
     old = docs.where("doc_id % 7 = 0")
-    new = old.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*$", "")).withColumn("lang", F.lit("unk"))
+    new = old.withColumn("text", without_last_word(F.coalesce("text", F.lit("")))).withColumn("lang", F.lit("unk"))
     change = revised(counts(old, every), counts(new, every))
     roll.apply("0002-revise", change)
     gone = new.where("doc_id % 11 = 0").unionByName(docs.where("doc_id % 11 = 0 AND doc_id % 7 <> 0"))
