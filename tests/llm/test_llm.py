@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -321,6 +322,23 @@ def test_rollup_is_idempotent_and_additive(spark, odd, tmp_path):
         r.apply("_x", rollups.signed(a, 1))
 
 
+def test_last_words_are_cut_in_time_of_their_length(spark):
+    rows = ["", "  ", "a", "a b", "a b \n", " \tx", "x" * 3_000_000, "y " * 600_000, "z" * 1_000_000 + " end", "é ü\u0085"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    start = time.time()
+    got = {r.i: r.o for r in df.select("i", rollups.without_last_word(F.col("t")).alias("o")).collect()}
+    assert [got[i] for i in range(len(rows))] == ["", "  ", "", "a ", "a ", " \t", "", "y " * 599_999, "z" * 1_000_000 + " ", "é "]
+    assert time.time() - start < 30
+
+
+def test_hosts_of_many_labels(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 200_000 + "net/es/x"), (2, "http://" + "." * 50_000), (3, "http://com/"), (4, "http://xcom/")], "page_id long, url string")
+    start = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, urlfilter.rules(spark)).collect()}
+    assert got == {1: ("net/es/", "block"), 2: (None, "allow"), 3: ("com/", "allow"), 4: (None, "allow")}
+    assert time.time() - start < 30
+
+
 # -- 5 ---------------------------------------------------------------------------------------------
 
 URLS = [None, "", "com/", "http://com", "http://COM/", "http://a.example.com/en/x?q#f", "http://www.example.com/en/", "http://www.example.com/EN/", "http://xexample.com/en/", "https://net/fr/?a", "ftp://sub.net/es/#x", "http://u://com/", "http://a.net/e", "http://example.com:80/en/", "x://com/\n/y"]
@@ -678,3 +696,26 @@ def test_fingerprints_of_odd_rows(spark, odd, empty):
     assert fingerprints.fingerprint(empty).count() == 0
     one = fingerprints.fingerprint(odd.where("doc_id = 6")).first()
     assert one.near_next == 1.0
+
+
+@pytest.mark.parametrize("kind", ["limits", "hot"])
+def test_fingerprints_of_extreme_null_and_repeated_ids(spark, kind):
+    """Ids at both ends of long; a third of the rows without an id and a third with one id: the order is that of (id, hash of the text)."""
+    r = random.Random(6)
+    if kind == "limits":
+        ids = [-(2**63), 2**63 - 1, *[r.randrange(-(2**63), 2**63) for _ in range(400)]]
+    else:
+        ids = [*[None] * 130, *[7] * 130, *range(140)]
+    rows = [(i, " ".join(f"w{r.randrange(90)}" for _ in range(12))) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = lambda t: (x := xxhash.xxh64_intdigest(t.encode(), 42)) - (x >> 63 << 64)
+    down = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), -signed(x[1])))
+    want = collections.Counter()
+    for n, (i, t) in enumerate(down):
+        k = len(t) // 3
+        want[i, hashlib.sha256((t[: len(t) - k] + down[(n + 1) % len(down)][1][:k]).encode()).hexdigest()] += 1
+    got = collections.Counter((x.doc_id, x.edited_sha256) for x in fingerprints.fingerprint(df, rows=10).select("doc_id", "edited_sha256").collect())
+    assert got == want
+    bucket, n = fingerprints.ranges(df.withColumn("tie", F.xxhash64("text")), "doc_id", "tie", 10)
+    sizes = [x["count"] for x in df.withColumn("tie", F.xxhash64("text")).groupBy(bucket.alias("b")).count().collect()]
+    assert max(sizes) <= 40
