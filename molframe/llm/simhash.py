@@ -328,26 +328,39 @@ def spanning(f: np.ndarray, near: int, sets: list[np.ndarray] | None = None, lea
 
 
 def short_and_long(key: np.ndarray, k: np.ndarray, f: np.ndarray, near: int, root: np.ndarray | None = None, light: np.ndarray | None = None):
-    """Links (a, b) between members k of runs of equal `key`: pair by pair in runs of up to SMALL, `spanning` ones in longer."""
+    """Links (least member, member) of what belongs together in runs of equal `key`; see `spanning`.
+
+    Each links to the least one, so the same links come from the many keys that near members share. Short runs, of up
+    to SMALL members, are compared all at once."""
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     length = np.diff(np.append(start, len(key)))
     short = np.repeat(length <= SMALL, length)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, int(min(SMALL, length.max()))):
-        i = np.flatnonzero((key[d:] == key[:-d]) & short[d:])
+        at = np.flatnonzero((key[d:] == key[:-d]) & short[d:])
         if root is not None:
-            i = i[(root[i] != root[i + d]) & (light[i] | light[i + d])]
-        i = i[np.bitwise_count(f[i] ^ f[i + d]).sum(1, dtype=np.int32) <= near]
-        a.append(k[i])
-        b.append(k[i + d])
+            at = at[(root[at] != root[at + d]) & (light[at] | light[at + d])]
+        at = at[np.bitwise_count(f[at] ^ f[at + d]).sum(1, dtype=np.int32) <= near]
+        i.append(at)
+        j.append(at + d)
     for s, n in zip(start[length > SMALL], length[length > SMALL]):
         kk, once = np.unique(k[s : s + n], return_index=True)
         at = s + once
         lit = None if light is None else np.isin(kk, k[s : s + n][light[s : s + n]])
         x, y = spanning(f[at], near, None, 0.0, None if root is None else root[at], lit)
-        a.append(kk[x])
-        b.append(kk[y])
-    return np.concatenate(a), np.concatenate(b)
+        i.append(at[x])
+        j.append(at[y])
+    i, j = np.concatenate(i), np.concatenate(j)
+    least = k.copy()
+    while len(i):  # as often as the longest way to a least member
+        before = least.copy()
+        m = np.minimum(least[i], least[j])
+        np.minimum.at(least, i, m)
+        np.minimum.at(least, j, m)
+        if (least == before).all():
+            break
+    moved = np.flatnonzero(least != k)
+    return least[moved], k[moved]
 
 
 def _slot(parts: Column, salt: str) -> Column:
