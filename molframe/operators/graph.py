@@ -93,9 +93,3 @@ def within_hops(edges: DataFrame, hops: int = 3, part: Sequence[str] = ()) -> Da
         front = front.join(adj.withColumnRenamed("c", "j"), [*p, "j"]).select(*p, "i", F.col("n").alias("j")).where("i <> j").distinct()
         reach = reach.unionByName(front)
     return reach.distinct()
-
-
-def out_of_order(df: DataFrame, part: Sequence[str], order: Sequence, component: str) -> DataFrame:
-    """Rows whose component number is below the one before: an interleaved layout."""
-    w = W.partitionBy(*part).orderBy(*order)
-    return df.withColumn("__b", F.lag(component).over(w)).where(F.col(component) < F.col("__b")).drop("__b")

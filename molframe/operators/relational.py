@@ -86,11 +86,6 @@ def last_wins(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     return best.select(*key, "__v.*")
 
 
-def value_dictionary(df: DataFrame, part: Sequence[str], value: Sequence[str], order: str, out: str) -> DataFrame:
-    """Distinct values with ids from 1 in order of first appearance."""
-    return first_seen(df, part, value, order, {}, out).withColumn(out, F.col(out) + 1)
-
-
 def missing_from(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of `left` without a partner; keys compare null-safe."""
     r = right.select(*[F.col(k).alias(f"__{k}") for k in key]).distinct()

@@ -16,7 +16,7 @@ from molframe.functions.geometry import distance2, vec
 from molframe.operators import graph
 from molframe.operators.lookup import IMPROPER, PROPER, containing_set, either_direction, pair_lookup, wildcard_lookup
 from molframe.operators.radius import nearest, radius_join, radius_pairs
-from molframe.operators.relational import end_flags
+from molframe.operators.relational import end_flags, missing_from, with_neighbour
 from molframe.options import BuildOptions
 from molframe.plans.hydrogens import place_hydrogens
 from molframe.plans.system import System
@@ -173,7 +173,7 @@ def match_atoms(r: DataFrame, p: ParsedPdb, t: Templates) -> tuple[DataFrame, Da
     gone = both.where("there IS NULL AND number_of <> 1").groupBy("sid", "residue_idx", reference().alias("ref")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "atom_name"))), lambda s: s["atom_name"]), ", ").alias("names"))
     bad = bad.unionByName(violation(gone, "missing_heavy_atoms", F.col("residue_idx"), F.concat(F.lit("residue "), "ref", F.lit(" is missing heavy atoms: "), "names")))
     heavy = p.atoms.where(~F.col("element").isin("H", "D")).select("sid", "residue_idx", F.col("name").alias("atom_name"))
-    extra = heavy.join(wanted.select("sid", "residue_idx", "atom_name"), ["sid", "residue_idx", "atom_name"], "left_anti").join(r.where("template IS NOT NULL"), ["sid", "residue_idx"])
+    extra = missing_from(heavy, wanted, ["sid", "residue_idx", "atom_name"]).join(r.where("template IS NOT NULL"), ["sid", "residue_idx"])
     bad = bad.unionByName(violation(extra, "unsupported_residue", F.col("residue_idx"), F.concat(F.lit("unsupported residue "), reference(), F.lit(": heavy atom "), "atom_name", F.lit(" is not present in template "), "template")))
     return both, bad
 
@@ -187,7 +187,8 @@ def find_bonds(atoms: DataFrame, r: DataFrame, p: ParsedPdb, t: Templates) -> Da
     ends = inside.select("sid", "residue", "ord", "atom_idx")
     template = template.join(ends.select("sid", "residue", F.col("ord").alias("a"), F.col("atom_idx").alias("i")), ["sid", "residue", "a"]).join(ends.select("sid", "residue", F.col("ord").alias("b"), F.col("atom_idx").alias("j")), ["sid", "residue", "b"])
     prot = r.where(protein()).select("sid", "residue", "chain")
-    c = at.where("name = 'C'").join(prot, ["sid", "residue"]).select("sid", (F.col("residue") + 1).alias("residue"), "chain", F.col("atom_idx").alias("i"), *[F.col(a).alias(f"c{a}") for a in "xyz"])
+    follow = with_neighbour(prot, ["sid", "chain"], ["residue"], {"residue": "next"}).where("next = residue + 1")
+    c = at.where("name = 'C'").join(follow, ["sid", "residue"]).select("sid", F.col("next").alias("residue"), "chain", F.col("atom_idx").alias("i"), *[F.col(a).alias(f"c{a}") for a in "xyz"])
     n = at.where("name = 'N'").join(prot, ["sid", "residue"]).select("sid", "residue", "chain", F.col("atom_idx").alias("j"), "x", "y", "z")
     peptide = c.join(n, ["sid", "residue", "chain"]).where(distance2(vec(), vec("c")) <= 4.0)
     serial = atoms.where("serial IS NOT NULL").groupBy("sid", "serial").agg(F.max("atom_idx").alias("atom_idx"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from molframe.errors import MolframeError, require_none, violation
 from molframe.functions.geometry import distance2, vec
+from molframe.operators.relational import with_neighbour
 from molframe.plans.system import System
 from molframe.runtime import cut
 from molframe.schema import PROTEIN
@@ -207,8 +208,7 @@ class Structure:
         record = F.when(F.col("residue_name").isin(PROTEIN), "ATOM  ").otherwise("HETATM")
         line = F.concat(record, F.lpad(F.col("serial").cast("string"), 5, " "), F.lit(" "), F.rpad("name", 4, " "), F.lit(" "), F.lpad("residue_name", 3, " "), F.lit(" "), F.rpad("chain", 1, " "), F.lpad(F.col("number").cast("string"), 4, " "), F.coalesce("icode", F.lit(" ")), F.lit("   "), *[F.format_string("%8.3f", c) for c in "xyz"], F.lit("  1.00  0.00          "), F.lpad("element", 2, " "))
         lines = a.select("sid", F.lit(1).alias("part"), F.col("residue_idx").alias("o1"), F.col("pos").cast("long").alias("o2"), line.alias("line"))
-        nxt = F.lead("chain").over(W.partitionBy("sid").orderBy("residue_idx"))
-        ends = p.residues.withColumn("nxt", nxt).where("nxt IS NULL OR nxt <> chain").select("sid", F.lit(1).alias("part"), F.col("residue_idx").alias("o1"), F.lit(1 << 60).alias("o2"), F.lit("TER").alias("line"))
+        ends = with_neighbour(p.residues, ["sid"], ["residue_idx"], {"chain": "nxt"}).where("nxt IS NULL OR nxt <> chain").select("sid", F.lit(1).alias("part"), F.col("residue_idx").alias("o1"), F.lit(1 << 60).alias("o2"), F.lit("TER").alias("line"))
         con = p.conect.select("sid", F.lit(2).alias("part"), F.col("a").cast("int").alias("o1"), F.col("b").alias("o2"), F.concat(F.lit("CONECT"), F.lpad(F.col("a").cast("string"), 5, " "), F.lpad(F.col("b").cast("string"), 5, " ")).alias("line"))
         every = lines.unionByName(ends).unionByName(con).unionByName(self._links())
         body = F.transform(F.sort_array(F.collect_list(F.struct("part", "o1", "o2", "line"))), lambda s: s["line"])

@@ -7,15 +7,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molframe import system_queries
 from molframe.functions import geometry as geo
 from molframe.functions.mixing import splitmix64, unsigned_order
 from molframe.functions.text import read_records, write_records
 from molframe.operators import graph, lookup, radius, relational
 from molframe.plans import optimize
 from molframe.plans.solvate import PER_NM3, choose_spaced
+from molframe.sinks import render
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = dict(system_queries.QUERIES)
+SQL: dict[str, str] = dict(system_queries.SQL)
 
 
 def query(sql: str | None = None):
@@ -132,14 +134,14 @@ def canonical_pair_lookup(spark, d):
 
 
 @query("""WITH q AS (SELECT DISTINCT p_brand AS a, p_type AS b, (p_size % 4)::VARCHAR AS c FROM part),
-    k AS (SELECT p_brand AS t1, p_type AS t2, (p_size % 4)::VARCHAR AS t3, min(p_partkey) AS v FROM part WHERE p_partkey % 7 = 0 GROUP BY ALL),
-    r AS (SELECT (p_size % 4)::VARCHAR AS t1, p_type AS t2, p_brand AS t3, min(p_partkey) AS v FROM part WHERE p_partkey % 11 = 0 GROUP BY ALL), u AS (SELECT * FROM k UNION ALL SELECT * FROM r)
+    k AS (SELECT p_brand AS t1, p_type AS t2, (p_size % 4)::VARCHAR AS t3, min(p_partkey) AS v FROM part WHERE p_size > 25 GROUP BY ALL),
+    r AS (SELECT (p_size % 4)::VARCHAR AS t1, p_type AS t2, p_brand AS t3, min(p_partkey) AS v FROM part GROUP BY ALL), u AS (SELECT * FROM k UNION ALL SELECT * FROM r)
     SELECT a, b, c, coalesce(f.v, g.v) AS v FROM q LEFT JOIN u f ON a = f.t1 AND b = f.t2 AND c = f.t3 LEFT JOIN u g ON c = g.t1 AND b = g.t2 AND a = g.t3""")
 def either_direction_lookup(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", "p_brand", "p_type", (F.col("p_size") % 4).cast("string").alias("s"))
+    p = _t(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size", (F.col("p_size") % 4).cast("string").alias("s"))
     q = p.select(F.col("p_brand").alias("a"), F.col("p_type").alias("b"), F.col("s").alias("c")).distinct()
-    k = p.where("p_partkey % 7 = 0").groupBy(F.col("p_brand").alias("t1"), F.col("p_type").alias("t2"), F.col("s").alias("t3")).agg(F.min("p_partkey").alias("v"))
-    r = p.where("p_partkey % 11 = 0").groupBy(F.col("s").alias("t1"), F.col("p_type").alias("t2"), F.col("p_brand").alias("t3")).agg(F.min("p_partkey").alias("v"))
+    k = p.where("p_size > 25").groupBy(F.col("p_brand").alias("t1"), F.col("p_type").alias("t2"), F.col("s").alias("t3")).agg(F.min("p_partkey").alias("v"))
+    r = p.groupBy(F.col("s").alias("t1"), F.col("p_type").alias("t2"), F.col("p_brand").alias("t3")).agg(F.min("p_partkey").alias("v"))
     return lookup.either_direction(q, ["a", "b", "c"], k.unionByName(r), ["t1", "t2", "t3"], ["v"])
 
 
@@ -175,25 +177,25 @@ def wildcard_improper(spark, d):
     return _wild(spark, d, lookup.IMPROPER)
 
 
-@query("""WITH o AS (SELECT l_orderkey, list_sort(list_distinct(list(p_type))) AS members FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25 GROUP BY 1),
-    s AS (SELECT p_brand AS name, list_distinct(list(p_type)) AS sets, count(*) AS n FROM part WHERE p_size < 8 GROUP BY 1)
+@query("""WITH o AS (SELECT l_orderkey, list_sort(list_distinct(list(p_type))) AS members FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    s AS (SELECT p_brand AS name, list_distinct(list(p_type)) AS sets, count(*) AS n FROM part GROUP BY 1)
     SELECT l_orderkey, arg_min(name, (n::BIGINT * 1000 + substr(name, 7)::BIGINT)) AS name, min(n)::BIGINT AS cost FROM o JOIN s ON list_has_all(sets, members) GROUP BY 1""")
 def set_containment_best(spark, d):
     part = _t(spark, d, "part")
-    li = _t(spark, d, "lineitem").where("l_quantity > 25").select("l_orderkey", "l_partkey")
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     o = li.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey").groupBy("l_orderkey").agg(F.collect_set("p_type").alias("members"))
-    s = part.where("p_size < 8").groupBy(F.col("p_brand").alias("brand")).agg(F.collect_set("p_type").alias("sets"), F.count("*").alias("n")).withColumn("name", F.substring("brand", 7, 9).cast("long"))
+    s = part.groupBy(F.col("p_brand").alias("brand")).agg(F.collect_set("p_type").alias("sets"), F.count("*").alias("n")).withColumn("name", F.substring("brand", 7, 9).cast("long"))
     best = lookup.containing_set(o, ["l_orderkey"], "members", s.select("name", "sets", "n"), "name", "sets", F.col("n"))
     return best.select("l_orderkey", F.concat(F.lit("Brand#"), F.col("name").cast("string")).alias("name"), "cost")
 
 
 @query("""WITH RECURSIVE a AS (SELECT p_partkey::VARCHAR AS alias, (p_partkey - 1)::VARCHAR AS source FROM part WHERE p_partkey % 5 <> 0),
-    v AS (SELECT p_partkey::VARCHAR AS k, p_retailprice AS value, 0 AS depth FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT alias, value, depth + 1 FROM v JOIN a ON source = k WHERE depth < 3)
+    v AS (SELECT p_partkey::VARCHAR AS k, p_retailprice AS value, 0 AS depth FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT alias, value, depth + 1 FROM v JOIN a ON source = k WHERE depth < 4)
     SELECT k, value FROM v""")
 def alias_closure(spark, d):
     p = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), "p_partkey", F.col("p_retailprice").alias("value"))
     a = p.where("p_partkey % 5 <> 0").select(F.col("k").alias("alias"), (F.col("p_partkey") - 1).cast("string").alias("source"))
-    return lookup.with_aliases(p.where("p_partkey % 5 = 0").select("k", "value"), a, "k", 3)
+    return lookup.with_aliases(p.where("p_partkey % 5 = 0").select("k", "value"), a, "k")
 
 
 # -- space --------------------------------------------------------------------------------------
@@ -285,45 +287,24 @@ def khop_exclusions(spark, d):
 @query("""SELECT o_custkey, count(*) AS n, max(CASE WHEN k < b THEN 1 ELSE 0 END) AS interleaved FROM (
     SELECT o_custkey, o_orderkey % 7 AS k, lag(o_orderkey % 7) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) GROUP BY 1""")
 def component_sizes(spark, d):
-    o = _t(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", (F.col("o_orderkey") % 7).alias("k"))
-    bad = graph.out_of_order(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "k").select("o_custkey").distinct().withColumn("interleaved", F.lit(1))
-    return o.groupBy("o_custkey").agg(F.count("*").alias("n")).join(bad, "o_custkey", "left").fillna(0, ["interleaved"])
+    """The topology writer's sizes of components; components that interleave are refused."""
+    o = _t(spark, d, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey", (F.col("o_orderkey") % 7).alias("k")).alias("o"))
 
+    def sizes(batches):
+        for pdf in batches:
+            out = []
+            for c, rows in zip(pdf["o_custkey"], pdf["rows"]):
+                atoms = [{"residue": i} for i in range(len(rows))]
+                try:
+                    out.append((c, sum(render.component_sizes(atoms, [{"residue": i, "component": r["k"]} for i, r in enumerate(rows)])), 0))
+                except ValueError:
+                    out.append((c, len(rows), 1))
+            yield pd.DataFrame(out, columns=["o_custkey", "n", "interleaved"])
 
-# -- energies -----------------------------------------------------------------------------------
-
-
-@query(f"""WITH p AS ({P}), e AS ({EDGES.replace('0.03', '0.1')}), x AS (SELECT i, j FROM e WHERE (i + j) % 5 = 0), f AS (SELECT i, j, 1.2::DOUBLE AS scee, 2.0::DOUBLE AS scnb FROM x WHERE (i + j) % 10 = 0),
-    k AS (SELECT e.*, coalesce(scee, 1.0) AS scee, coalesce(scnb, 1.0) AS scnb FROM e LEFT JOIN f USING (i, j) WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.i = e.i AND x.j = e.j) OR f.i IS NOT NULL)
-    SELECT a.label, count(*) AS pairs, round(sum((pow(0.05 / greatest(sqrt(d2), 0.02), 12) - 2 * pow(0.05 / greatest(sqrt(d2), 0.02), 6)) / scnb), 4) AS van_der_waals, round(sum(a.q * b.q / (greatest(sqrt(d2), 0.02) * scee)), 4) AS electrostatics
-    FROM k JOIN p a ON a.id = k.i JOIN p b ON b.id = k.j GROUP BY 1""")
-def lj_coulomb_sum(spark, d):
-    p, e = _points(spark, d), radius.radius_pairs(_points(spark, d), 0.1, "id")
-    x = e.where("(i + j) % 5 = 0").select("i", "j")
-    f = x.where("(i + j) % 10 = 0").select("i", "j", F.lit(1.2).alias("scee"), F.lit(2.0).alias("scnb"))
-    k = e.join(x.join(f, ["i", "j"], "left_anti"), ["i", "j"], "left_anti").join(f, ["i", "j"], "left").fillna(1.0, ["scee", "scnb"])
-    j = k.join(p.select(F.col("id").alias("i"), "label", F.col("q").alias("qi")), "i").join(p.select(F.col("id").alias("j"), F.col("q").alias("qj")), "j")
-    r = F.greatest(F.sqrt("d2"), F.lit(0.02))
-    six = F.pow(F.lit(0.05) / r, 6)
-    return j.groupBy("label").agg(F.count("*").alias("pairs"), F.round(F.sum((F.pow(F.lit(0.05) / r, 12) - 2 * six) / F.col("scnb")), 4).alias("van_der_waals"), F.round(F.sum(F.col("qi") * F.col("qj") / (r * F.col("scee"))), 4).alias("electrostatics"))
-
+    return o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o")).alias("rows")).mapInPandas(sizes, "o_custkey long, n long, interleaved int")
 
-_BORN = "0.5 * (1 / lo - 1 / hi + 0.25 * (r - s * s / r) * (1 / (hi * hi) - 1 / (lo * lo)) + 0.5 / r * ln(lo / hi))"
 
-
-@query(f"""WITH p AS ({P}), j AS (SELECT a.id, 0.05::DOUBLE AS rho, 0.04::DOUBLE AS s, greatest(sqrt({D2}), 1e-8) AS r FROM p a JOIN p b ON a.id <> b.id AND a.label = b.label),
-    k AS (SELECT *, greatest(rho, abs(r - s)) AS lo, r + s AS hi FROM j), i AS (SELECT id, sum(CASE WHEN hi > rho AND lo < hi THEN {_BORN} ELSE 0 END) AS psi FROM k GROUP BY 1)
-    SELECT id, round(1 / greatest(1 / 0.05::DOUBLE - tanh(0.05 * psi - 0.8 * pow(0.05 * psi, 2) + 4.85 * pow(0.05 * psi, 3)) / 0.06, 1e-6), 8) AS born FROM i""")
-def born_radius(spark, d):
-    p = _points(spark, d)
-    j = p.select("id", "label", "x", "y", "z").join(p.select(F.col("id").alias("o"), "label", *[F.col(a).alias(f"o{a}") for a in "xyz"]), "label").where("id <> o")
-    r, s, rho = F.greatest(F.sqrt(geo.distance2(geo.vec(), geo.vec("o"))), F.lit(1e-8)), F.lit(0.04), F.lit(0.05)
-    lo, hi = F.greatest(rho, F.abs(r - s)), r + s
-    term = 0.5 * (1 / lo - 1 / hi + 0.25 * (r - s * s / r) * (1 / (hi * hi) - 1 / (lo * lo)) + 0.5 / r * F.log(lo / hi))
-    i = j.groupBy("id").agg(F.sum(F.when((hi > rho) & (lo < hi), term).otherwise(0.0)).alias("i"))
-    psi = rho * F.col("i")
-    t = F.tanh(psi - 0.8 * psi * psi + 4.85 * psi * psi * psi)
-    return i.select("id", F.round(1 / F.greatest(1 / rho - t / 0.06, F.lit(1e-6)), 8).alias("born"))
+# -- energies -----------------------------------------------------------------------------------
 
 
 @query("SELECT label, round(min(embedding[1]::DOUBLE), 9) AS lo, round(max(embedding[1]::DOUBLE), 9) AS hi, round(max(embedding[1]::DOUBLE) - min(embedding[1]::DOUBLE) + 24, 9) AS box, round((max(embedding[1]::DOUBLE) - min(embedding[1]::DOUBLE) + 24) * 0.5 - (min(embedding[1]::DOUBLE) + max(embedding[1]::DOUBLE)) * 0.5, 9) AS shift FROM embeddings GROUP BY 1")
@@ -356,36 +337,29 @@ def ion_counts(spark, d):
 
 @query("""SELECT p_type, p_brand, (row_number() OVER (PARTITION BY p_type ORDER BY f))::INTEGER AS idx FROM (SELECT p_type, p_brand, min(p_partkey) AS f FROM part GROUP BY ALL)""")
 def type_dictionary(spark, d):
-    return relational.value_dictionary(_t(spark, d, "part"), ["p_type"], ["p_brand"], "p_partkey", "idx")
+    """The topology writer's numbers of values by first appearance."""
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p_partkey")
+        got = render.first_appearance(pdf.to_dict("records"), "p_brand")
+        return pd.DataFrame({"p_type": pdf["p_type"].iloc[0], "p_brand": [k for k, in got], "idx": list(got.values())})
+
+    return _t(spark, d, "part").select("p_partkey", "p_type", "p_brand").groupBy("p_type").applyInPandas(number, "p_type string, p_brand string, idx int")
 
 
 @query("""WITH t AS (SELECT p_brand AS t, arg_min(p_retailprice, p_partkey) / 1000 AS radius, arg_min(p_size, p_partkey)::DOUBLE AS epsilon FROM part GROUP BY 1)
     SELECT a.t AS first, b.t AS second, round(sqrt(a.epsilon * b.epsilon) * pow(a.radius + b.radius, 12), 2) AS acoef, round(2 * sqrt(a.epsilon * b.epsilon) * pow(a.radius + b.radius, 6), 4) AS bcoef FROM t a JOIN t b ON a.t >= b.t""")
 def pair_table(spark, d):
-    t = _t(spark, d, "part").groupBy(F.col("p_brand").alias("t")).agg((F.min_by("p_retailprice", "p_partkey") / 1000).alias("radius"), F.min_by("p_size", "p_partkey").cast("double").alias("epsilon"))
-    j = t.toDF("first", "r1", "e1").join(t.toDF("second", "r2", "e2"), F.col("first") >= F.col("second"))
-    r, e = F.col("r1") + F.col("r2"), F.sqrt(F.col("e1") * F.col("e2"))
-    return j.select("first", "second", F.round(e * F.pow(r, 12), 2).alias("acoef"), F.round(2 * e * F.pow(r, 6), 4).alias("bcoef"))
-
+    """The topology writer's tables of pairs of types."""
+    t = _t(spark, d, "part").groupBy(F.col("p_brand").alias("atom_type")).agg((F.min_by("p_retailprice", "p_partkey") / 1000).alias("radius"), F.min_by("p_size", "p_partkey").cast("double").alias("epsilon"))
 
-@query("""SELECT l_returnflag, round(sum(0.5 * pow((l_extendedprice - l_quantity * p_retailprice) / 1000, 2)), 3) AS energy, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
-def energy_harmonic(spark, d):
-    li = _t(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    j = li.join(_t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice"), "l_partkey")
-    delta = (F.col("l_extendedprice") - F.col("l_quantity") * F.col("p_retailprice")) / 1000
-    return j.groupBy("l_returnflag").agg(F.round(F.sum(0.5 * F.pow(delta, 2)), 3).alias("energy"), F.count("*").alias("n"))
+    def tables(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(pdf["atom_type"])
+        index, a, b = render.pair_tables(pdf.to_dict("records"), names)
+        n = len(names)
+        return pd.DataFrame([(names[i], names[j], round(a[index[i * n + j] - 1], 2), round(b[index[j * n + i] - 1], 4)) for i in range(n) for j in range(i + 1)], columns=["first", "second", "acoef", "bcoef"])
 
-
-@query(f"""WITH p AS ({P}), e AS ({EDGES.replace('0.03', '0.05')}), g AS (SELECT a.id AS i, b.id AS j, 2 * (sqrt({D2}) - 0.04) / sqrt({D2}) AS k, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz FROM e JOIN p a ON a.id = e.i JOIN p b ON b.id = e.j),
-    s AS (SELECT i AS id, k * dx AS gx, k * dy AS gy, k * dz AS gz FROM g UNION ALL SELECT j, -k * dx, -k * dy, -k * dz FROM g) SELECT id, round(sum(gx), 8) AS gx, round(sum(gy), 8) AS gy, round(sum(gz), 8) AS gz FROM s GROUP BY 1""")
-def gradient_scatter(spark, d):
-    p = _points(spark, d)
-    e = radius.radius_join(p.select("id", "x", "y", "z"), p.select("id", "x", "y", "z"), 0.05).where("l_id < r_id")
-    v = geo.sub(geo.vec("l_"), geo.vec("r_"))
-    g = geo.scale(v, 2 * (F.sqrt("d2") - 0.04) / F.sqrt("d2"))
-    both = F.array(*[F.struct(F.col(i).alias("id"), *[(c * s).alias(f"g{a}") for c, a in zip(g, "xyz")]) for i, s in (("l_id", 1), ("r_id", -1))])
-    rows = e.select(F.inline(both))
-    return rows.groupBy("id").agg(*[F.round(F.sum(f"g{a}"), 8).alias(f"g{a}") for a in "xyz"])
+    return t.withColumn("sid", F.lit("all")).groupBy("sid").applyInPandas(tables, "first string, second string, acoef double, bcoef double")  # one row a type
 
 
 @query(f"""WITH p AS ({P}), e AS ({EDGES.replace('0.03', '0.05')}), adj AS ({ADJ}), t AS (SELECT a.n AS i, a.c, b.n AS k FROM adj a JOIN adj b ON a.c = b.c AND a.n < b.n),
@@ -402,23 +376,15 @@ def angle_sum(spark, d):
 # -- configuration, reports, hashes -----------------------------------------------------------------
 
 
-@query("""SELECT event_id, coalesce(CASE WHEN event_type = 'view' THEN 5 END, CASE WHEN (props->>'k')::INT > 50 THEN (props->>'k')::INT END, 12) AS padding, coalesce(props->>'salt', '0.15') AS salt FROM events""")
-def config_merge(spark, d):
-    e = _t(spark, d, "events").select("event_id", "event_type", "props")
-    k = F.get_json_object("props", "$.k").cast("int")
-    return e.select("event_id", F.coalesce(F.when(F.col("event_type") == "view", 5), F.when(k > 50, k), F.lit(12)).alias("padding"), F.coalesce(F.get_json_object("props", "$.salt"), F.lit("0.15")).alias("salt"))
+_ROUND = "(xor({z}, {z} // {shift}::UHUGEINT) * {k}::UHUGEINT) % 18446744073709551616::UHUGEINT"
 
 
-@query("""SELECT o_custkey, count(*) AS orders, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS finished, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1""")
-def report_rollup(spark, d):
-    o = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
-    return o.groupBy("o_custkey").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.sha2(listed.cast("binary"), 256).alias("digest"))
-
-
-@query(None)
+@query(f"""WITH a AS (SELECT o_orderkey, (o_orderkey::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM orders),
+    b AS (SELECT o_orderkey, {_ROUND.format(z='z', shift=1 << 30, k=0xBF58476D1CE4E5B9)} AS z FROM a), c AS (SELECT o_orderkey, {_ROUND.format(z='z', shift=1 << 27, k=0x94D049BB133111EB)} AS z FROM b),
+    e AS (SELECT o_orderkey, xor(z, z // {1 << 31}::UHUGEINT)::HUGEINT AS z FROM c)
+    SELECT o_orderkey, (CASE WHEN z >= 9223372036854775808::HUGEINT THEN z - 18446744073709551616::HUGEINT ELSE z END)::BIGINT AS mixed, (z - 9223372036854775808::HUGEINT)::BIGINT AS rank_key FROM e""")
 def tie_hash(spark, d):
-    """Splitmix of each order key; the numbers are held against Python in the tests (SQL has no wrapping product)."""
+    """Splitmix of each order key, and the number that sorts as the unsigned one."""
     o = _t(spark, d, "orders").select("o_orderkey")
     return o.select("o_orderkey", splitmix64(F.col("o_orderkey")).alias("mixed"), unsigned_order(splitmix64(F.col("o_orderkey"))).alias("rank_key"))
 
@@ -432,9 +398,23 @@ def coordinate_validation(spark, d):
 # -- sequential and iterative operators; the tests hold them against plain loops --------------------------
 
 
-@query(None)
+def _turns(n: int) -> str:
+    """CTEs of n turns: each takes, of the sites not taken, the best that is 0.3 or more from all taken, or else the best; then the least hash."""
+    out = []
+    for t in range(n):
+        taken = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(t)) or "SELECT * FROM h WHERE false"
+        near = f"EXISTS (SELECT 1 FROM ({taken}) c WHERE c.label = h.label AND (c.x - h.x) * (c.x - h.x) + (c.y - h.y) * (c.y - h.y) + (c.z - h.z) * (c.z - h.z) < 0.3::DOUBLE * 0.3::DOUBLE)"
+        free = f"NOT EXISTS (SELECT 1 FROM ({taken}) c WHERE c.label = h.label AND c.id = h.id)"
+        out.append(f"t{t} AS MATERIALIZED (SELECT * FROM h WHERE {free} QUALIFY row_number() OVER (PARTITION BY label ORDER BY {near}, {'q' if t % 2 == 0 else '-q'}, tie) = 1)")
+    return ", ".join(out)
+
+
+@query(f"""WITH p AS ({P}), a AS (SELECT *, (id::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS m FROM p),
+    b AS (SELECT * REPLACE ({_ROUND.format(z='m', shift=1 << 30, k=0xBF58476D1CE4E5B9)} AS m) FROM a), c AS (SELECT * REPLACE ({_ROUND.format(z='m', shift=1 << 27, k=0x94D049BB133111EB)} AS m) FROM b),
+    h AS MATERIALIZED (SELECT label, id, x, y, z, q, xor(m, m // {1 << 31}::UHUGEINT) AS tie FROM c), {_turns(4)}
+    SELECT label, turn::BIGINT AS turn, id FROM (SELECT label, 0 AS turn, id FROM t0 UNION ALL SELECT label, 1, id FROM t1 UNION ALL SELECT label, 2, id FROM t2 UNION ALL SELECT label, 3, id FROM t3)""")
 def greedy_spaced_selection(spark, d):
-    """Four spaced sites a label, rising and falling potential in turn."""
+    """Four spaced sites a label, rising and falling potential in turn (the engine's own choice, one group a label)."""
     p = _points(spark, d).select("label", "id", "x", "y", "z", "q", unsigned_order(splitmix64(F.col("id"))).alias("tie"))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -501,5 +481,5 @@ def ga_integer_target(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Pair energies of near points: the cell join and a grouped sum."""
-    return lj_coulomb_sum(spark, d)
+    """All energy terms of systems made from the vectors."""
+    return system_queries.energy_components(spark, d)

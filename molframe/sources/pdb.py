@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from molframe.errors import require_none, violation
 from molframe.functions.text import char_at, field, parsed
-from molframe.operators.relational import best_row
+from molframe.operators.relational import best_row, first_seen, running_state
 from molframe.options import BuildOptions
 from molframe.schema import ATOM_FIELDS, LINK_FIELDS, PROTEIN, SSBOND_FIELDS
 
@@ -57,9 +57,9 @@ def with_models(lines: DataFrame) -> DataFrame:
     is_model, is_end = F.col("line").startswith("MODEL "), F.col("line").startswith("ENDMDL")
     number = parsed(F.col("line"), 10, 14, "int")
     state = F.when(is_model, F.coalesce(number, F.lit(-1))).when(is_end, 0)
-    running = F.last(state, ignorenulls=True).over(W.partitionBy("sid").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow))
+    lines = running_state(lines, ["sid"], ["line_no"], state, "model")
     any_model = F.max(is_model.cast("int")).over(W.partitionBy("sid"))
-    return lines.withColumn("model", F.coalesce(running, F.when(any_model == 1, 0).otherwise(1))).withColumn("marker", is_model | is_end)
+    return lines.withColumn("model", F.coalesce("model", F.when(any_model == 1, 0).otherwise(1))).withColumn("marker", is_model | is_end)
 
 
 def models(lines: DataFrame) -> DataFrame:
@@ -113,8 +113,7 @@ def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = F
     w = W.partitionBy("sid").orderBy("serial", "chain", "number", F.col("icode").asc_nulls_first(), "name")
     ordered = chosen.withColumn("pos", F.row_number().over(w) - 1)
     rkey = ["sid", "chain", "number", "icode"]
-    grouped = ordered.groupBy(*rkey).agg(F.min_by("residue_name", "pos").alias("name"), F.min("pos").alias("first"))
-    residues = grouped.withColumn("residue_idx", F.row_number().over(W.partitionBy("sid").orderBy("first")) - 1).select("sid", "residue_idx", "chain", "number", "icode", "name")
+    residues = first_seen(ordered, rkey[:1], rkey[1:], "pos", {"name": F.col("residue_name")}, "residue_idx").select("sid", "residue_idx", "chain", "number", "icode", "name")
     r = residues.select(F.col("sid").alias("__s"), F.col("chain").alias("__c"), F.col("number").alias("__n"), F.col("icode").alias("__i"), "residue_idx")
     same = (F.col("sid") == F.col("__s")) & (F.col("chain") == F.col("__c")) & (F.col("number") == F.col("__n")) & F.col("icode").eqNullSafe(F.col("__i"))
     atoms = ordered.join(r, same).select("sid", "serial", "pos", "residue_idx", "name", "chain", "number", "icode", "element", "x", "y", "z")
