@@ -40,8 +40,9 @@ _ROWS = 1 << 14
 #: `similar`: shingle widths of the search and of the check, 32-bit words of the fingerprint, the bits of the first
 #: 128 and of all 256 that may differ.
 PAIR, SHINGLES, WORDS, NEAR = 2, 5, 8, (26, 46)
-#: Runs compared pair by pair, hubs of a crowded key, shingles that a cell may hold, texts that a task places.
-SMALL, HUBS, CELL_SHINGLES, PLACED_ROWS = 16, 32, 1 << 21, 20_000
+#: Runs compared pair by pair, hubs of a crowded key, shingles that a cell may hold, texts that a
+#: task places, words whose anchors come first.
+SMALL, HUBS, CELL_SHINGLES, PLACED_ROWS, FIRST = 16, 32, 1 << 21, 20_000, 2
 MOST_BROADCAST = 1_000_000
 
 
@@ -327,8 +328,8 @@ def spanning(f: np.ndarray, near: int, sets: list[np.ndarray] | None = None, lea
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def short_and_long(key: np.ndarray, k: np.ndarray, f: np.ndarray, near: int, root: np.ndarray | None = None, light: np.ndarray | None = None):
-    """Links (least member, member) of what belongs together in runs of equal `key`; see `spanning`.
+def short_and_long(key: np.ndarray, k: np.ndarray, f: np.ndarray, near: int, root: np.ndarray, light: np.ndarray | None = None):
+    """Links (least root, root) of what belongs together in runs of equal `key`; see `spanning`.
 
     Each links to the least one, so the same links come from the many keys that near members share. Short runs, of up
     to SMALL members, are compared all at once."""
@@ -337,30 +338,35 @@ def short_and_long(key: np.ndarray, k: np.ndarray, f: np.ndarray, near: int, roo
     short = np.repeat(length <= SMALL, length)
     i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, int(min(SMALL, length.max()))):
-        at = np.flatnonzero((key[d:] == key[:-d]) & short[d:])
-        if root is not None:
-            at = at[(root[at] != root[at + d]) & (light[at] | light[at + d])]
+        at = np.flatnonzero((key[d:] == key[:-d]) & short[d:] & (root[d:] != root[:-d]))
+        if light is not None:
+            at = at[light[at] | light[at + d]]
         at = at[np.bitwise_count(f[at] ^ f[at + d]).sum(1, dtype=np.int32) <= near]
         i.append(at)
         j.append(at + d)
     for s, n in zip(start[length > SMALL], length[length > SMALL]):
         kk, once = np.unique(k[s : s + n], return_index=True)
         at = s + once
-        lit = None if light is None else np.isin(kk, k[s : s + n][light[s : s + n]])
-        x, y = spanning(f[at], near, None, 0.0, None if root is None else root[at], lit)
+        x, y = spanning(f[at], near, None, 0.0, root[at], None if light is None else np.isin(kk, k[s : s + n][light[s : s + n]]))
         i.append(at[x])
         j.append(at[y])
-    i, j = np.concatenate(i), np.concatenate(j)
-    least = k.copy()
-    while len(i):  # as often as the longest way to a least member
+    ends, both = np.unique(root[np.concatenate([*i, *j])], return_inverse=True)
+    x, y = both.reshape(2, -1)
+    # roots are joined within a run only: a root of several runs is a node of each
+    runs = np.cumsum(np.append(False, key[1:] != key[:-1]))[np.concatenate(i)]
+    nodes, both = np.unique(np.concatenate([runs, runs]) * (len(ends) + 1) + both, return_inverse=True)
+    x, y = both.reshape(2, -1)
+    own = nodes % (len(ends) + 1)
+    least = own.copy()
+    while len(x):  # as often as the longest way to a least root
         before = least.copy()
-        m = np.minimum(least[i], least[j])
-        np.minimum.at(least, i, m)
-        np.minimum.at(least, j, m)
+        m = np.minimum(least[x], least[y])
+        np.minimum.at(least, x, m)
+        np.minimum.at(least, y, m)
         if (least == before).all():
             break
-    moved = np.flatnonzero(least != k)
-    return least[moved], k[moved]
+    moved = np.flatnonzero(least != own)
+    return ends[least[moved]], ends[own[moved]]
 
 
 def _slot(parts: Column, salt: str) -> Column:
@@ -394,43 +400,57 @@ def second_cells(members: DataFrame, hot: DataFrame, comp: DataFrame) -> DataFra
 
 def candidate_groups(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     """(node, root) of the nodes(node, f0, f1, ...) that have another in their group: texts of one group are joined by steps
-    of at most NEAR[0] of the first 128 bits between two that visit one anchor."""
-    longs = [f"f{i}" for i in range(WORDS // 2)]
+    of at most NEAR[0] of the first 128 bits between two that visit one anchor.
 
-    def spread(batches):
-        for batch in batches:
-            k, *f = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1 + WORDS // 2))
-            for w in range(WORDS):
-                i, key, _ = covered((f[w // 2].view(np.uint64) >> np.uint64(32 * (w % 2))).astype(np.int64) & 0xFFFFFFFF)
-                yield pa.RecordBatch.from_arrays([pa.array(key | w << 32), pa.array(k[i]), pa.array(f[0][i]), pa.array(f[1][i])], ["key", "k", "f0", "f1"])
+    The anchors of the first words come first; at those of the others only what they have left apart is compared."""
+    longs = [f"f{i}" for i in range(WORDS // 2)]
 
     def links_in(cells: DataFrame, *more: str) -> DataFrame:
         def compare(batches):
-            for key, k, f0, f1, *state in whole_runs(batches, 4 + len(more)):
-                a, b = short_and_long(key, k, np.stack([f0, f1], 1).view(np.uint64), NEAR[0], *(x.astype(t) for x, t in zip(state, (np.int64, bool))))
+            for key, k, root, f0, f1, *light in whole_runs(batches, 5 + len(more)):
+                a, b = short_and_long(key, k, np.stack([f0, f1], 1).view(np.uint64), NEAR[0], root, *(x.astype(bool) for x in light))
                 for i in range(0, len(a), _ROWS):
-                    p, q = a[i : i + _ROWS], b[i : i + _ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[i : i + _ROWS]), pa.array(b[i : i + _ROWS])], ["a", "b"])
 
         # a key has 35 bits; two cells of it that meet in the upper 28 are only compared more
-        one = cells.select((F.col("key") + F.shiftleft(F.col("cell").bitwiseAND((1 << 28) - 1), 35)).alias("key"), "k", "f0", "f1", *more)
-        return one.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
-
-    n = nodes.count()
-    placed = nodes.select("node", *longs).repartition(max(1, n // PLACED_ROWS)).mapInArrow(spread, "key long, k long, f0 long, f1 long")
-    hot = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell).withColumn("parts", F.ceil(F.col("n") / cell)))
-    if hot.isEmpty():
-        return components(links_in(placed.withColumn("cell", F.lit(0).cast("long"))))
-    comp = components(links_in(first_cells(placed, hot)))
-    return _joined(comp, links_in(second_cells(placed, hot, comp), "root", "light"))
-
-
-def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
-    """The components of comp(node, root) and the links more(a, b)."""
+        one = cells.select((F.col("key") + F.shiftleft(F.col("cell").bitwiseAND((1 << 28) - 1), 35)).alias("key"), "k", "root", "f0", "f1", *more)
+        return one.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+
+    def visits(words: range, at: DataFrame) -> DataFrame:
+        def spread(batches):
+            for batch in batches:
+                k, root, *f = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2 + WORDS // 2))
+                for w in words:
+                    i, key, _ = covered((f[w // 2].view(np.uint64) >> np.uint64(32 * (w % 2))).astype(np.int64) & 0xFFFFFFFF)
+                    yield pa.RecordBatch.from_arrays([pa.array(key | w << 32), *[pa.array(x[i]) for x in (k, root, f[0], f[1])]], ["key", "k", "root", "f0", "f1"])
+
+        return at.repartition(max(1, n // PLACED_ROWS)).mapInArrow(spread, "key long, k long, root long, f0 long, f1 long")
+
+    n, comp = nodes.count(), None
+    for words in (range(FIRST), range(FIRST, WORDS)):
+        if comp is None:
+            at = nodes.select("node", F.col("node").alias("root"), *longs)
+        else:
+            at = nodes.join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *longs)
+        placed = visits(words, at)
+        hot = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell).withColumn("parts", F.ceil(F.col("n") / cell)))
+        crowded = not hot.isEmpty()
+        comp = _joined(comp, links_in(first_cells(placed, hot) if crowded else placed.withColumn("cell", F.lit(0).cast("long"))))
+        if crowded:
+            comp = _joined(comp, links_in(second_cells(placed.drop("root"), hot, comp), "light"))
+    return comp
+
+
+def _joined(comp: DataFrame | None, more: DataFrame) -> DataFrame:
+    """The components of comp(node, root) after the links more(a, b) between its roots and nodes that it does not have."""
+    if comp is None:
+        return cut(components(more))
     more = cut(more)
     if more.isEmpty():
         return comp
-    return components(comp.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more.select("a", "b")))
+    to = cut(components(more)).select(F.col("node").alias("n"), F.col("root").alias("r"))
+    moved = comp.join(to, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
+    return cut(moved.unionByName(to.join(comp, F.col("n") == F.col("node"), "left_anti").select(F.col("n").alias("node"), F.col("r").alias("root"))))
 
 
 def checked_groups(members: DataFrame, texts: DataFrame, least: float, cell: int = CELL) -> DataFrame:
@@ -456,8 +476,9 @@ def checked_groups(members: DataFrame, texts: DataFrame, least: float, cell: int
         held = tab.column("set").combine_chunks()
         sets = [np.frombuffer(held[int(i)].as_py(), np.uint64) for i in once]
         light = np.isin(k, col["k"][col["light"].astype(bool)]) if "light" in col else None
-        a, b = spanning(f, NEAR[1], sets, least, col["root"][once] if "root" in col else None, light)
-        return pa.table({"a": np.minimum(k[a], k[b]), "b": np.maximum(k[a], k[b])}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        root = col["root"][once] if "root" in col else k
+        a, b = spanning(f, NEAR[1], sets, least, root, light)
+        return pa.table({"a": root[a], "b": root[b]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     links_in = lambda cells: cells.groupBy("key", "cell").applyInArrow(compare, "a long, b long").distinct()
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
@@ -466,7 +487,7 @@ def checked_groups(members: DataFrame, texts: DataFrame, least: float, cell: int
     if hot.isEmpty():
         return components(links_in(made.withColumn("cell", F.lit(0).cast("long"))))
     made = cut(made)
-    comp = components(links_in(first_cells(made, hot)))
+    comp = _joined(None, links_in(first_cells(made, hot)))
     return _joined(comp, links_in(second_cells(made, hot, comp)))
 
 
@@ -494,7 +515,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     fps = cut(rows.mapInArrow(run, f"id {kind}, h1 long, h2 long, size long, " + ", ".join(f"{c} long" for c in longs)))
     counted = fps.groupBy("h1", "h2").agg(F.min("id").alias("m"), F.count("*").alias("n"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in longs])
     counted = cut(counted.withColumn("node", F.monotonically_increasing_id()))  # read from the checkpoint only, so a number stays
-    near = cut(candidate_groups(counted, cell))
+    near = candidate_groups(counted, cell)
     members = counted.join(near, "node").select(F.col("root").alias("key"), F.col("node").alias("k"), "h1", "h2", "m", "size", *longs)
     comp = checked_groups(cut(members), rows, least, cell)
     return _labelled(fps.select("id", "h1", "h2"), counted.select("h1", "h2", "node", "m", "n"), comp, ["h1", "h2"]).select(F.col("id").alias(id_col), "component_id")
