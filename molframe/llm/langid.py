@@ -5,7 +5,8 @@ sqrt(tf) * idf and brought to length one. Each language has several spherical k-
 nearest by cosine gives the language, and a text too far from every centroid is rejected.
 
 Corpus statistics (document frequencies) cover every training row. The centroids are fitted on a
-hash-sampled share of about `per_language` rows of each language (a documented bound).
+hash-sampled share of about `per_language` rows of each language (a documented bound), each language in a
+task of its own; the driver holds the centroids, `centroids` * DIMS floats a language.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from molframe.llm.common import fold, lean, only, slices, text_buffers
 DIMS = 8192
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 192
+#: A text is rejected if its cosine, raised for texts of under ENOUGH n-grams, is below this share of the 0.1 % quantile
+#: of the training rows' own.
+REJECTION = 0.5
+ENOUGH = 64
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -67,6 +72,12 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v
 
 
+def evidence(cosine: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Cosines as rejection sees them: texts of under ENOUGH n-grams have low ones in any language, about as the root of their number."""
+    n = np.maximum(counts.sum(1), 1)
+    return cosine / np.sqrt(np.minimum(1.0, n / ENOUGH))
+
+
 def spherical_kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids of length one; starts from rows picked farthest-first, so it is deterministic."""
     picked = [int(np.argmax(v @ v.mean(0)))]
@@ -92,17 +103,19 @@ class LanguageModel:
     owner: np.ndarray
     least: float
 
-    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language, cosine, whether it is too far) of each row."""
         sim = vectors(counts, self.idf) @ self.centroids.T
         best = np.argmax(sim, 1)
-        return self.owner[best], np.clip(sim[np.arange(len(best)), best], 0, 1)
+        cosine = np.clip(sim[np.arange(len(best)), best], 0, 1)
+        return self.owner[best], cosine, evidence(cosine, counts) < self.least
 
 
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_language: int = 600, centroids: int = 4) -> LanguageModel:
     """Fit on the rows of `train` that have a text and a label.
 
-    `per_language` bounds the expected number of rows of a language that reach the driver (as sparse
-    vectors of at most DIMS cells). Rows with null texts or labels are ignored; with no row left the
+    `per_language` bounds the expected number of rows of a language that its task fits on (as vectors of
+    DIMS cells). Rows with null texts or labels are ignored; with no row left the
     model has no centroid and every text is rejected."""
     lean(train.sparkSession)
     rows = train.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l"))
@@ -120,8 +133,11 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
     df = {r.g: r.n for r in rows.select("t").mapInArrow(frequencies, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
     n = df.get(-1, 0)
     idf = np.array([math.log((1 + n) / (1 + df.get(g, 0))) + 0.05 for g in range(DIMS)], np.float32)
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit("")), F.lit("langid")), F.lit(1_000_000)) / 1_000_000
-    share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))]) if sizes else None
+    # by id and text, so rows without an id are sampled like others; repeated rows count once
+    u = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit("")), "t", F.lit("langid")), F.lit(1_000_000)) / 1_000_000
+    if not sizes:
+        return LanguageModel([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), 1.0)
+    share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
 
     def sampled(batches):
         for batch in batches:
@@ -129,30 +145,33 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
                 cells = [np.nonzero(x)[0].astype(np.int32) for x in m]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(k, len(m)), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array([x[c].astype(np.float32).tobytes() for x, c in zip(m, cells)], pa.binary())], ["l", "c", "v"])
 
-    found: dict[str, list[np.ndarray]] = {k: [] for k in langs}
-    if sizes:
-        for r in rows.where(u < share[F.col("l")]).select("t", "l").mapInArrow(sampled, "l string, c binary, v binary").collect():
-            x = np.zeros(DIMS, np.float32)
-            x[np.frombuffer(r.c, np.int32)] = np.frombuffer(r.v, np.float32)
-            found[r.l].append(x)
-    all_c, owner, own = [np.zeros((0, DIMS), np.float32)], [], [np.ones(1)]
-    for i, k in enumerate(langs):
-        if found[k]:
-            v = vectors(np.stack(sorted(found[k], key=lambda x: x.tobytes())), idf)
-            v = v[np.einsum("ij,ij->i", v, v) > 0.5]
-            if len(v):
-                all_c.append(c := spherical_kmeans(v, centroids))
-                owner += [i] * len(c)
-                own.append((v @ c.T).max(1))
-    least = 0.25 * float(np.quantile(np.concatenate(own), 0.001))
-    return LanguageModel(langs, idf, np.concatenate(all_c), np.array(owner, np.int64), least)
+    def clustered(tab: pa.Table) -> pa.Table:
+        """The centroids of one language and the cosines of its sampled rows to their nearest; about per_language rows."""
+        name = tab.column("l")[0].as_py()
+        x = np.zeros((tab.num_rows, DIMS), np.float32)
+        for r, c, w in zip(x, tab.column("c"), tab.column("v")):
+            r[np.frombuffer(c.as_py(), np.int32)] = np.frombuffer(w.as_py(), np.float32)
+        order = sorted(range(len(x)), key=lambda i: x[i].tobytes())
+        x = x[order]
+        x = x[x.any(1)]
+        v = vectors(x, idf)
+        c = spherical_kmeans(v, centroids) if len(v) else np.zeros((0, DIMS), np.float32)
+        own = evidence((v @ c.T).max(1), x).astype(np.float64) if len(v) else np.zeros(0)
+        return pa.table({"l": [name], "c": [c.astype(np.float32).tobytes()], "own": [own.tobytes()]}, schema=pa.schema([("l", pa.string()), ("c", pa.binary()), ("own", pa.binary())]))
+
+    found = rows.where(u < share[F.col("l")]).select("t", "l").mapInArrow(sampled, "l string, c binary, v binary").distinct()
+    got = {r.l: r for r in found.groupBy("l").applyInArrow(clustered, "l string, c binary, own binary").collect()}
+    each = [np.frombuffer(got[k].c, np.float32).reshape(-1, DIMS) if k in got else np.zeros((0, DIMS), np.float32) for k in langs]
+    own = np.concatenate([np.ones(1), *[np.frombuffer(got[k].own) for k in langs if k in got]])
+    least = REJECTION * float(np.quantile(own, 0.001))
+    return LanguageModel(langs, idf, np.concatenate(each), np.repeat(np.arange(len(langs)), [len(c) for c in each]), least)
 
 
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` with lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected.
 
-    Null, empty and letterless texts: lang_pred `und`, score 0, rejected. A text whose cosine is below
-    the model's threshold is rejected too but keeps the name of the nearest language."""
+    Null, empty and letterless texts: lang_pred `und`, score 0, rejected. Very long texts are counted whole. A text that is too far from
+    every centroid is rejected too but keeps the name of the nearest language."""
     spark = df.sparkSession
     lean(spark)
     held = spark.sparkContext.broadcast(model)  # DIMS * (1 + centroids * languages) floats
@@ -167,14 +186,15 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: t
         m = held.value
         for batch in batches:
             n = batch.num_rows
-            lang, score = np.zeros(n, np.int64), np.zeros(n)
+            lang, score, far = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
             if len(m.owner):
                 for k, counts in blocks(batch.column(at)):
-                    lang[k : k + len(counts)], score[k : k + len(counts)] = m.predict(counts)
+                    at_ = slice(k, k + len(counts))
+                    lang[at_], score[at_], far[at_] = m.predict(counts)
             ok = np.asarray(batch.column(len(keep)).to_numpy(zero_copy_only=False), bool) & bool(len(m.owner))
             names = [m.langs[x] if y else "und" for x, y in zip(lang, ok)]
             score = np.where(ok, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(score), pa.array(~ok | (score < m.least))], [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(score), pa.array(~ok | far)], [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score", "rejected"])
 
     out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
