@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     """Fit on a hash-sampled share of the ids in `labels` whose expected size `positives` and `negatives` bound.
 
     Contradictory labels of an id: toxic wins; null labels and null ids are ignored; a null text counts as
-    empty. The sampled ids are broadcast (their number is bounded), so texts move only if sampled. Without
+    empty; of an id with several rows one text is taken. The sampled ids are broadcast (their number is bounded), so texts move only if sampled. Without
     a row the weights are empty and every score is 0.5."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -78,7 +78,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     share = F.when(F.col("y") == 1, min(1.0, positives / max(1, sizes.get(1, 0)))).otherwise(min(1.0, negatives / max(1, sizes.get(0, 0))))
     ids = known.where(part < share).select("i", "y", u.alias("u"))
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    picked = rows.join(F.broadcast(ids), "i").select("t", "y", "u").repartition(1).sortWithinPartitions("u", "t")
+    # one row an id: of repeated ids the text with the least hash
+    one = rows.join(F.broadcast(ids), "i").groupBy("i", "y", "u").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    picked = one.select("t", "y", "u").repartition(1).sortWithinPartitions("u", "t")
 
     def train(batches):
         only("toxicity")
@@ -101,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep` with `score`, the probability of label 1. Null and empty texts get the bias alone."""
+    """Columns `keep` with `score`, the probability of label 1. Null and empty texts get the bias alone; very long ones are read whole."""
     lean(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS weights
     rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if text_col in keep else [F.col(text_col).alias("t")]))
