@@ -622,6 +622,37 @@ def test_languages_of_held_out_texts(spark, docs, texts):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
+def test_languages_by_a_plain_loop(docs, texts):
+    """Counts of folded byte pairs and triples, weights and cosines in plain Python under the fitted model."""
+    m = langid.fit(langid.training_rows(docs))
+    got = {r.doc_id: r for r in langid.predict(docs, m).collect()}
+    slot = lambda x, k: ((x * k) & 0xFFFFFFFF) >> (32 - 13)
+    for i, t, *_ in texts[:60]:
+        folded = "".join(chr(b) if b >= 128 else chr(b | 32) if chr(b).isalpha() else " " for b in (t or "").encode())
+        while "  " in folded:
+            folded = folded.replace("  ", " ")
+        n = collections.Counter(slot(ord(a) << 8 | ord(b), 2654435761) for a, b in zip(folded, folded[1:]))
+        n.update(slot(ord(a) << 16 | ord(b) << 8 | ord(c), 2246822519) for a, b, c in zip(folded, folded[1:], folded[2:]))
+        v = {g: math.sqrt(k) * float(m.idf[g]) for g, k in n.items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        cosines = [sum(x * float(c[g]) for g, x in v.items()) / size for c in m.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert got[i].score == pytest.approx(cosines[best], abs=2e-4)
+        assert got[i].lang_pred == m.langs[m.owner[best]]
+        assert got[i].rejected == (cosines[best] / math.sqrt(min(1.0, max(1, sum(n.values())) / langid.ENOUGH)) < m.least)
+
+
+def test_languages_that_were_not_learned_are_rejected(spark, docs):
+    m = langid.fit(langid.training_rows(docs))
+    r = random.Random(1)
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)) for _ in range(20)]
+    other = ["Это обычный русский текст для проверки.", "这是一个用于测试语言识别的中文句子。", "to jest zwykłe polskie zdanie używane do testowania rozpoznawania języka"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(junk + other)), "doc_id long, text string"), m).collect()
+    assert all(x.rejected for x in got)
+    kept = langid.predict(docs.where(fold("doc_id") == 0), m).where("lang_pred <> 'und'")
+    assert kept.where("rejected").count() <= 0.01 * kept.count()
+
+
 def test_languages_of_odd_rows(odd, empty, docs):
     m = langid.fit(langid.training_rows(docs))
     rows = langid.predict(odd, m, keep=("doc_id", "text", "fp")).collect()
@@ -662,6 +693,29 @@ def test_toxicity_of_held_out_texts(spark, odd, empty):
     assert toxicity.score(empty, m).count() == 0
 
 
+def test_ftrl_equals_a_plain_loop():
+    r = random.Random(2)
+    examples = [(np.array(sorted(r.sample(range(40), 8))), int(r.random() < 0.4)) for _ in range(200)]
+    z, n, zb, nb = [0.0] * 40, [0.0] * 40, 0.0, 0.0
+    alpha, beta, l1, l2 = 1.0, 1.0, 1.5, 0.1
+    weight = lambda z, n: 0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / ((beta + math.sqrt(n)) / alpha + l2)
+    for _ in range(3):
+        for f, y in examples:
+            b = -zb / ((beta + math.sqrt(nb)) / alpha + l2)
+            p = 1 / (1 + math.exp(-(sum(weight(z[i], n[i]) for i in f) + b)))
+            g = p - y
+            for i in f:
+                w = weight(z[i], n[i])
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w
+                n[i] += g * g
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * b
+            nb += g * g
+    want = {i: weight(z[i], n[i]) for i in range(40) if weight(z[i], n[i])}
+    keep, w, bias = toxicity.ftrl(examples, alpha, beta, l1, l2, 3)
+    assert dict(zip(keep.tolist(), w)) == pytest.approx(want) and 0 < len(want) < 40
+    assert bias == pytest.approx(-zb / ((beta + math.sqrt(nb)) / alpha + l2))
+
+
 # -- 10 --------------------------------------------------------------------------------------------
 
 

@@ -42,3 +42,24 @@ def test_repeated_and_null_rows_leave_one(spark, docs):
 def test_run(spark, docs, tmp_path):
     out = pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "n_tokens", "token_ids", "decoded"] and 0 < out.count() < 1.3 * docs.count()
+
+
+@pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES])
+def test_clashing_columns_and_odd_rows(spark, docs, stage):
+    """Further columns of any name and type, nulls, blanks, a very long text and repeated rows, in every stage."""
+    few = docs.limit(40)
+    long = few.limit(1).withColumn("doc_id", F.lit(900_001).cast("long")).withColumn("text", F.repeat(F.lit("long words go on and on "), 45_000))
+    odd = few.limit(4).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 900_010)).withColumn("text", F.when(F.col("doc_id").isNull(), F.lit(" "))).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+    rows = few.unionByName(long).unionByName(odd).unionByName(few.limit(5))
+    more = {"score": F.lit(7), "rejected": F.lit("no"), "lang_pred": F.lit(1.5), "copy": F.lit(77), "shard": F.lit("s"), "shuffle_key": F.lit(1), "component_id": F.lit(2), "__k": F.lit(3), "k0": F.lit(4), "fp": F.lit("f"), "bag": F.create_map(F.lit("a"), F.col("doc_id"))}
+    wide = rows.withColumns(more)
+    out = stage(spark, wide, DATA)
+    if stage is pipeline.token_stage:
+        assert out.count() == rows.count()
+        return
+    assert out.columns == wide.columns and 0 < out.count()
+    assert out.where("score <> 7 OR rejected <> 'no' OR lang_pred <> 1.5 OR copy <> 77 OR shard <> 's' OR component_id <> 2 OR fp <> 'f' OR bag['a'] IS DISTINCT FROM doc_id").count() == 0
+    plain = stage(spark, rows, DATA)
+    key = lambda df: sorted((str(r.doc_id), (r.text or "")[:80]) for r in df.select("doc_id", "text").collect())
+    assert key(out) == key(plain)
+    assert stage(spark, wide.limit(0), DATA).count() == 0
