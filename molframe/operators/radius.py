@@ -82,7 +82,7 @@ class PairList:
 
     def __init__(self, points: DataFrame, cutoff: float, skin: float, ident: str, part: Sequence[str] = ()):
         if cutoff <= 0 or skin < 0:
-            raise ValueError("neighbor cutoff must be positive and skin non-negative")
+            raise ValueError("a pair list needs a cutoff above zero and a skin of zero or more")
         from molframe.runtime import cut
 
         self.cutoff, self.skin, self.ident, self.part = cutoff, skin, ident, list(part)

@@ -171,7 +171,7 @@ def match_atoms(r: DataFrame, p: ParsedPdb, t: Templates) -> tuple[DataFrame, Da
     given = p.atoms.select("sid", "residue_idx", F.col("name").alias("atom_name"), "serial", "x", "y", "z", F.lit(True).alias("there"))
     both = cut(wanted.join(given, ["sid", "residue_idx", "atom_name"], "left"))
     gone = both.where("there IS NULL AND number_of <> 1").groupBy("sid", "residue_idx", reference().alias("ref")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "atom_name"))), lambda s: s["atom_name"]), ", ").alias("names"))
-    bad = bad.unionByName(violation(gone, "missing_heavy_atoms", F.col("residue_idx"), F.concat(F.lit("residue "), "ref", F.lit(" is missing heavy atoms: "), "names")))
+    bad = bad.unionByName(violation(gone, "missing_heavy_atoms", F.col("residue_idx"), F.concat("ref", F.lit(" lacks these atoms of its template: "), "names")))
     heavy = p.atoms.where(~F.col("element").isin("H", "D")).select("sid", "residue_idx", F.col("name").alias("atom_name"))
     extra = missing_from(heavy, wanted, ["sid", "residue_idx", "atom_name"]).join(r.where("template IS NOT NULL"), ["sid", "residue_idx"])
     bad = bad.unionByName(violation(extra, "unsupported_residue", F.col("residue_idx"), F.concat(F.lit("unsupported residue "), reference(), F.lit(": heavy atom "), "atom_name", F.lit(" is not present in template "), "template")))
@@ -278,7 +278,7 @@ def parameterize(p: ParsedPdb, ff: ForceField, options: BuildOptions | None = No
     atoms = placed.join(F.broadcast(lj), "atom_type", "left").join(F.broadcast(mass), "atom_type", "left").withColumn("mass", F.coalesce("m", by_element))
     atoms = cut(atoms.withColumn("atom_idx", F.row_number().over(W.partitionBy("sid").orderBy("residue", "ord")) - 1))
     bad = bad.unionByName(violation(atoms.where("radius IS NULL").select("sid", "atom_type").distinct(), "missing_parameter", F.col("atom_type"), F.concat(F.lit("no parameter for nonbonded atom types "), "atom_type")))
-    bad = bad.unionByName(violation(atoms.where("x IS NULL"), "invalid_pdb", F.col("name"), F.concat(F.lit("cannot construct local geometry for hydrogen "), "name")))
+    bad = bad.unionByName(violation(atoms.where("x IS NULL"), "invalid_pdb", F.col("name"), F.concat(F.lit("too few neighbours have a position to place hydrogen "), "name")))
     edges = cut(find_bonds(atoms, r, p, t))
     bonds, angles, dihedrals, exclusions, lost = attach_parameters(cut(atoms.select("sid", "atom_idx", "atom_type")), edges, par, o)
     bad = cut(bad.unionByName(lost))

@@ -109,7 +109,7 @@ def solvate(s: System, ff: ForceField, options: BuildOptions | None = None, stri
     counts = cut(counts)
     have = numbered.groupBy("sid").agg(F.count("*").alias("n"))
     short = counts.join(have, "sid", "left").where(F.col("sodium") + F.col("chloride") > F.coalesce("n", F.lit(0)))
-    bad = violation(short, "insufficient_solvent", F.col("sid"), F.format_string("not enough solvent molecules to place %d ions (only %d eligible)", F.col("sodium") + F.col("chloride"), F.coalesce("n", F.lit(0))))
+    bad = violation(short, "insufficient_solvent", F.col("sid"), F.format_string("%d ions are wanted and only %d waters are far enough from the solute", F.col("sodium") + F.col("chloride"), F.coalesce("n", F.lit(0))))
     if strict:
         require_none(bad)
 

@@ -11,17 +11,18 @@ PROTEIN = [
 ]
 WATER = ["HOH", "WAT", "TIP", "TP3"]
 FREE_IONS = ["NA", "NA+", "CL", "CL-", "K", "K+", "MG", "MG2+", "CA", "CA2+"]
-#: Template name endings of a carbohydrate's three-letter code.
+# Template name endings of a carbohydrate's three-letter code.
 SUGAR_ENDINGS = {
     "NAG": ["YB"], "NDG": ["YA"], "MAN": ["MA"], "BMA": ["MB"], "GLC": ["GA"], "BGC": ["GB"], "GAL": ["LA", "LB"], "GLA": ["LA"], "FUC": ["fA"], "FUL": ["fB"],
     "XYS": ["XB"], "XYP": ["XB"], "SIA": ["SA", "SB"], "SLB": ["SA", "SB"],
 }
-#: Residue and attachment atom to the glycosylated residue's name.
+# Residue and attachment atom to the glycosylated residue's name.
 GLYCOSYLATED = [("ASN", "ND2", "NLN"), ("SER", "OG", "OLS"), ("THR", "OG1", "OLT"), ("HYP", "OD1", "OLP")]
-#: Atom names that may be bonded across residues, and the cut-off.
+# Atom names that may be bonded across residues, and the cut-off.
 CROSS_BONDS = [("O1", "C1", 1.9), ("O2", "C1", 1.9), ("O3", "C1", 1.9), ("O4", "C1", 1.9), ("O6", "C1", 1.9), ("O8", "C2", 1.9), ("ND2", "C1", 1.9), ("OG", "C1", 1.9), ("OG1", "C1", 1.9), ("OD1", "C1", 1.9), ("SG", "SG", 2.3)]
-#: Masses by element where no parameter names the type.
+# Masses by element where no parameter names the type.
 MASSES = {1: 1.008, 6: 12.01, 7: 14.01, 8: 16.00, 11: 22.98977, 15: 30.97, 16: 32.06, 17: 35.45}
+# Fixed values of the implicit-solvent model and of unit conversion.
 GB_RADII = {1: 1.2, 6: 1.7, 7: 1.55, 8: 1.5, 15: 1.85, 16: 1.8}
 GB_RADIUS_ELSE, GB_RADIUS_AMIDE_H = 1.5, 1.3
 GB_SCREEN = {1: 0.85, 6: 0.72, 7: 0.79, 8: 0.85, 15: 0.86, 16: 0.96}

@@ -1,7 +1,7 @@
 """Files of prepared systems: their texts as a table, and folders with a manifest.
 
-Texts are rendered in tasks, a system at a time; only writing the folders runs on the driver, which takes
-one system's files at a time. Parquet tables (System.write) are the output for many systems.
+Texts are rendered in tasks, once a system; only writing the folders runs on the driver, which takes
+a partition of systems at a time. Parquet tables (System.write) are the output for many systems.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from molframe.errors import MolframeError
 from molframe.plans.system import System
+from molframe.runtime import cut
 from molframe.sinks import render
 
 FILES = ["system.prmtop", "system.inpcrd", "system.top", "system.gro"]
@@ -64,22 +65,24 @@ def places(folder: str | Path, ids: list[str], overwrite: bool = False) -> dict[
     out = {sid: Path(folder) if len(ids) == 1 else Path(folder) / sid for sid in sorted(ids)}
     for place in out.values():
         if not overwrite and any((place / n).exists() for n in [*FILES, "manifest.json"]):
-            raise MolframeError("output_exists", f"output directory already contains generated files: {place}")
+            raise MolframeError("output_exists", f"{place} has generated files; allow overwriting or name another folder")
     return out
 
 
 def write_bundles(s: System, reports: DataFrame, folder: str | Path, overwrite: bool = False) -> list[Path]:
     """One folder a system under `folder`; with a single system its files go into `folder` itself.
 
+    Every system is rendered once; the driver takes one partition of systems at a time and writes their folders.
     Existing files are refused without `overwrite`; each file is written beside its place and renamed."""
-    made = texts(s)
     out = places(folder, [r.sid for r in s.info.select("sid").collect()], overwrite)
-    for sid, place in out.items():
+    files = texts(s).groupBy("sid").agg(F.collect_list(F.struct("file", "text", "sha256")).alias("files"))
+    told = reports.select("sid", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report"))
+    for r in cut(files.join(told, "sid")).toLocalIterator():
+        place, rows = out[r.sid], {f.file: f for f in r.files}
         place.mkdir(parents=True, exist_ok=True)
-        rows = {r.file: r for r in made.where(F.col("sid") == sid).collect()}
         for name in FILES:
             _atomic(place / name, rows[name].text)
-        report = json.loads(reports.where(F.col("sid") == sid).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first().j)
+        report = json.loads(r.report)
         report["output_sha256"] = {n: rows[n].sha256 for n in FILES}
         _atomic(place / "manifest.json", json.dumps(report, indent=2, sort_keys=True) + "\n")
     return list(out.values())

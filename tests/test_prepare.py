@@ -73,7 +73,7 @@ def test_refusals(spark, ff):
     def run(text, **o):
         return parameterize(pdb.parse(pdb.texts(spark, {"s": text})), ff, BuildOptions(**o))
 
-    with pytest.raises(MolframeError, match="missing heavy atoms: CB") as e:
+    with pytest.raises(MolframeError, match="lacks these atoms of its template: CB") as e:
         run(peptide.pdb(drop=[("ALA", "CB")]))
     assert e.value.code == "missing_heavy_atoms"
     with pytest.raises(MolframeError, match="not present in template"):
@@ -194,7 +194,7 @@ def test_solvation(ff, dry):
                 n += bool((p >= 0).all() and (p < box).all() and (((solute - p) ** 2).sum(1) >= 2.4**2).all())
         assert n == info.waters + info.sodium + info.chloride
     assert all(abs(r.charge) < 1e-9 for r in s.charges().collect())
-    with pytest.raises(MolframeError, match="not enough solvent"):
+    with pytest.raises(MolframeError, match="far enough from the solute"):
         solvate(dry, ff, BuildOptions(padding_angstrom=3.0, salt_molar=90.0))
 
 
