@@ -167,6 +167,105 @@ def test_known_stream():
     assert webp.decode(webp.wrap(w.value.to_bytes((w.size + 7) // 8, "little")))[2].tolist() == [0xFF123456] * 2
 
 
+@pytest.mark.parametrize("chain", [None, *range(len(webp.CHAINS))])
+def test_batches_of_a_chain_round_trip(chain):
+    """Of several sizes, read together and one by one by the general decoder."""
+    sizes = [(144, 1), (144, 5), (7, 9), (1, 3), (144, 2), (288, 3), (5, 1)]
+    px = [image(w, h, k % 4) for k, (w, h) in enumerate(sizes)]
+    n = np.array([len(p) for p in px])
+    w, h = np.array(sizes).T
+    files = webp.encode_many(np.concatenate(px), np.cumsum(n) - n, w, h, chain)
+    for f, p, size in zip(files, px, sizes):
+        a, b, q = webp.decode(f)
+        assert (a, b) == size and (q == p).all()
+    for few in (1, 40):
+        assert all((x[0], x[1]) == size and (x[2] == p).all() for x, p, size in zip(webp.decode_many(files, few), px, sizes))
+
+
+def test_stored_files_meet_every_transform(texts):
+    payloads = [media.padded((t or "").encode()) for _, t, *_ in texts] + [media.padded(b""), media.padded(b"ab" * 3000)]
+    files = media.store(payloads)
+    assert all(media.samples(p)[: len(x)] == x for x, (_, _, p) in zip(payloads, webp.decode_many(files)))
+    kinds = {webp.unwrap(f)[5] & 7 for f in files}
+    assert kinds == {1 | webp.PREDICTOR << 1, 1 | webp.PALETTE << 1}
+
+
+def by_pixel(res, width, height, modes, block):
+    """The inverse predictor pixel by pixel, channel by channel, as the format's description has it; pixels are (a, r, g, b)."""
+    out = [[(0, 0, 0, 0)] * width for _ in range(height)]
+    add = lambda p, q: tuple((a + b) & 255 for a, b in zip(p, q))
+    mean = lambda p, q: tuple((a + b) // 2 for a, b in zip(p, q))
+    clip = lambda v: min(255, max(0, v))
+    for y in range(height):
+        for x in range(width):
+            if x == 0 and y == 0:
+                guess = (255, 0, 0, 0)
+            elif y == 0:
+                guess = out[0][x - 1]
+            elif x == 0:
+                guess = out[y - 1][0]
+            else:
+                l, t, tl = out[y][x - 1], out[y - 1][x], out[y - 1][x - 1]
+                tr = out[y - 1][x + 1] if x + 1 < width else out[y][0]
+                m = modes[(y >> block) * ((width + (1 << block) - 1) >> block) + (x >> block)]
+                if m == 11:
+                    whole = [a + b - c for a, b, c in zip(l, t, tl)]
+                    guess = l if sum(abs(a - b) for a, b in zip(whole, l)) < sum(abs(a - b) for a, b in zip(whole, t)) else t
+                else:
+                    guess = [
+                        lambda: (255, 0, 0, 0), lambda: l, lambda: t, lambda: tr, lambda: tl, lambda: mean(mean(l, tr), t), lambda: mean(l, tl), lambda: mean(l, t), lambda: mean(tl, t),
+                        lambda: mean(t, tr), lambda: mean(mean(l, tl), mean(t, tr)), None, lambda: tuple(clip(a + b - c) for a, b, c in zip(l, t, tl)),
+                        lambda: tuple(clip(a + int((a - c) / 2)) for a, c in zip(mean(l, t), tl)),
+                    ][m]()
+            out[y][x] = add(res[y][x], guess)
+    return [p for row in out for p in row]
+
+
+@pytest.mark.parametrize("mode", [*range(14), None])
+def test_predictors_equal_a_plain_loop(mode):
+    """Every mode alone, and all of them in blocks of four pixels."""
+    r = np.random.default_rng(3)
+    w, h, block = 13, 9, 2
+    res = r.integers(0, 256, (h, w, 4)) * (r.random((h, w, 1)) < 0.7)
+    modes = [mode if mode is not None else k % 14 for k in range(12)]
+    packed = webp.joined(np.moveaxis(res, 2, 0).reshape(4, -1).astype(np.int64))
+    data = (np.array(modes, np.uint32) << 8) | np.uint32(webp.OPAQUE)
+    got = webp.channels(webp.unpredict(packed, w, h, data, block)).T
+    assert [tuple(p) for p in got.tolist()] == by_pixel([[tuple(int(v) for v in p) for p in row] for row in res], w, h, modes, block)
+
+
+def test_colour_transforms_equal_a_plain_loop():
+    r = np.random.default_rng(4)
+    w, h, block = 10, 7, 2
+    px, side = r.integers(0, 256, (h * w, 4)), (w + 3) >> 2
+    multipliers = r.integers(0, 256, (2 * side, 3))  # red to blue, green to blue, green to red
+    signed = lambda v: v - 256 if v > 127 else v
+    delta = lambda t, c: (signed(int(t)) * signed(int(c))) >> 5
+    want, plus = [], []
+    for i, (a, red, green, blue) in enumerate(px.tolist()):
+        rb, gb, gr = multipliers[(i // w >> block) * side + (i % w >> block)]
+        new = (red + delta(gr, green)) & 255
+        want.append((a, new, green, (blue + delta(gb, green) + delta(rb, new)) & 255))
+        plus.append((a, (red + green) & 255, green, (blue + green) & 255))
+    packed = webp.joined(px.T)
+    data = webp.joined(np.concatenate([np.full((len(multipliers), 1), 255), multipliers], 1).T)
+    assert [tuple(p) for p in webp.channels(webp.recolour(packed, w, h, data, block, True)).T.tolist()] == want
+    assert [tuple(p) for p in webp.channels(webp.add_green(packed, 1)).T.tolist()] == plus
+
+
+@pytest.mark.parametrize("colours, bits", [(2, 1), (3, 2), (4, 2), (5, 4), (16, 4), (17, 8), (200, 8)])
+def test_palettes_equal_a_plain_loop(colours, bits):
+    """Indices of 1, 2, 4 and 8 bits in the green channel, the first one lowest."""
+    r = np.random.default_rng(colours)
+    w, h, table = 11, 4, r.integers(0, 1 << 32, colours, dtype=np.uint32)
+    index = r.integers(0, colours, (h, w))
+    per, packed = 8 // bits, []
+    for row in index:
+        for x in range(0, w, per):
+            packed.append(sum(int(v) << (bits * k) for k, v in enumerate(row[x : x + per])) << 8 | 0xFF000000)
+    assert (webp.unindex(np.array(packed, np.uint32), w, h, table) == table[index.ravel()]).all()
+
+
 def test_broken_streams_are_refused():
     f = webp.encode(image(33, 17, 0), 33, 17, cache_bits=4)
     for bad in (f[:60], b"RIFF" + f[4:8] + b"WEBX" + f[12:], f[:21] + b"\xff" * 40):
