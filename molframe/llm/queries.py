@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from molframe.llm import fim, fingerprints, langid, lm, media, mixing, phrases, rollups, sentencepiece, simhash, toxicity, urlfilter
+from molframe.llm import fim, fingerprints, langid, lm, media, mixing, ngramjoin, phrases, rollups, sentencepiece, simhash, toxicity, urlfilter
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_language_id": langid.op8,
         "op9_toxicity": toxicity.op9,
         "op10_fingerprints": fingerprints.op10,
+        "op11_jaccard_join": ngramjoin.op11,
         "op12_collocations": phrases.op12,
         "op13_fill_in_middle": fim.op13,
     }
@@ -27,6 +28,7 @@ def oracle_sql():
         "op4_token_counts": rollups.OP4_SQL,
         "op5_url_filters": urlfilter.OP5_SQL,
         "op7_mixing": mixing.OP7_SQL,
+        "op11_jaccard_join": ngramjoin.OP11_SQL,
         "op12_collocations": phrases.OP12_SQL,
         "op13_fill_in_middle": fim.OP13_SQL,
     }
