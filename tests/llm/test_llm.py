@@ -421,6 +421,72 @@ def test_rollup_is_idempotent_and_additive(spark, odd, tmp_path):
         r.apply("_x", rollups.signed(a, 1))
 
 
+def test_two_drivers_never_take_a_commit_back(spark, odd, tmp_path, monkeypatch):
+    """A second driver goes on at every step of the first one's commit or compaction; totals never change."""
+    a = rollups.signed(rollups.counts(odd, ["words-1"]), 1)
+    want = {tuple(x) for x in rollups.reduced(a).collect()}
+    folder = f"file://{tmp_path}/r"
+    one, two = rollups.Rollup(spark, folder), rollups.Rollup(spark, folder)
+    rename = rollups.Rollup._commit
+    seen = []
+
+    def late(self, staged, place):
+        """Just before this driver's rename the other one commits and compacts."""
+        if self is one and not seen:
+            seen.append(two.apply("b1", a))
+            assert {tuple(x) for x in two.totals().collect()} == want
+        return rename(self, staged, place)
+
+    monkeypatch.setattr(rollups.Rollup, "_commit", late)
+    assert one.apply("b1", a) is False and seen == [True]
+    for r in (one, two):
+        assert r.committed("b1") and {tuple(x) for x in r.totals().collect()} == want
+    seen.clear()
+
+    def compacting(self, staged, place):
+        if self is one and not seen:
+            seen.append(1)
+            two.compact()
+        return rename(self, staged, place)
+
+    monkeypatch.setattr(rollups.Rollup, "_commit", compacting)
+    one.compact()
+    for r in (one, two):
+        assert r.committed("b1") and r.batches() == [] and {tuple(x) for x in r.totals().collect()} == want
+    # a batch that comes after it was folded into the base: its place is absent, the base has it
+    monkeypatch.setattr(rollups.Rollup, "committed", lambda self, batch: False)
+    two.apply("b1", a)
+    assert {tuple(x) for x in two.totals().collect()} == want
+    # a rename that fails for another reason leaves what is there
+    monkeypatch.setattr(rollups.Rollup, "_commit", rename)
+    with pytest.raises(Exception):
+        one._commit(f"{folder}/staged/none", f"{folder}/batches/b9")
+    assert {tuple(x) for x in one.totals().collect()} == want
+
+
+def test_versions_of_a_real_tokenizer(spark, docs, texts, tmp_path):
+    """Pieces of the SentencePiece encoder as a version: a plain loop over the library, and a source moved to it as a delta."""
+    lib = library.SentencePieceProcessor(model_proto=open(sentencepiece.MODEL, "rb").read())
+    few = docs.where("doc_id < 40")
+    got = {r.doc_id: (r.tokens, r.bytes) for r in rollups.counts(few, ["pieces-1"]).collect()}
+    assert got == {i: (len(lib.encode(t)), len(t.encode())) for i, t, *_ in texts if i < 40}
+    r = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    r.apply("1", rollups.signed(rollups.counts(few, ["words-2"]), 1))
+    moved = few.where("source = 'src0'")
+    r.apply("2", rollups.revised(rollups.counts(moved, ["words-2"]), rollups.counts(moved, ["pieces-1"])))
+    want = collections.Counter()
+    for i, t, lang, source in texts:
+        if i < 40:
+            words = len(t.encode().split()) + sum(t.count(c) for c in ".,;:!?")
+            want[source, lang, "pieces-1" if source == "src0" else "words-2"] += got[i][0] if source == "src0" else words
+    assert {(x.source, x.lang, x.tokenizer): x.tokens for x in r.totals().collect()} == dict(want) and len({k[2] for k in want}) == 2
+
+
+def test_rollup_query_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert rollups.op4(spark, str(tmp_path)).collect() == []
+
+
 def test_last_words_are_cut_in_time_of_their_length(spark):
     rows = ["", "  ", "a", "a b", "a b \n", " \tx", "x" * 3_000_000, "y " * 600_000, "z" * 1_000_000 + " end", "é ü\u0085"]
     df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
@@ -453,6 +519,23 @@ def by_rule(url, rules, default="allow"):
     return host, path, best[1], best[2]
 
 
+@pytest.mark.parametrize("most_rules", [0, 100])
+def test_colliding_prefixes_are_refused(spark, most_rules):
+    """With prefixes of 4 bits nearly every pair meets a rule; the digests refuse all but the right ones, and no digest is a join key."""
+    r = random.Random(4)
+    host = lambda: ".".join(r.choice(["a", "b", "www", "example", "x" * 30]) for _ in range(r.randrange(1, 5))) + r.choice([".com", ".net", ".org"])
+    rows = [(i if i % 50 else None, f"http://{host()}/{r.choice(['en', 'es', 'fr', ''])}/{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows + rows[:3], "page_id long, url string")
+    rules = urlfilter.rules(spark, [*urlfilter.RULES, ("b.org", "/", "block"), ("a.net", "/e", "block")])
+    plain = urlfilter.judge(pages, rules)
+    short = urlfilter.judge(pages, rules, most_rules=most_rules, prefix_bits=4)
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert order(short) == order(plain) and plain.where("rule IS NOT NULL").count() > 50
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x and "rk" in x]
+    assert joins and not any("rd#" in x.split("], [")[0] + x.split("], [")[1].split("]")[0] for x in joins)
+
+
 @pytest.mark.parametrize("most_rules", [100, 0])
 def test_urls_equal_a_plain_loop(spark, most_rules):
     rows = [(i, u, "old", i) for i, u in enumerate(URLS)] + [(3, URLS[3], "old", 3)]
