@@ -12,9 +12,10 @@ and tabs into words.
    its range at the next word. Prefixes of one word that hold over a HOT_SHARE-th of all occurrences are dealt by two words, and
    pairs that do by three.
 
-Words travel as 64-bit hashes. Each hash keeps the least and greatest word it stands for; if two words meet in one that is frequent,
-the counts are taken again with another multiplier, so results are exact. Which words and pairs are frequent is known to tasks by a bit
-filter of bounded size; what it lets through by mistake is counted and then dropped.
+Words travel as 64-bit hashes, or by their places in the list of frequent ones while that is short. Each hash keeps the least and
+greatest word it stands for; if two words meet in one that is frequent, the counts are taken again with another multiplier, so results are
+exact. Which pairs, and which words of a long list, are frequent is known to tasks by a bit filter of bounded size; what it lets through by
+mistake is counted and then dropped.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ HOT_SHARE = 500
 CHUNK, HASHED, PROJECTED = 12 << 20, 1 << 20, 1 << 20
 #: The filter's size: bits for each key, and the most bits there are (16 MB).
 BITS_PER_KEY, MOST_BITS = 32, 1 << 27
+#: Frequent words that are sent to tasks as they are (16 MB); of more only the filter is.
+MOST_WORDS = 1 << 21
 #: Odd multipliers of the word hash, tried in this order.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xF1357AEA2E62A9C5)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -137,19 +140,18 @@ def counted_words(rows: DataFrame, multiplier: int) -> DataFrame:
                 a, b = start[here], end[here]
                 raw = lower.tobytes()
                 low = [raw[x:y] for x, y in zip(a[first].tolist(), b[first].tolist())]
-                high = low
+                high = [None] * len(low)
                 if odd := _differing(lower, a, b, first, inverse):
-                    high = list(low)
                     for c in odd:
                         every = {raw[x:y] for x, y in zip(a[inverse == c].tolist(), b[inverse == c].tolist())}
                         low[c], high[c] = min(every), max(every)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * (len(value) + 1)), pa.array(np.append(value.view(np.int64), 0)), pa.array(np.append(n, len(here))), pa.array([*low, b""], pa.binary()), pa.array([*high, b""], pa.binary())],
+                    [pa.array([name] * (len(value) + 1)), pa.array(np.append(value.view(np.int64), 0)), pa.array(np.append(n, len(here))), pa.array([*low, b""], pa.binary()), pa.array([*high, None], pa.binary())],
                     ["lang", "h", "f", "low", "high"],
                 )
 
     made = rows.mapInArrow(run, "lang string, h long, f long, low binary, high binary")
-    return made.groupBy("lang", "h").agg(F.sum("f").alias("f"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return made.groupBy("lang", "h").agg(F.sum("f").alias("f"), F.min("low").alias("low"), F.greatest(F.max("low"), F.max("high")).alias("high"))
 
 
 def _differing(lower: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray, inverse: np.ndarray) -> list[int]:
@@ -205,6 +207,29 @@ class Filter:
         return Filter(word.view(np.uint8))
 
 
+class Codes:
+    """What tasks know of the frequent words: their keys in order, if there are at most `most`, and a word's code is its place from 1; else a filter, and the code is the hash."""
+
+    def __init__(self, frequent: DataFrame, most: int = MOST_WORDS):
+        self.keys = self.filter = None
+        if frequent.count() <= most:
+            got = frequent.select("lang", "h").toArrow()
+            keys = np.sort(word_keys(got.column("lang").to_numpy(), got.column("h").to_numpy()))
+            if (keys[1:] != keys[:-1]).all():  # else words of two languages have one key
+                self.keys = keys
+        if self.keys is None:
+            self.filter = Filter.of(frequent.select("lang", "h"), word_keys)
+
+    def of(self, keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code, whether it is frequent, as far as known) of each word."""
+        if self.keys is None:
+            return h.view(np.int64), self.filter.has(keys)
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at + 1, self.keys[at] == keys
+
+
 def _tongue(lang: str) -> np.uint64:
     h = 0
     for b in lang.encode():
@@ -219,7 +244,7 @@ def word_keys(lang: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mixed(a * np.uint64(3) + b)
+    return _mixed(_mixed(a) + b)
 
 
 def summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -232,8 +257,24 @@ def summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray],
     return [c[new] for c in columns], np.add.reduceat(n, new)
 
 
-def _occurrences(batches, multiplier: int, known: Filter):
-    """For every chunk and language: (lang, hashes of its words, whether each and the next are of one piece and both frequent)."""
+def merged(parts):
+    """Of (name, columns, n): equal rows of a name as one, over as many parts as make PROJECTED rows."""
+    held: dict[str, list] = {}
+
+    def made(name):
+        *columns, n = (np.concatenate(x) for x in zip(*held.pop(name)))
+        return name, *summed(columns, n)
+
+    for name, columns, n in parts:
+        held.setdefault(name, []).append([*columns, n])
+        if sum(len(x[-1]) for x in held[name]) > PROJECTED:
+            yield made(name)
+    for name in list(held):
+        yield made(name)
+
+
+def _occurrences(batches, multiplier: int, known: Codes):
+    """For every chunk and language: (lang, codes of its words, whether each and the next are of one piece and both frequent)."""
     for langs, lang, data, offsets in chunks(batches):
         lower = _LOWER[data]
         start, end, text, joined = words(lower, offsets)
@@ -243,12 +284,12 @@ def _occurrences(batches, multiplier: int, known: Filter):
             here = np.flatnonzero(own == k)
             if not len(here):
                 continue
-            x = h[here]
-            often = known.has(x ^ _tongue(name))
+            value, at = np.unique(h[here], return_inverse=True)
+            code, often = (x[at] for x in known.of(value ^ _tongue(name), value))
             link = joined[here].copy()  # texts of other languages in between end no piece, but a text ends its last
             link[:-1] &= often[:-1] & often[1:]
             link[-1] = False
-            yield name, x, link
+            yield name, code, link
 
 
 def counted_pairs(rows: DataFrame, multiplier: int, known) -> DataFrame:
@@ -260,7 +301,7 @@ def counted_pairs(rows: DataFrame, multiplier: int, known) -> DataFrame:
             i = np.flatnonzero(link)
             value, code = np.unique(x[np.concatenate([i, i + 1])], return_inverse=True)
             pair, n = np.unique(code[: len(i)] * np.int64(len(value)) + code[len(i) :], return_counts=True)
-            a, b = (value[c].view(np.int64) for c in (pair // max(1, len(value)), pair % max(1, len(value))))
+            a, b = (value[c] for c in (pair // max(1, len(value)), pair % max(1, len(value))))
             for s in range(0, len(n), 1 << 16):
                 part = slice(s, s + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(n[part])), pa.array(a[part]), pa.array(b[part]), pa.array(n[part])], ["lang", "a", "b", "f"])
@@ -272,23 +313,26 @@ def projections(rows: DataFrame, multiplier: int, known, pairs) -> DataFrame:
     """(lang, w1, ..., w5, n): the occurrences of frequent pairs with the words on their right, 0 beyond the last whose pair is frequent; three words or more."""
     cols = [f"w{i + 1}" for i in range(LONGEST)]
 
-    def run(batches):
-        only("phrases")
+    def found(batches):
         for name, x, link in _occurrences(batches, multiplier, known.value):
             i = np.flatnonzero(link)
             ok = np.zeros(len(x), bool)
-            ok[i] = pairs.value.has(pair_keys(x[i], x[i + 1]) ^ _tongue(name))
+            ok[i] = pairs.value.has(pair_keys(x[i].view(np.uint64), x[i + 1].view(np.uint64)) ^ _tongue(name))
             i = np.flatnonzero(ok[:-1] & ok[1:])
             if not len(i):
                 continue
             window, on = [x[i], x[i + 1], x[i + 2]], np.ones(len(i), bool)
             for d in range(3, LONGEST):
                 on = on & ok[np.minimum(i + d - 1, len(x) - 1)]
-                window.append(np.where(on, x[np.minimum(i + d, len(x) - 1)], np.uint64(0)))
-            window, n = summed(window, np.ones(len(i), np.int64))
+                window.append(np.where(on, x[np.minimum(i + d, len(x) - 1)], 0))
+            yield name, *summed(window, np.ones(len(i), np.int64))
+
+    def run(batches):
+        only("phrases")
+        for name, window, n in merged(found(batches)):
             for s in range(0, len(n), 1 << 16):
                 part = slice(s, s + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n[part])), *[pa.array(w[part].view(np.int64)) for w in window], pa.array(n[part])], ["lang", *cols, "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n[part])), *[pa.array(w[part]) for w in window], pa.array(n[part])], ["lang", *cols, "n"])
 
     return rows.mapInArrow(run, "lang string, " + ", ".join(f"{c} long" for c in cols) + ", n long")
 
@@ -346,9 +390,9 @@ def parted(batches):
         yield name, c, n
 
 
-def patterns(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, multipliers=MULTIPLIERS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def patterns(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, multipliers=MULTIPLIERS, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(patterns(lang, words, f), dictionary(lang, h, word), totals(lang, n)): all contiguous patterns of 1 to 5 words with `least`
-    occurrences or more, as arrays of word hashes. A null language is `und`, a null text empty."""
+    occurrences or more, as arrays of word codes. A null language is `und`, a null text empty."""
     lean(df.sparkSession)
     rows = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sc = df.sparkSession.sparkContext
@@ -358,8 +402,16 @@ def patterns(df: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
             break
     else:
         raise RuntimeError("words of equal hash with every multiplier")
-    frequent = ones.where("h <> 0")
-    known = sc.broadcast(Filter.of(frequent.select("lang", "h"), word_keys))
+    codes = Codes(ones.where("h <> 0"), most_words)
+    known = sc.broadcast(codes)
+
+    def coded(batches):
+        for batch in batches:
+            lang, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            code, _ = known.value.of(word_keys(lang, h), h.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code), *batch.columns[2:]], ["lang", "h", "f", "low"])
+
+    frequent = cut(ones.where("h <> 0").select("lang", "h", "f", "low").mapInArrow(coded, "lang string, h long, f long, low binary"))
     twos = cut(counted_pairs(rows, multiplier, known).where(F.col("f") >= least))
     pairs = sc.broadcast(Filter.of(twos.select("lang", "a", "b"), lambda lang, a, b: word_keys(lang, pair_keys(a.view(np.uint64), b.view(np.uint64)))))
     every = ones.where("h = 0").agg(F.sum("f")).first()[0] or 0

@@ -237,9 +237,13 @@ def _sorted_batch(n, made=[0]):
 def test_phrases_of_equal_hash_are_counted_anew(spark, texts):
     """A multiplier of 1 makes a hash of the sum of bytes, so words collide and the next one is taken."""
     df = spark.createDataFrame([(t, l) for _, t, l in texts[:40]], "text string, lang string")
-    want = {(r.lang, tuple(r.words)) for r in phrases.patterns(df, least=15)[0].collect()}
-    got = {(r.lang, tuple(r.words)) for r in phrases.patterns(df, least=15, multipliers=(1, *phrases.MULTIPLIERS))[0].collect()}
-    assert got == want
+    def spelled(**more):
+        """Patterns as texts, so that codes and hashes compare."""
+        every, names, _ = phrases.patterns(df, least=15, **more)
+        word = {(r.lang, r.h): r.word for r in names.collect()}
+        return {(r.lang, *(word[r.lang, h] for h in r.words), r.f) for r in every.collect()}
+
+    assert spelled() == spelled(multipliers=(1, *phrases.MULTIPLIERS)) == spelled(most_words=0)
     with pytest.raises(RuntimeError):
         phrases.patterns(df, least=15, multipliers=(1,))
 
