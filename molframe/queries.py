@@ -240,6 +240,35 @@ def verlet_list(spark, d):
     return v.pairs.agg(F.lit(v.needs_rebuild(moved)).alias("rebuild"), F.count("*").alias("pairs"))
 
 
+@query(f"""WITH p AS ({P}), m AS (SELECT id, label, CASE WHEN label % 3 = 0 THEN x * 1.5 ELSE x + 0.001::DOUBLE END AS x, y, z FROM p),
+    stale AS (SELECT p.label, max(CASE WHEN (m.x - p.x) * (m.x - p.x) > 0.005::DOUBLE * 0.005::DOUBLE THEN 1 ELSE 0 END) = 1 AS stale FROM p JOIN m USING (id) GROUP BY 1),
+    q AS (SELECT p.id, p.label, CASE WHEN stale THEN m.x ELSE p.x END AS x, p.y, p.z FROM p JOIN m USING (id) JOIN stale ON stale.label = p.label)
+    SELECT stale.label, stale, count(a.id) AS pairs, round(coalesce(sum({D2}), 0), 6) AS total FROM stale LEFT JOIN (q a JOIN q b ON a.label = b.label AND a.id < b.id AND {D2} <= 0.1::DOUBLE * 0.1::DOUBLE) ON a.label = stale.label GROUP BY 1, 2""")
+def verlet_by_part(spark, d):
+    """A third of the structures moves: their pairs are made anew, those of the others are kept as they were."""
+    p = _points(spark, d)
+    v = radius.PairList(p, 0.09, 0.01, "id", ["label"])
+    moved = p.withColumn("x", F.when(F.col("label") % 3 == 0, F.col("x") * 1.5).otherwise(F.col("x") + 0.001))
+    stale = v.stale(moved).select("label", F.lit(True).alias("stale"))
+    n = v.updated(moved).pairs.groupBy("label").agg(F.count("*").alias("pairs"), F.sum("d2").alias("total"))
+    every = p.select("label").distinct().join(stale, "label", "left").join(n, "label", "left")
+    return every.select("label", F.coalesce("stale", F.lit(False)).alias("stale"), F.coalesce("pairs", F.lit(0)).alias("pairs"), F.round(F.coalesce("total", F.lit(0.0)), 6).alias("total"))
+
+
+_CROWD = "CASE WHEN c_custkey % 2 = 0 THEN 50.0 ELSE 1.0 END"
+
+
+@query(f"""WITH p AS MATERIALIZED (SELECT c_custkey AS id, c_nationkey AS nation, c_acctbal / 1000 / {_CROWD} AS x, (c_custkey * 37 % 1000) / 100.0::DOUBLE / {_CROWD} AS y, (c_custkey * 91 % 1000) / 100.0::DOUBLE / {_CROWD} AS z FROM customer)
+    SELECT a.nation, count(*) AS pairs, round(sum({D2}), 3) AS total FROM p a JOIN p b ON a.id < b.id AND {D2} <= 0.3::DOUBLE * 0.3::DOUBLE GROUP BY 1""")
+def radius_crowded(spark, d):
+    """Half of the points in one cube: its pairs are dealt over as many keys as it takes."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    k = F.when(F.col("c_custkey") % 2 == 0, 50.0).otherwise(1.0)
+    p = c.select(F.col("c_custkey").alias("id"), "c_nationkey", (F.col("c_acctbal") / 1000 / k).alias("x"), (F.col("c_custkey") * 37 % 1000 / 100.0 / k).alias("y"), (F.col("c_custkey") * 91 % 1000 / 100.0 / k).alias("z"))
+    near = radius.radius_pairs(p, 0.3, "id", most=512).join(p.select(F.col("id").alias("i"), F.col("c_nationkey").alias("nation")), "i")
+    return near.groupBy("nation").agg(F.count("*").alias("pairs"), F.round(F.sum("d2"), 3).alias("total"))
+
+
 @query(f"WITH p AS ({P}) SELECT label, count(*) AS pairs, round(sum({D2}), 6) AS total FROM (SELECT a.label, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS bby, a.z AS az, b.z AS bz FROM p a JOIN p b ON a.label = b.label AND a.id < b.id) GROUP BY 1".replace(D2, "(ax - bx) * (ax - bx) + (ay - bby) * (ay - bby) + (az - bz) * (az - bz)"))
 def all_pairs_by_group(spark, d):
     return radius.all_pairs(_points(spark, d), "id", ["label"]).groupBy("label").agg(F.count("*").alias("pairs"), F.round(F.sum("d2"), 6).alias("total"))

@@ -19,12 +19,12 @@ def test_global_rank(spark):
     assert {(x.k, x.n) for x in seen.collect()} == {("b", 0), ("a", 1)}
 
 
-@pytest.mark.parametrize("salts", [1, 3])
-def test_radius_join_equals_all_pairs(spark, salts):
+@pytest.mark.parametrize("most", [4096, 4])
+def test_radius_join_equals_all_pairs(spark, most):
     r = random.Random(9)
     rows = [(s, i, r.uniform(-3, 3), r.uniform(-3, 3), r.uniform(-1, 1)) for s in ("a", "b") for i in range(60)] + [("a", 60, 0.0, 0.0, 0.0), ("a", 61, 1.0, 0.0, 0.0)]
     p = spark.createDataFrame(rows, "sid string, id int, x double, y double, z double")
-    got = {(x.sid, x.i, x.j) for x in radius.radius_pairs(p, 1.0, "id", ["sid"], salts).collect()}
+    got = {(x.sid, x.i, x.j) for x in radius.radius_pairs(p, 1.0, "id", ["sid"], most).collect()}
     d2 = lambda u, v: sum((a - b) ** 2 for a, b in zip(u[2:], v[2:]))
     assert got == {(u[0], u[1], v[1]) for u in rows for v in rows if u[0] == v[0] and u[1] < v[1] and d2(u, v) <= 1.0}
     assert ("a", 60, 61) in got
@@ -32,6 +32,42 @@ def test_radius_join_equals_all_pairs(spark, salts):
     assert {(x.sid, x.id) for x in far.collect()} == {(u[0], u[1]) for u in rows if u[1] % 2 == 0 and all(d2(u, v) >= 0.36 for v in rows if u[0] == v[0] and v[1] % 2)}
 
 
+def test_crowded_cells_are_split(spark):
+    """Half of the points in one cube: pairs are the same, and no key of the join holds more than `most` of a side (or little more, by chance)."""
+    r = random.Random(2)
+    rows = [(i, *(r.uniform(0, 0.9) for _ in range(3))) for i in range(300)] + [(i, *(r.uniform(0, 9) for _ in range(3))) for i in range(300, 600)]
+    p = spark.createDataFrame(rows, "id int, x double, y double, z double")
+    plain = radius.radius_pairs(p, 1.0, "id")
+    got = radius.radius_pairs(p, 1.0, "id", most=40)
+    order = lambda df: sorted((x.i, x.j, round(x.d2, 9)) for x in df.collect())
+    assert order(got) == order(plain) and len(order(got)) > 40_000
+    cells = [radius._cells(p, 1.0, o).drop("x", "y", "z") for o in (False, True)]
+    a, b, on = radius._salted(*cells, ["__kx", "__ky", "__kz"], 40)
+    for side in (a, b):
+        assert side.groupBy(*on).count().agg(F.max("count")).first()[0] < 80
+    assert radius.all_pairs(p.withColumn("s", F.lit(1)), "id", ["s"], 5).select("i", "j").distinct().count() == 600 * 599 // 2
+
+
+def test_pair_list_by_part(spark):
+    """A third of the parts moves: theirs are made anew, those of the others stay as they are."""
+    r = random.Random(6)
+    rows = [(s, i, *(r.uniform(0, 4) for _ in range(3))) for s in range(9) for i in range(30)]
+    p = spark.createDataFrame(rows, "sid int, id int, x double, y double, z double")
+    v = radius.PairList(p, 1.0, 0.4, "id", ["sid"])
+    near = p.withColumn("x", F.when(F.col("sid") % 3 == 0, F.col("x") * 1.5).otherwise(F.col("x") + 0.1)).where("sid <> 8 OR id <> 3")
+    assert {x.sid for x in v.stale(near).collect()} == {0, 3, 6, 8}
+    w = v.updated(near)
+    order = lambda df: sorted((x.sid, x.i, x.j, x.d2) for x in df.collect())
+    stale = "sid % 3 = 0 OR sid = 8"
+    assert order(w.pairs.where(f"NOT ({stale})")) == order(v.pairs.where(f"NOT ({stale})"))
+    assert order(w.pairs.where(stale)) == order(radius.radius_pairs(near.where(stale), 1.4, "id", ["sid"]))
+    assert not w.needs_rebuild(near.where(stale).unionByName(p.where(f"NOT ({stale})"))) and v.updated(p) is v
+    # every pair within the cutoff is in the list, whatever moved
+    assert {x[:3] for x in order(radius.radius_pairs(near, 1.0, "id", ["sid"]))} <= {x[:3] for x in order(w.pairs)}
+    gone = w.updated(near.where("sid <> 1"))
+    assert {x.sid for x in gone.pairs.select("sid").distinct().collect()} == {0, 2, 3, 4, 5, 6, 7, 8}
+
+
 def test_components_by_part(spark):
     edges = spark.createDataFrame([("p", 1, 2), ("p", 2, 3), ("p", 9, 8), ("q", 1, 3), ("q", 5, 5)] + [("r", i, i + 1) for i in range(60)], "sid string, i long, j long")
     nodes = spark.createDataFrame([(s, i) for s, n in (("p", 10), ("q", 6), ("r", 61)) for i in range(n)], "sid string, id long")
