@@ -20,7 +20,8 @@ from molframe.llm.common import lean, only, table
 UNIT = 576
 ROW = UNIT // 4
 BATCH_BYTES = 4 << 20
-FEW = 16
+#: Images whose first pixels have at most so many colours are looked at for a palette.
+FEW = 64
 
 
 def padded(text: bytes) -> bytes:
@@ -38,21 +39,26 @@ def shape(n: int) -> tuple[int, int]:
 def store(payloads: list[bytes]) -> list[bytes]:
     """Each payload, a multiple of UNIT long, as a file; equal ones become equal files.
 
-    Images of at most FEW colours have a palette, all others a chain of predictor, cross-colour and subtract-green
-    transforms that their check sum picks, so what is read back has gone through every kind."""
+    Transforms are chosen for each image by estimated bits. Where differences from the left and from green are no shorter than
+    the pixels themselves, as in prose, none is taken and images of a batch share their prefix codes; all others, and images of few
+    colours, are written by `webp.encode_best`, with modes and multipliers by block and codes of their own."""
     made: dict[bytes, bytes] = {}
-    chains: dict[int, list] = {}
-    for p in dict.fromkeys(payloads):
-        w, h = shape(len(p))
-        px = np.frombuffer(p + bytes(w * h * 4 - len(p)), ">u4").astype(np.uint32)
-        if len(np.unique(px[:4096])) <= FEW and len(np.unique(px)) <= FEW:
-            made[p] = webp.encode(px, w, h, (webp.PALETTE,), 4)
-        else:
-            chains.setdefault(zlib.crc32(p) % len(webp.CHAINS), []).append((p, px, w, h))
-    for chain, group in chains.items():
-        size = np.array([len(x[1]) for x in group])
-        wide, high = (np.array([x[k] for x in group], np.int64) for k in (2, 3))
-        made |= zip((x[0] for x in group), webp.encode_many(np.concatenate([x[1] for x in group]), np.cumsum(size) - size, wide, high, chain))
+    plain: list = []
+    todo = list(dict.fromkeys(payloads))
+    if todo:
+        sides = [shape(len(p)) for p in todo]
+        px = [np.frombuffer(p + bytes(w * h * 4 - len(p)), ">u4").astype(np.uint32) for p, (w, h) in zip(todo, sides)]
+        size = np.array([len(x) for x in px])
+        as_is = webp.plain_is_best(np.concatenate(px), np.cumsum(size) - size)
+        for p, x, (w, h), ok in zip(todo, px, sides, as_is):
+            if ok and not len(np.unique(x[:4096])) <= min(FEW, len(x) // 8):
+                plain.append((p, x, w, h))
+            else:
+                made[p] = webp.encode_best(x, w, h)
+    if plain:
+        size = np.array([len(x[1]) for x in plain])
+        wide, high = (np.array([x[k] for x in plain], np.int64) for k in (2, 3))
+        made |= zip((x[0] for x in plain), webp.encode_many(np.concatenate([x[1] for x in plain]), np.cumsum(size) - size, wide, high))
     return [made[p] for p in payloads]
 
 

@@ -613,8 +613,8 @@ def write_image(w: Writer, p: np.ndarray, width: int, cache_bits: int = 0, main:
     w.put(int.from_bytes(words.tobytes(), "little"), int(bits.sum()))
 
 
-def encode(p: np.ndarray, width: int, height: int, transforms=(), cache_bits: int = 0, block: int = 0, mode_block: int = 3, seed: int = 0) -> bytes:
-    """One file. `transforms` in the order of application; predictor modes and colour multipliers cycle through all values from `seed` on."""
+def encode(p: np.ndarray, width: int, height: int, transforms=(), cache_bits: int = 0, block: int = 0, mode_block: int = 3, seed: int = 0, choose: bool = False) -> bytes:
+    """One file. `transforms` in the order of application; predictor modes and colour multipliers are chosen by block with `choose`, else they cycle through all values from `seed` on."""
     w = Writer()
     w.put(0x2F, 8)
     w.put(width - 1, 14)
@@ -633,12 +633,12 @@ def encode(p: np.ndarray, width: int, height: int, transforms=(), cache_bits: in
         w.put(1, 1)
         w.put(kind, 2)
         if kind == PREDICTOR:
-            data = ((i % 14).astype(U32) << U32(8)) | U32(OPAQUE)
+            data = chosen_modes(p, now, height, mode_block) if choose else ((i % 14).astype(U32) << U32(8)) | U32(OPAQUE)
             w.put(mode_block - 2, 3)
             write_image(w, data, bw)
             p = predict(p, now, height, data, mode_block)
         elif kind == CROSS_COLOUR:
-            data = joined(np.stack([np.full(len(i), 255), i * 37, i * 101 + 5, i * 59 + 200]))
+            data = chosen_colours(p, now, height, mode_block) if choose else joined(np.stack([np.full(len(i), 255), i * 37, i * 101 + 5, i * 59 + 200]))
             w.put(mode_block - 2, 3)
             write_image(w, data, bw)
             p = recolour(p, now, height, data, mode_block, False)
@@ -658,6 +658,100 @@ def encode(p: np.ndarray, width: int, height: int, transforms=(), cache_bits: in
     return wrap(w.value.to_bytes((w.size + 7) // 8, "little"))
 
 
+def _by_block(v: np.ndarray, width: int, height: int, block: int) -> np.ndarray:
+    """Sums of pixel values over square blocks."""
+    v = v.reshape(height, width)
+    rows = np.add.reduceat(v, np.arange(0, height, 1 << block), 0)
+    return np.add.reduceat(rows, np.arange(0, width, 1 << block), 1).ravel()
+
+
+def _weight(p: np.ndarray) -> np.ndarray:
+    """About the bits of each pixel's residuals: the logarithm of their sizes, either way."""
+    v = channels(p) & 255
+    return np.log2(1.0 + np.minimum(v, 256 - v)).sum(0)
+
+
+def chosen_modes(p: np.ndarray, width: int, height: int, block: int) -> np.ndarray:
+    """The predictor mode of least weight in each block, as the pixels of its image."""
+    bw, bh = (width + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block
+    every = [_by_block(_weight(predict(p, width, height, np.full(bw * bh, mode << 8, U32), block)), width, height, block) for mode in range(14)]
+    return (np.argmin(every, 0).astype(U32) << U32(8)) | U32(OPAQUE)
+
+
+def chosen_colours(p: np.ndarray, width: int, height: int, block: int) -> np.ndarray:
+    """Multipliers of each block: how much of red and blue goes with green, and of the rest of blue with red, by least squares; samples count as signed."""
+    signed = lambda v: ((v & 255) ^ 128) - 128
+    _, r, g, b = (signed(x).astype(float) for x in channels(p))
+    total = lambda v: _by_block(v, width, height, block)
+    y, x = np.divmod(np.arange(width * height), width)
+    of = (y >> block) * ((width + (1 << block) - 1) >> block) + (x >> block)
+    step = lambda v, t: np.clip(np.round(32 * total(v * t) / np.maximum(total(t * t), 1)), -128, 127)
+    green_to_red, green_to_blue = step(r, g), step(b, g)
+    red_to_blue = step(b - green_to_blue[of] * g / 32, r)
+    return joined(np.stack([np.full(len(green_to_red), 255), *(c.astype(np.int64) & 255 for c in (red_to_blue, green_to_blue, green_to_red))]))
+
+
+def entropies(p: np.ndarray, image: np.ndarray, n: int) -> np.ndarray:
+    """Bits of each of n images, every channel under its own code of order 0; `image` names that of each pixel."""
+    size = np.maximum(np.bincount(image, minlength=n), 1)[:, None].astype(float)
+    out = np.zeros(n)
+    at = image * 256
+    for v in p.view(np.uint8).reshape(-1, 4).T:
+        h = np.bincount(at + v, minlength=256 * n).reshape(n, 256)
+        out += (h * (np.log2(size) - np.log2(np.maximum(h, 1)))).sum(1)
+    return out
+
+
+def plain_is_best(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of images laid end to end: whether differences from the left, from green and from a share of green all take no fewer bits than the pixels as they are."""
+    n = len(first)
+    image = np.repeat(np.arange(n), np.diff(np.append(first, len(p))))
+    own = entropies(p, image, n)
+    v = _bytes(p)
+    left = v.copy()
+    left[1:] -= v[:-1]
+    left[first] = v[first]
+    green = v.copy()  # bytes are blue, green, red, alpha
+    green[:, 0] -= v[:, 1]
+    green[:, 2] -= v[:, 1]
+    share = v.copy()
+    g = v[:, 1].view(np.int8).astype(np.int64)
+    for c in (0, 2):
+        k = np.round(32 * np.add.reduceat(v[:, c].view(np.int8) * g, first) / np.maximum(np.add.reduceat(g * g, first), 1))
+        share[:, c] -= ((np.clip(k, -128, 127).astype(np.int64)[image] * g) >> 5).astype(np.uint8)
+    return np.all([own <= entropies(x.view(U32).ravel(), image, n) for x in (left, green, share)], axis=0)
+
+
+#: What `encode_best` chooses from, in this order among equals.
+CHOICES = [(), (PALETTE,), (SUBTRACT_GREEN,), (PREDICTOR,), (PREDICTOR, SUBTRACT_GREEN), (PREDICTOR, CROSS_COLOUR), (CROSS_COLOUR,)]
+
+
+def encode_best(p: np.ndarray, width: int, height: int, mode_block: int = 4) -> bytes:
+    """One file with the transforms of fewest estimated bits: modes and multipliers by block, prefix codes of its own."""
+    p = p.astype(U32)
+    one = np.zeros(len(p), np.int64)
+    blocks = ((width + (1 << mode_block) - 1) >> mode_block) * ((height + (1 << mode_block) - 1) >> mode_block)
+    colours, index = np.unique(p, return_inverse=True)
+    bits = {}
+    for chain in CHOICES:
+        if PALETTE in chain:
+            if len(colours) <= 256:
+                h = np.bincount(index)
+                bits[chain] = float((h * (np.log2(len(p)) - np.log2(h))).sum()) + 24 * len(colours)
+            continue
+        q, extra = p, 0
+        for kind in chain:
+            if kind == PREDICTOR:
+                q, extra = predict(q, width, height, chosen_modes(q, width, height, mode_block), mode_block), extra + 4 * blocks
+            elif kind == CROSS_COLOUR:
+                q, extra = recolour(q, width, height, chosen_colours(q, width, height, mode_block), mode_block, False), extra + 20 * blocks
+            else:
+                q = add_green(q, -1)
+        bits[chain] = float(entropies(q, one, 1)[0]) + extra
+    best = min(bits, key=bits.get)
+    return encode(p, width, height, best, 0 if PALETTE in best else 4, mode_block=mode_block, choose=True)
+
+
 # -- batches -------------------------------------------------------------------------------------
 
 CACHE = 10

@@ -182,12 +182,66 @@ def test_batches_of_a_chain_round_trip(chain):
         assert all((x[0], x[1]) == size and (x[2] == p).all() for x, p, size in zip(webp.decode_many(files, few), px, sizes))
 
 
-def test_stored_files_meet_every_transform(texts):
-    payloads = [media.padded((t or "").encode()) for _, t, *_ in texts] + [media.padded(b""), media.padded(b"ab" * 3000)]
+def transforms(file):
+    """Kinds of transforms of a file, in order of application."""
+    seen, bits = [], webp.Bits(webp.unwrap(file), 8)
+    bits.read(32)
+    w = 1 + (int.from_bytes(webp.unwrap(file)[1:5], "little") & 0x3FFF)
+    h = 1 + (int.from_bytes(webp.unwrap(file)[1:5], "little") >> 14 & 0x3FFF)
+    while bits.read(1):
+        seen.append(kind := bits.read(2))
+        if kind in (webp.PREDICTOR, webp.CROSS_COLOUR):
+            block = bits.read(3) + 2
+            webp.read_image(bits, (w + (1 << block) - 1) >> block, (h + (1 << block) - 1) >> block)
+        elif kind == webp.PALETTE:
+            n = bits.read(8) + 1
+            webp.read_image(bits, n, 1)
+            w = (w + (1 << webp._bundle(n)) - 1) >> webp._bundle(n)
+    return tuple(seen)
+
+
+def pictures():
+    """Payloads of one unit's width each, by the transforms that suit them."""
+    r = np.random.default_rng(5)
+    h, w = 60, 144
+    y, x = np.mgrid[:h, :w]
+    slope = np.stack([np.full((h, w), 255), x + y, 2 * x + y // 2, y * 2 + x // 3]) + r.integers(-1, 2, (4, h, w))  # smooth, channels apart
+    noise = r.integers(0, 256, (h, w))
+    grey = np.stack([np.full((h, w), 255), noise + r.integers(-2, 3, (h, w)), noise, noise + r.integers(-2, 3, (h, w))])  # rough, channels together
+    green = r.integers(0, 128, (h, w))
+    tinted = np.stack([np.full((h, w), 255), green // 2 + r.integers(0, 2, (h, w)), green, 100 - green // 4 + r.integers(0, 2, (h, w))])  # rough, in proportion
+    few = np.stack([np.full((h, w), 255), *(np.array([[10, 200, 90, 31], [0, 50, 250, 77], [3, 4, 5, 6]])[:, r.integers(0, 4, (h, w))])])
+    return {k: (v & 255).astype(np.uint8).transpose(1, 2, 0).tobytes() for k, v in (("slope", slope), ("grey", grey), ("tinted", tinted), ("few", few))}
+
+
+def test_transforms_are_chosen_by_size(texts):
+    made = pictures()
+    prose = [media.padded((t or "").encode()) for _, t, *_ in texts]
+    payloads = [*made.values(), media.padded(b""), *prose]
     files = media.store(payloads)
     assert all(media.samples(p)[: len(x)] == x for x, (_, _, p) in zip(payloads, webp.decode_many(files)))
-    kinds = {webp.unwrap(f)[5] & 7 for f in files}
-    assert kinds == {1 | webp.PREDICTOR << 1, 1 | webp.PALETTE << 1}
+    kinds = dict(zip([*made, "blank"], map(transforms, files)))
+    assert kinds["slope"][0] == webp.PREDICTOR and kinds["grey"] == (webp.SUBTRACT_GREEN,) and webp.CROSS_COLOUR in kinds["tinted"] and kinds["few"] == (webp.PALETTE,) and kinds["blank"] == ()
+    for (k, x), f in zip(made.items(), files):
+        p = np.frombuffer(x, ">u4").astype(np.uint32)
+        assert len(f) < 0.9 * len(webp.encode(p, 144, 60, (), 4)) and len(f) < len(x), k
+    # modes by block are not one mode throughout
+    p = np.frombuffer(made["slope"], ">u4").astype(np.uint32)
+    assert len(np.unique(webp.chosen_modes(p, 144, 60, 4))) > 1
+    assert sum(map(len, files[len(made) :])) <= 0.65 * sum(map(len, payloads[len(made) :]))
+
+
+def test_media_columns_are_what_is_stored(spark, docs):
+    for r in media.describe(docs.where("doc_id < 30")).join(docs.select("doc_id", "text"), "doc_id").collect():
+        payload = media.padded((r.text or "").encode())
+        (file,) = media.store([payload])
+        x = list(payload)
+        mean = sum(x) / len(x)
+        spread = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x))
+        bins = ",".join(str(int(round(1000 * sum(16 * k <= v < 16 * k + 16 for v in x) / len(x)))) for k in range(16))
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        mean_, spread_, bins_ = r.feature.split("|")
+        assert abs(float(mean_) - mean) < 6e-4 and abs(float(spread_) - spread) < 6e-4 and bins_ == bins
 
 
 def by_pixel(res, width, height, modes, block):
