@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,13 +32,56 @@ def adjacency(edges: DataFrame, part: Sequence[str] = ()) -> DataFrame:
     return edges.select(*part, F.col("i").alias("c"), F.col("j").alias("n")).unionByName(edges.select(*part, F.col("j").alias("c"), F.col("i").alias("n")))
 
 
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of n nodes is joined to by the links a, b; the greater of two roots is hung below the smaller, then ways are halved."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def contracted(edges: DataFrame, part: Sequence[str] = ()) -> DataFrame:
+    """Edges (part, u, v), u < v, with the same components: within each partition as it lies, every node is linked to the least it is joined to.
+
+    No shuffle; a partition's edges are in memory once, as numbers. A component that lies in one partition is a star after this."""
+    p, schema = list(part), edges.select(*part, "u", "v").schema
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        tab = pa.Table.from_batches(held)
+        u, v = (tab.column(c).to_pandas() for c in ("u", "v"))
+        group = pd.MultiIndex.from_arrays([tab.column(c).to_pandas() for c in p]).factorize()[0] if len(p) > 1 else pd.factorize(tab.column(p[0]).to_pandas(), use_na_sentinel=False)[0] if p else np.zeros(len(u), np.int64)
+        ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        # nodes by (part, id), so the least node of a component has the least id
+        nodes, at = np.unique(np.concatenate([group, group]) * np.int64(len(ids)) + place, return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root = _joined(a, b, len(nodes))
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        first = np.zeros(len(nodes), np.int64)
+        first[at] = np.concatenate([np.arange(len(u))] * 2)  # a row with each node, for the columns of its part
+        for s in range(0, len(moved), 1 << 16):
+            m = moved[s : s + (1 << 16)]
+            keys = tab.select(p).take(pa.array(first[m])).combine_chunks()
+            low, high = (pa.array(ids[nodes[x] % len(ids)], t) for x, t in ((root[m], tab.schema.field("u").type), (m, tab.schema.field("v").type)))
+            yield from pa.table([*keys.columns, low, high], names=[*p, "u", "v"]).to_batches()
+
+    return edges.select(*p, "u", "v").mapInArrow(run, schema)
+
+
 def components(nodes: DataFrame, edges: DataFrame, part: Sequence[str] = (), ident: str = "id", rounds: int = 60) -> DataFrame:
     """(part, ident, root): root is the smallest node reachable.
 
-    Alternating large-star and small-star steps with a checkpoint after each: the number of steps grows with
-    the logarithm of a component's size. All parts run together."""
+    Components are found within each partition first, so what is left to do is what crosses partitions: alternating large-star and
+    small-star steps with a checkpoint after each, whose number grows with the logarithm of a component's size. All parts run together."""
     p = list(part)
-    e, seen = cut(canonical(edges, p).select(*p, F.col("i").alias("u"), F.col("j").alias("v"))), None
+    e = cut(contracted(canonical(edges, p).select(*p, F.col("i").alias("u"), F.col("j").alias("v")), p))
+    seen = _told(e, p)
     for _ in range(rounds):
         both = e.unionByName(e.select(*p, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*p, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -43,7 +89,7 @@ def components(nodes: DataFrame, edges: DataFrame, part: Sequence[str] = (), ide
         low = e.groupBy(*p, "v").agg(F.min("u").alias("m"))
         star = F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v"))))
         e = cut(e.join(low, [*p, "v"]).select(*p, star.alias("x")).select(*p, "x.u", "x.v").where("u <> v").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*p, "u", "v").cast("decimal(38,0)"))).first())
+        now = _told(e, p)
         if now == seen:
             break
         seen = now
@@ -53,6 +99,10 @@ def components(nodes: DataFrame, edges: DataFrame, part: Sequence[str] = (), ide
     return nodes.select(*p, ident).join(root, [*p, ident], "left").withColumn("root", F.coalesce("root", ident))
 
 
+def _told(e: DataFrame, p: list[str]) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*p, "u", "v").cast("decimal(38,0)"))).first())
+
+
 def numbered_components(rooted: DataFrame, part: Sequence[str] = (), ident: str = "id", out: str = "component") -> DataFrame:
     """Components numbered from 0 by their first node."""
     if not part:

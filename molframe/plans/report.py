@@ -62,7 +62,7 @@ def prepare(docs: DataFrame, ff: ForceField, options: BuildOptions | None = None
     o = (options or BuildOptions()).validate()
     p = pdb.parse(docs, o, strict=True)
     if p.residues.isEmpty():
-        raise MolframeError("invalid_pdb", "selected model contains no heavy atoms")
+        raise MolframeError("invalid_pdb", "nothing but hydrogen, or nothing, is in the model")
     s = parameterize(p, ff, o)
     if o.add_water:
         s = solvate(s, ff, o)

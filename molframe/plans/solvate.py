@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 import numpy as np
@@ -24,6 +25,8 @@ CELL = 18.774349
 PER_NM3 = 0.602214076
 CLASH, SPACING, FLOOR = 2.4, 5.0, 0.5
 WATER_ATOMS = [("O", "OW", 8, -0.834, 16.0), ("H1", "HW", 1, 0.417, 1.008), ("H2", "HW", 1, 0.417, 1.008)]
+#: Rows of a tile of a sum over all pairs.
+TILE = 4096
 
 
 def box(atoms: DataFrame, padding: float) -> DataFrame:
@@ -86,6 +89,24 @@ def choose_spaced(xyz: np.ndarray, potential: np.ndarray, tie: np.ndarray, sched
     return out
 
 
+def site_potential(sites: DataFrame, charges: DataFrame, ident: str, part: Sequence[str] = (), tile: int = TILE) -> DataFrame:
+    """(part, ident, potential) of every site: the sum of charge / distance over the charges of its part, distances of FLOOR at least; 0 without any.
+
+    Quadratic by definition. Sites and charges of a part are dealt over tiles of about `tile` rows each, by counts taken first, and a key is a
+    pair of tiles, so a large part is many tasks of bounded size; the partial sums are then added up by site."""
+    p = list(part)
+    count = lambda df, name: df.groupBy(*p).agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    n = cut(count(sites, "__s").join(count(charges, "__c"), p)) if p else cut(count(sites, "__s").crossJoin(F.broadcast(count(charges, "__c"))))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    meet = (lambda df: df.join(n, p)) if p else (lambda df: df.crossJoin(F.broadcast(n)))
+    own = meet(sites.select(*p, ident, "x", "y", "z")).withColumn("__a", F.pmod(F.xxhash64(ident), "__s").cast("int")).withColumn("__b", every("__c"))
+    q = charges.select(*p, "charge", *[F.col(a).alias(f"q{a}") for a in "xyz"])
+    other = meet(q).withColumn("__b", F.pmod(F.xxhash64("qx", "qy", "qz", "charge"), "__c").cast("int")).withColumn("__a", every("__s"))
+    term = F.col("charge") / F.greatest(F.sqrt(distance2(vec(), vec("q"))), F.lit(FLOOR))
+    sums = own.drop("__s", "__c").join(other.drop("__s", "__c"), [*p, "__a", "__b"]).groupBy(*p, ident).agg(F.sum(term).alias("potential"))
+    return sites.select(*p, ident).join(sums, [*p, ident], "left").withColumn("potential", F.coalesce("potential", F.lit(0.0)))
+
+
 def solvate(s: System, ff: ForceField, options: BuildOptions | None = None, strict: bool = True) -> System:
     """The system centred in a box of water with ions; the input must be dry."""
     o = (options or BuildOptions()).validate()
@@ -94,12 +115,11 @@ def solvate(s: System, ff: ForceField, options: BuildOptions | None = None, stri
     shifted = cut(shifted)
     water = ff.templates.atoms.where("family = 'water_box'").select("ord", "x", "y", "z")
     if water.count() % 3:
-        raise ValueError("water box atom count is not divisible by three")
+        raise ValueError("the water box holds atoms that make no whole molecule of three")
     sites = water_lattice(boxes, water, o.seed).withColumnsRenamed({f"{a}0": a for a in "xyz"}).withColumn("site", F.struct("ix", "iy", "iz", "w"))
     sites = sites.withColumn("key", F.concat_ws(",", "ix", "iy", "iz", "w"))
     free = cut(without_near(sites, shifted, CLASH, "key", ["sid"]))
-    charge = shifted.select("sid", "charge", *[F.col(a).alias(f"q{a}") for a in "xyz"])
-    potential = free.join(charge, "sid").groupBy("sid", "key").agg(F.sum(F.col("charge") / F.greatest(F.sqrt(distance2(vec(), vec("q"))), F.lit(FLOOR))).alias("potential"))
+    potential = site_potential(free, shifted, "key", ["sid"])
     numbered = free.join(potential, ["sid", "key"]).withColumn("idx", F.row_number().over(W.partitionBy("sid").orderBy("site")) - 1)
     numbered = cut(numbered.drop("site"))
     if o.add_ions:

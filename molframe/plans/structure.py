@@ -175,7 +175,7 @@ class Structure:
         bad = pairs.where("a = b").select("sid", "a")
         for c in ("a", "b"):
             bad = bad.unionByName(pairs.join(have.withColumnRenamed("serial", c), ["sid", c], "left_anti").select("sid", F.col(c).alias("a")))
-        require_none(violation(bad, "invalid_pdb", F.col("a"), F.lit("a bond must connect two existing, distinct atoms")))
+        require_none(violation(bad, "invalid_pdb", F.col("a"), F.lit("both ends of a bond have to be atoms of the structure, and not the same one")))
         new = pairs.select("sid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return self._with(conect=cut(self.parsed.conect.unionByName(new).distinct()))
 

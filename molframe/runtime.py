@@ -1,4 +1,4 @@
-"""Session helpers: cutting lineage and sizing broadcasts."""
+"""Session helpers: the checkpoint folder and cutting lineage."""
 
 from __future__ import annotations
 
@@ -24,8 +24,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint. The columns are new ones, so the result joins with what it was made from."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint().select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
-
-
-def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """Mark a dimension for broadcast if it has at most `most_rows` rows; larger ones are left to the planner."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

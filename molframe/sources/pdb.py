@@ -98,10 +98,10 @@ def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = F
     raw = raw.withColumn("element", F.when(F.col("element") == "", guess).otherwise(F.col("element"))).withColumn("occupancy", F.coalesce("occupancy", F.lit(0.0)))
     number_ok = F.col("serial").isNotNull() & F.col("number").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
     bad = raw.where((F.col("len") < 54) | ~number_ok)
-    why = F.when(F.col("len") < 54, "is shorter than the coordinate columns").when(F.col("serial").isNull(), "has invalid atom serial").when(F.col("number").isNull(), "has invalid residue number").otherwise("has invalid coordinates")
+    why = F.when(F.col("len") < 54, "ends before its coordinates").when(F.col("serial").isNull(), "has no serial that parses").when(F.col("number").isNull(), "has no residue number that parses").otherwise("has a coordinate that does not parse")
     problems = violation(bad, "invalid_pdb", F.col("line_no"), F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" "), why))
-    problems = problems.unionByName(violation(models(lines).where(~F.array_contains("models", o.model)), "model_not_found", F.lit(o.model), F.lit(f"requested MODEL {o.model} does not exist")))
-    problems = problems.unionByName(violation(tagged.where("model = -1 AND marker"), "invalid_pdb", F.col("line_no"), F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" has invalid MODEL"))))
+    problems = problems.unionByName(violation(models(lines).where(~F.array_contains("models", o.model)), "model_not_found", F.lit(o.model), F.lit(f"there is no MODEL {o.model}")))
+    problems = problems.unionByName(violation(tagged.where("model = -1 AND marker"), "invalid_pdb", F.col("line_no"), F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" has a MODEL without a number"))))
 
     hydrogen = F.upper("element").isin("H", "D")
     protein = F.col("residue_name").isin(PROTEIN)
@@ -121,16 +121,16 @@ def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = F
     chunks = F.transform(F.sequence(F.lit(7), F.greatest(F.length("line"), F.lit(7)), F.lit(5)), lambda i: F.trim(F.substring("line", i, F.lit(5))).try_cast("long"))
     serials = F.filter(chunks, lambda x: x.isNotNull())
     stars = mine.where(line.startswith("CONECT")).select("sid", serials.alias("s")).where(F.size("s") > 1)
-    conect = stars.select("sid", F.col("s")[0].alias("f"), F.explode(F.slice("s", 2, 100)).alias("t")).select("sid", F.least("f", "t").alias("a"), F.greatest("f", "t").alias("b")).distinct()
+    conect = stars.select("sid", F.col("s")[0].alias("f"), F.explode(F.slice("s", F.lit(2), F.size("s") - 1)).alias("t")).select("sid", F.least("f", "t").alias("a"), F.greatest("f", "t").alias("b")).distinct()
     links = _ends(mine.where(line.startswith("LINK  ")), LINK_FIELDS, [("icode1", 26), ("icode2", 56)])
     ssbonds = _ends(mine.where(line.startswith("SSBOND")), SSBOND_FIELDS, [("icode1", 21), ("icode2", 35)])
 
     empty = docs.select("sid").join(ordered.select("sid").distinct(), "sid", "left_anti")
-    problems = problems.unionByName(violation(empty, "invalid_pdb", F.col("sid"), F.lit("selected model contains no heavy atoms")))
+    problems = problems.unionByName(violation(empty, "invalid_pdb", F.col("sid"), F.lit("nothing but hydrogen, or nothing, is in the model")))
     counts = good.groupBy("sid").agg(F.count_if(hydrogen & protein).alias("dropped"), F.count_if(hydrogen & ~protein).alias("kept"))
     text = lambda c, s: F.concat(F.col(c).cast("string"), F.lit(s))
-    warnings = violation(counts.where("dropped > 0"), "input_hydrogens_rebuilt", F.col("sid"), text("dropped", " protein hydrogen/deuterium atoms were discarded and rebuilt"))
-    warnings = warnings.unionByName(violation(counts.where("kept > 0"), "input_glycan_hydrogens_preserved", F.col("sid"), text("kept", " supplied glycan hydrogen/deuterium coordinates were retained when compatible with GLYCAM")))
+    warnings = violation(counts.where("dropped > 0"), "input_hydrogens_rebuilt", F.col("sid"), text("dropped", " hydrogens of proteins are left out and placed anew"))
+    warnings = warnings.unionByName(violation(counts.where("kept > 0"), "input_glycan_hydrogens_preserved", F.col("sid"), text("kept", " hydrogens of sugars keep their places where the template has them")))
     place = F.concat(F.col("chain"), F.lit(":"), F.col("number").cast("string"), F.coalesce("icode", F.lit(" ")), F.lit(" "), F.col("name"), F.lit(": selected "), F.coalesce("altloc", F.lit(" ")))
     warnings = warnings.unionByName(violation(ordered.where("candidates > 1"), "alternate_location_selected", F.col("name"), place))
     if strict:

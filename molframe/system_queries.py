@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from molframe.operators import graph, radius
 from molframe.options import BuildOptions, parse_override
+from molframe.plans import solvate
 from molframe.plans.energy import EnergyOptions, Evaluator, poses
 from molframe.plans.minimize import minimize
 from molframe.plans.optimize import LbfgsConfig
@@ -476,6 +477,15 @@ def minimize_first_step(spark, d):
     return got.summary.join(start, "sid").join(halved, "sid").select("sid", "iterations", "converged", "start", F.round("value", 3).alias("value"), "halvings")
 
 
+@query(f"""WITH {SYSTEM} SELECT a.sid, a.id AS site, round(sum(b.q / greatest(sqrt({_NEAR.replace("a.x", "(a.x + 0.5)")}), 0.5)), 6) + 0 AS potential FROM p a JOIN p b ON a.sid = b.sid GROUP BY 1, 2""")
+def site_potential(spark, d):
+    """The electrostatic potential at sites beside the atoms, tile by tile; FLOOR is the least distance."""
+    s = _system(spark, d)
+    sites = s.atoms.select("sid", F.col("atom_idx").alias("site"), (F.col("x") + 0.5).alias("x"), "y", "z")
+    out = solvate.site_potential(sites, s.atoms, "site", ["sid"], tile=16)
+    return out.select("sid", "site", (F.round("potential", 6) + 0.0).alias("potential"))
+
+
 @query(f"WITH {SYSTEM} SELECT sid, round(sum(q), 6) + 0 AS charge, round(sum(q), 6) + 0 AS solute_charge, count(*) AS atoms FROM p GROUP BY sid")
 def charge_sums(spark, d):
     s = _system(spark, d)

@@ -78,6 +78,32 @@ def test_components_by_part(spark):
     assert max(x.component for x in rows if x.sid == "p") == 6
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_components_of_random_graphs(spark, partitions):
+    """Against a plain search, with edges of several parts in one partition and of one part in several."""
+    r = random.Random(partitions)
+    edges = [(s, r.randrange(-50, 50), r.randrange(-50, 50)) for s in ("a", "b", None, "c") for _ in range(45)] + [("long", i, i + 1) for i in range(200)]
+    df = spark.createDataFrame(edges, "sid string, i long, j long").repartition(partitions)
+    near = {}
+    for s, a, b in edges:
+        near.setdefault((s, a), set()).add((s, b))
+        near.setdefault((s, b), set()).add((s, a))
+    want = {}
+    for start in sorted(near, key=lambda x: (str(x[0]), x[1])):
+        if start not in want:
+            todo = [start]
+            while todo:
+                x = todo.pop()
+                if x not in want:
+                    want[x] = start[1]
+                    todo += near[x]
+    flat = graph.canonical(df, ["sid"]).select("sid", F.col("i").alias("u"), F.col("j").alias("v"))
+    assert {(x.sid, x.u, x.v) for x in graph.contracted(flat.coalesce(1), ["sid"]).collect()} == {(s, root, i) for (s, i), root in want.items() if root != i}
+    nodes = spark.createDataFrame([x for x in near if x[0] is not None], "sid string, id long")
+    got = {(x.sid, x.id): x.root for x in graph.components(nodes, df.where("sid IS NOT NULL"), ["sid"]).collect()}
+    assert got == {k: v for k, v in want.items() if k[0] is not None}
+
+
 def test_wildcards_prefer_the_most_exact_and_keep_ties(spark):
     q = spark.createDataFrame([("A", "B", "C", "D"), ("A", "B", "B", "A"), ("Z", "Z", "Z", "Z")], "a string, b string, c string, d string")
     k = spark.createDataFrame([(0, "X", "B", "C", "X"), (1, "D", "C", "B", "A"), (2, "A", "B", "C", "D"), (3, "X", "B", "B", "X"), (4, "X", "B", "B", "X")], "o int, w string, x string, y string, z string")
