@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from molframe.runtime import cut
+
 
 def running_state(df: DataFrame, part: Sequence[str], order: Sequence, state: Column, out: str) -> DataFrame:
     """`out`: the last state that is not null up to a row, in order within its partition."""
@@ -56,12 +59,49 @@ def global_rank(df: DataFrame, order: str, out: str, cuts: int = 64) -> DataFram
     return placed.withColumn(out, (rank + offset).cast("int" if n < 1 << 31 else "long")).drop("__part")
 
 
-def first_seen(df: DataFrame, part: Sequence[str], key: Sequence[str], order: str, picks: dict[str, Column], out: str) -> DataFrame:
-    """One row per (part, key) with a dense id `out` from 0 by first appearance; `picks` are taken from its first row."""
+def ranged(df: DataFrame, part: Sequence[str], order: Sequence) -> DataFrame:
+    """`df` cut into ranges of (part, order), with the number of each row's range as `__range`; kept, so that the ranges stay as they are."""
+    return cut(df.repartitionByRange(*part, *order).withColumn("__range", F.spark_partition_id()))
+
+
+def part_rank(df: DataFrame, part: Sequence[str], order: Sequence, out: str) -> DataFrame:
+    """`out`: the place of each row from 0 in its part, by `order` (ascending, nulls first), for parts of any size.
+
+    Rows are numbered within their range of the part, and the sizes of the ranges before are added, so a part is as many tasks as it has
+    ranges; only the sizes, a number for each range, meet by part. Rows that tie in all of `order` are numbered in no fixed order."""
+    rows, key = ranged(df, part, order), [*part, "__range"]
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*part).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    here = _matched(rows, sizes.withColumn("__before", before).drop("__n"), key)
+    return here.withColumn(out, (F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1 + F.col("__before")).cast("long")).drop("__range", "__before")
+
+
+def part_state(df: DataFrame, part: Sequence[str], order: Sequence[str], state: Column, out: str) -> DataFrame:
+    """`running_state` for parts of any size: within a range of the part, and where that has none yet, the last one of the ranges before."""
+    rows, key = ranged(df.withColumn("__state", state), part, order), [*part, "__range"]
+    last = F.max_by("__state", F.when(F.col("__state").isNotNull(), F.struct(*order)))
+    carried = F.last("__last", ignorenulls=True).over(W.partitionBy(*part).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    ends = rows.groupBy(*key).agg(last.alias("__last")).withColumn("__carried", carried).drop("__last")
+    w = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    here = _matched(rows, ends, key)
+    return here.withColumn(out, F.coalesce(F.last("__state", ignorenulls=True).over(w), "__carried")).drop("__range", "__carried", "__state")
+
+
+def _matched(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Each row of `left` with the row of `right` of its key; null keys match each other."""
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in key})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in key])
+    return left.join(r, on).drop(*[f"__r_{k}" for k in key])
+
+
+def first_seen(df: DataFrame, part: Sequence[str], key: Sequence[str], order: str, picks: dict[str, Column], out: str, large: bool = False) -> DataFrame:
+    """One row per (part, key) with a dense id `out` from 0 by first appearance; `picks` are taken from its first row. `large` parts are numbered by ranges."""
     aggs = [F.min_by(c, F.col(order)).alias(n) for n, c in picks.items()]
     grouped = df.groupBy(*part, *key).agg(F.min(order).alias("__first"), *aggs)
     if not part:
         return global_rank(grouped, "__first", out).drop("__first")
+    if large:
+        return part_rank(grouped, part, ["__first"], out).withColumn(out, F.col(out).cast("int")).drop("__first")
     return grouped.withColumn(out, F.row_number().over(W.partitionBy(*part).orderBy("__first")) - 1).drop("__first")
 
 

@@ -269,6 +269,19 @@ def radius_crowded(spark, d):
     return near.groupBy("nation").agg(F.count("*").alias("pairs"), F.round(F.sum("d2"), 3).alias("total"))
 
 
+_LINES = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+
+@query(f"""SELECT l_linestatus, l_orderkey, l_linenumber, l_partkey, row_number() OVER w - 1 AS place, last_value(CASE WHEN l_quantity > 45 THEN l_partkey END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS state
+    FROM lineitem WINDOW w AS (PARTITION BY l_linestatus ORDER BY {_LINES})""")
+def ranks_and_state_of_large_parts(spark, d):
+    """Places and the running state within two parts that hold the whole table, by ranges of a part."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_linestatus", *_LINES.split(", "), "l_quantity")
+    placed = relational.part_rank(li, ["l_linestatus"], _LINES.split(", "), "place")
+    out = relational.part_state(placed, ["l_linestatus"], ["place"], F.when(F.col("l_quantity") > 45, F.col("l_partkey")), "state")
+    return out.select("l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "place", "state")
+
+
 @query(f"WITH p AS ({P}) SELECT label, count(*) AS pairs, round(sum({D2}), 6) AS total FROM (SELECT a.label, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS bby, a.z AS az, b.z AS bz FROM p a JOIN p b ON a.label = b.label AND a.id < b.id) GROUP BY 1".replace(D2, "(ax - bx) * (ax - bx) + (ay - bby) * (ay - bby) + (az - bz) * (az - bz)"))
 def all_pairs_by_group(spark, d):
     return radius.all_pairs(_points(spark, d), "id", ["label"]).groupBy("label").agg(F.count("*").alias("pairs"), F.round(F.sum("d2"), 6).alias("total"))

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from molframe.errors import require_none, violation
 from molframe.functions.text import char_at, field, parsed
-from molframe.operators.relational import best_row, first_seen, running_state
+from molframe.operators.relational import best_row, first_seen, part_rank, part_state, running_state
 from molframe.options import BuildOptions
 from molframe.schema import ATOM_FIELDS, LINK_FIELDS, PROTEIN, SSBOND_FIELDS
 
+#: Characters of a text beyond which a structure is no longer read by one task.
+GIANT = 50_000_000
+
 
 @dataclass
 class ParsedPdb:
@@ -52,14 +55,19 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     return docs.select("sid", F.posexplode(lines).alias("line_no", "line")).select("sid", F.col("line_no") + 1, F.regexp_replace("line", "\r$", "").alias("line")).toDF("sid", "line_no", "line")
 
 
-def with_models(lines: DataFrame) -> DataFrame:
+def with_models(lines: DataFrame, large: bool = False) -> DataFrame:
     """Lines with `model`: that of the last MODEL record, 0 after ENDMDL and before the first MODEL of a file that has one, else 1; null where MODEL does not parse."""
     is_model, is_end = F.col("line").startswith("MODEL "), F.col("line").startswith("ENDMDL")
     number = parsed(F.col("line"), 10, 14, "int")
     state = F.when(is_model, F.coalesce(number, F.lit(-1))).when(is_end, 0)
-    lines = running_state(lines, ["sid"], ["line_no"], state, "model")
-    any_model = F.max(is_model.cast("int")).over(W.partitionBy("sid"))
-    return lines.withColumn("model", F.coalesce("model", F.when(any_model == 1, 0).otherwise(1))).withColumn("marker", is_model | is_end)
+    if large:
+        has = lines.where(is_model).select("sid", F.lit(0).alias("__outside")).distinct()
+        lines = part_state(lines, ["sid"], ["line_no"], state, "model").join(has, "sid", "left")
+        outside = F.coalesce("__outside", F.lit(1))
+    else:
+        lines = running_state(lines, ["sid"], ["line_no"], state, "model")
+        outside = F.when(F.max(is_model.cast("int")).over(W.partitionBy("sid")) == 1, 0).otherwise(1)
+    return lines.withColumn("model", F.coalesce("model", outside)).drop("__outside").withColumn("marker", is_model | is_end)
 
 
 def models(lines: DataFrame) -> DataFrame:
@@ -85,11 +93,14 @@ def _ends(df: DataFrame, fields, icodes) -> DataFrame:
     return df.where(ok).select("sid", F.col("line_no").alias("ord"), *cols, *[char_at(line, i).alias(n) for n, i in icodes])
 
 
-def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = False) -> ParsedPdb:
-    """Tables of `docs` (sid, text). Problems become violations; with `strict` the first is raised."""
+def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = False, giant: int = GIANT) -> ParsedPdb:
+    """Tables of `docs` (sid, text). Problems become violations; with `strict` the first is raised.
+
+    Where a text has over `giant` characters, models, ranks and residue numbers are found by ranges of a structure's lines and atoms; else a structure is one task."""
     o = options or BuildOptions()
     lines = numbered_lines(docs)
-    tagged = with_models(lines)
+    large = not docs.where(F.length("text") > giant).isEmpty()
+    tagged = with_models(lines, large)
     line = F.col("line")
     mine = tagged.where(F.col("model") == o.model).where(~F.col("marker"))
     records = mine.where(line.startswith("ATOM  ") | line.startswith("HETATM"))
@@ -110,10 +121,13 @@ def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = F
     key = ["sid", "chain", "number", "icode", "name"]
     order = [altloc_rank(F.col("altloc"), o.altloc).desc(), F.col("occupancy").desc(), F.col("altloc").asc_nulls_first(), "line_no"]
     chosen = best_row(kept, key, order, "candidates")
-    w = W.partitionBy("sid").orderBy("serial", "chain", "number", F.col("icode").asc_nulls_first(), "name")
-    ordered = chosen.withColumn("pos", F.row_number().over(w) - 1)
+    by = ["serial", "chain", "number", "icode", "name"]
+    if large:
+        ordered = part_rank(chosen, ["sid"], by, "pos").withColumn("pos", F.col("pos").cast("int"))
+    else:
+        ordered = chosen.withColumn("pos", F.row_number().over(W.partitionBy("sid").orderBy(*by)) - 1)
     rkey = ["sid", "chain", "number", "icode"]
-    residues = first_seen(ordered, rkey[:1], rkey[1:], "pos", {"name": F.col("residue_name")}, "residue_idx").select("sid", "residue_idx", "chain", "number", "icode", "name")
+    residues = first_seen(ordered, rkey[:1], rkey[1:], "pos", {"name": F.col("residue_name")}, "residue_idx", large).select("sid", "residue_idx", "chain", "number", "icode", "name")
     r = residues.select(F.col("sid").alias("__s"), F.col("chain").alias("__c"), F.col("number").alias("__n"), F.col("icode").alias("__i"), "residue_idx")
     same = (F.col("sid") == F.col("__s")) & (F.col("chain") == F.col("__c")) & (F.col("number") == F.col("__n")) & F.col("icode").eqNullSafe(F.col("__i"))
     atoms = ordered.join(r, same).select("sid", "serial", "pos", "residue_idx", "name", "chain", "number", "icode", "element", "x", "y", "z")

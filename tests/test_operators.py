@@ -19,6 +19,26 @@ def test_global_rank(spark):
     assert {(x.k, x.n) for x in seen.collect()} == {("b", 0), ("a", 1)}
 
 
+def test_ranks_and_state_by_ranges(spark):
+    """Three parts, one of a null key, over many ranges; states come seldom, so most ranges take theirs from one before."""
+    r = random.Random(8)
+    rows = [(s, i, r.choice([None] * 30 + [7, 8])) for s in ("a", "b", None) for i in r.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "s string, o int, v int")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = relational.part_state(relational.part_rank(df, ["s"], ["o"], "n"), ["s"], ["o"], F.col("v"), "t").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    want = set()
+    for s in ("a", "b", None):
+        state = None
+        for n, (_, o, v) in enumerate(sorted((x for x in rows if x[0] == s), key=lambda x: x[1])):
+            state = state if v is None else v
+            want.add((s, o, n, state))
+    assert {(x.s, x.o, x.n, x.t) for x in got} == want and len(got) == len(rows)
+    assert relational.part_rank(df.where("false"), ["s"], ["o"], "n").count() == 0
+
+
 @pytest.mark.parametrize("most", [4096, 4])
 def test_radius_join_equals_all_pairs(spark, most):
     r = random.Random(9)

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 
@@ -157,3 +158,31 @@ def test_options(tmp_path):
 def test_sections_of_a_topology():
     s = prmtop.read_sections("%FLAG A\n%FORMAT(10I8)\n       1      -2\n%FLAG B\n%FORMAT(5E16.8)\n  1.25000000E+01\n%FLAG C\n%FORMAT(20a4)\nN   CA  \n")
     assert s == {"A": [1, -2], "B": [12.5], "C": ["N", "CA"]}
+
+
+def test_giant_structures_are_read_by_ranges(spark):
+    """The same tables whether a structure is one task or many; two models, alternate locations, insertion codes, two structures."""
+    line = "%-6s%5d %-4s%s%3s %s%4d%s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s"
+    lines = []
+    for model in (1, 2):
+        lines.append("MODEL     %4d" % model)
+        for n in range(120):
+            lines.append(line % ("ATOM", 121 - n, "CA", " ", "SER", "AB"[n % 2], n // 2, "X" if n % 5 == 0 else " ", n, model, 0.5, 1.0, 0.0, "C"))
+            if n % 7 == 0:
+                lines.append(line % ("HETATM", 500 + n, "C1", "A", "NAG", "AB"[n % 2], n // 2, " ", n, model, 1.5, 0.4, 0.0, "C"))
+                lines.append(line % ("HETATM", 700 + n, "C1", "B", "NAG", "AB"[n % 2], n // 2, " ", n, model, 2.5, 0.6, 0.0, "C"))
+        lines.append("CONECT" + "".join("%5d" % (1 + k % 120) for k in range(130)))
+        lines.append("ENDMDL")
+    plain = [x for x in lines if not x.startswith(("MODEL", "ENDMDL"))][:90]
+    docs = pdb.texts(spark, {"one": "\n".join(lines), "two": "\n".join(plain)})
+    order = lambda df: sorted(map(repr, df.collect()))
+    for model in (1, 2):
+        o = BuildOptions(model=model)
+        small, large = pdb.parse(docs, o), pdb.parse(docs, o, giant=0)
+        for t in ("atoms", "residues", "conect", "violations", "warnings"):
+            a, b = getattr(small, t), getattr(large, t)
+            assert a.columns == b.columns and order(a) == order(b), (model, t)
+        assert large.atoms.count() > 100 and large.conect.where("sid = 'one' AND a <> b").count() == 119
+    plain, ranged = (x.atoms._jdf.queryExecution().executedPlan().toString() for x in (small, large))
+    rows_by_sid = re.compile(r"windowspecdefinition\(sid#\d+, (line_no|serial|__first)#")
+    assert rows_by_sid.search(plain) and not rows_by_sid.search(ranged)
