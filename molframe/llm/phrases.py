@@ -7,10 +7,10 @@ and tabs into words.
 2. Their occurrences are projected to the word on the right, which counts the prefixes of length 2.
 3. The occurrences of frequent pairs are projected to up to three further words on the right, as long as each neighbouring pair
    is frequent. A machine cannot point into the texts of another, so what travels is the projection itself, equal ones summed
-   before the shuffle. It is dealt by prefix and sorted; in a task an occurrence pointer is a row of the sorted
-   projection, the occurrences of a prefix are a range of rows, and a prefix grows to the right, depth first, by cutting
-   its range at the next word. Prefixes of one word that hold over a HOT_SHARE-th of all occurrences are dealt by two words, and
-   pairs that do by three.
+   before the shuffle, and packed: a record is what one task has of one prefix. Records are dealt by prefix; in a task the projection of
+   a prefix is sorted, an occurrence pointer is a row of it, the occurrences of a longer prefix are a range of rows, and a prefix
+   grows to the right, depth first, by cutting its range at the next word. Prefixes of one word that hold over a HOT_SHARE-th of all
+   occurrences, or over HOT of them, are dealt by two words, and pairs that do by three.
 
 Words travel as 64-bit hashes, or by their places in the list of frequent ones while that is short. Each hash keeps the least and
 greatest word it stands for; if two words meet in one that is frequent, the counts are taken again with another multiplier, so results are
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from molframe.llm.common import cut, lean, only, table, text_buffers
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-HOT_SHARE = 500
+HOT_SHARE, HOT = 500, 2_000_000
 #: Bytes of text that a task counts at once, bytes hashed at once, rows of a projection between two compactions.
 CHUNK, HASHED, PROJECTED = 12 << 20, 1 << 20, 1 << 20
 #: The filter's size: bits for each key, and the most bits there are (16 MB).
@@ -309,9 +309,9 @@ def counted_pairs(rows: DataFrame, multiplier: int, known) -> DataFrame:
     return rows.mapInArrow(run, "lang string, a long, b long, f long").groupBy("lang", "a", "b").agg(F.sum("f").alias("f"))
 
 
-def projections(rows: DataFrame, multiplier: int, known, pairs) -> DataFrame:
-    """(lang, w1, ..., w5, n): the occurrences of frequent pairs with the words on their right, 0 beyond the last whose pair is frequent; three words or more."""
-    cols = [f"w{i + 1}" for i in range(LONGEST)]
+def projections(rows: DataFrame, multiplier: int, known, pairs, hot) -> DataFrame:
+    """(lang, w1, p2, p3, rows): what each task has of each prefix, the occurrences of frequent pairs with the words on their right, 0 beyond the
+    last whose pair is frequent; three words or more. `rows` are longs: w2 to w5 and how often. p2 and p3 are 0 unless the prefix is hot; see `packed`."""
 
     def found(batches):
         for name, x, link in _occurrences(batches, multiplier, known.value):
@@ -330,11 +330,34 @@ def projections(rows: DataFrame, multiplier: int, known, pairs) -> DataFrame:
     def run(batches):
         only("phrases")
         for name, window, n in merged(found(batches)):
-            for s in range(0, len(n), 1 << 16):
-                part = slice(s, s + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n[part])), *[pa.array(w[part]) for w in window], pa.array(n[part])], ["lang", *cols, "n"])
-
-    return rows.mapInArrow(run, "lang string, " + ", ".join(f"{c} long" for c in cols) + ", n long")
+            yield from packed(name, window, n, *hot.value)
+
+    return rows.mapInArrow(run, "lang string, w1 long, p2 long, p3 long, rows binary")
+
+
+def packed(name: str, window: list[np.ndarray], n: np.ndarray, ones: set, twos: set):
+    """Records of sorted windows: one for each first word, for each two words where the first is of `ones`, for each three where the two are of `twos`."""
+    first, begin = np.unique(window[0], return_index=True)
+    at = np.zeros(len(n), bool)
+    at[begin] = True
+    p2, p3 = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    for w, s, e in zip(first.tolist(), begin.tolist(), [*begin[1:].tolist(), len(n)]):
+        if (name, w) in ones:
+            part = slice(s, e)
+            p2[part] = window[1][part]
+            at[s + 1 : e] |= window[1][s + 1 : e] != window[1][s : e - 1]
+            second, there = np.unique(window[1][part], return_index=True)
+            for v, x, y in zip(second.tolist(), there.tolist(), [*there[1:].tolist(), e - s]):
+                if (name, w, v) in twos:
+                    p3[s + x : s + y] = window[2][s + x : s + y]
+                    at[s + x + 1 : s + y] |= window[2][s + x + 1 : s + y] != window[2][s + x : s + y - 1]
+    start = np.flatnonzero(at)
+    body = np.stack([*window[1:], n], 1)
+    for k in range(0, len(start), 4096):
+        own = start[k : k + 4096]
+        ends = [*start[k + 1 : k + 4097], len(n)][: len(own)]
+        blobs = [body[x:y].tobytes() for x, y in zip(own, ends)]
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), *[pa.array(c[own]) for c in (window[0], p2, p3)], pa.array(blobs, pa.binary())], ["lang", "w1", "p2", "p3", "rows"])
 
 
 def grown(projected: list[np.ndarray], n: np.ndarray, low: int, high: int, depth: int, least: int):
@@ -354,40 +377,29 @@ def grown(projected: list[np.ndarray], n: np.ndarray, low: int, high: int, depth
         yield from grown(projected, n, begin, int(at[k + 1]), depth + 1, least)
 
 
-def parted(batches):
-    """(lang, columns, n) of sorted rows, about PROJECTED at a time: cut where one of the first three words changes, so no pattern of
-    three words or more is in two of them. Equal rows become one as they come, so a prefix takes the memory of its distinct projections."""
-    name, held, rows = None, [], 0
+def by_prefix(batches):
+    """(lang, columns, n) of each prefix of sorted records: its projection, sorted. Equal rows become one whenever PROJECTED have come, so a
+    prefix takes the memory of its distinct projections."""
+    key, held, size = None, [], 0
 
     def made():
-        return [np.concatenate(x) for x in zip(*held)]
+        body = np.concatenate(held)
+        return summed([np.full(len(body), key[1], np.int64), *body[:, :-1].T], body[:, -1])
 
     for batch in batches:
-        lang = batch.column(0).dictionary_encode()
-        code = lang.indices.to_numpy(zero_copy_only=False)
-        every = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 2 + LONGEST)]
-        new = np.flatnonzero(np.append(True, code[1:] != code[:-1]))[: len(code)]
-        for s, e in zip(new, np.append(new[1:], len(code))):
-            here = lang.dictionary[int(code[s])].as_py()
-            if held and here != name:
-                *c, n = made()
-                yield name, c, n
-                held, rows = [], 0
-            name = here
-            held.append([c[s:e] for c in every])
-            rows += e - s
-            if rows > PROJECTED:
-                *c, n = made()
-                c, n = summed(c, n)  # in the order of signed numbers, which is Spark's
-                change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in c[:3]], axis=0))
-                last = int(change[-1]) + 1 if len(change) else 0
-                if last:
-                    yield name, [x[:last] for x in c], n[:last]
-                held = [[*(x[last:] for x in c), n[last:]]]
-                rows = len(held[0][-1])
+        for *now, blob in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if now != key:
+                if held:
+                    yield key[0], *made()
+                key, held, size = now, [], 0
+            held.append(np.frombuffer(blob, np.int64).reshape(-1, LONGEST))
+            size += len(held[-1])
+            if size > PROJECTED:
+                c, n = made()
+                held = [np.stack([*c[1:], n], 1)]
+                size = len(n) // 2  # so that little is gained is not tried at every record
     if held:
-        *c, n = made()
-        yield name, c, n
+        yield key[0], *made()
 
 
 def patterns(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, multipliers=MULTIPLIERS, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -415,16 +427,15 @@ def patterns(df: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
     twos = cut(counted_pairs(rows, multiplier, known).where(F.col("f") >= least))
     pairs = sc.broadcast(Filter.of(twos.select("lang", "a", "b"), lambda lang, a, b: word_keys(lang, pair_keys(a.view(np.uint64), b.view(np.uint64)))))
     every = ones.where("h = 0").agg(F.sum("f")).first()[0] or 0
-    hot_one = F.broadcast(frequent.where(F.col("f") * HOT_SHARE > every).select("lang", F.col("h").alias("w1"), F.lit(1).alias("hot1")))
-    hot_two = F.broadcast(twos.where(F.col("f") * HOT_SHARE > every).select("lang", F.col("a").alias("w1"), F.col("b").alias("w2"), F.lit(1).alias("hot2")))
-    cols = [f"w{i + 1}" for i in range(LONGEST)]
-    dealt = projections(rows, multiplier, known, pairs).join(hot_one, ["lang", "w1"], "left").join(hot_two, ["lang", "w1", "w2"], "left")
-    dealt = dealt.withColumn("p2", F.when(F.col("hot1").isNotNull(), F.col("w2")).otherwise(0)).withColumn("p3", F.when(F.col("hot2").isNotNull(), F.col("w3")).otherwise(0))
-    ordered = dealt.repartition("lang", "w1", "p2", "p3").sortWithinPartitions("lang", *cols).select("lang", *cols, "n")
+    most = min(every / HOT_SHARE, HOT)
+    ones_hot = {(r.lang, r.h) for r in frequent.where(F.col("f") > most).select("lang", "h").collect()}
+    twos_hot = {(r.lang, r.a, r.b) for r in twos.where(F.col("f") > most).select("lang", "a", "b").collect()}
+    records = projections(rows, multiplier, known, pairs, sc.broadcast((ones_hot, twos_hot)))
+    ordered = records.repartition("lang", "w1", "p2", "p3").sortWithinPartitions("lang", "w1", "p2", "p3")
 
     def run(batches):
         only("phrases")
-        for name, projected, n in parted(batches):
+        for name, projected, n in by_prefix(batches):
             if found := list(grown(projected, n, 0, len(n), 0, least)):
                 pattern, f = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(f)), pa.array(pattern, pa.list_(pa.int64())), pa.array(f, pa.int64())], ["lang", "words", "f"])

@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from molframe.llm import fim, ngramjoin, phrases, simhash
@@ -212,26 +213,32 @@ def test_phrases_in_small_parts(spark, texts, monkeypatch):
     assert (start.tolist(), end.tolist(), text.tolist(), joined.tolist()) == ([0, 3, 6, 7], [2, 4, 7, 9], [0, 0, 0, 1], [True, False, False, False])
     want = plain_collocations(rows, 10, 2000)
     assert mined(df, least=10) == want
-    batch = [_sorted_batch(n) for n in (5, 0, 40, 3)]
-    monkeypatch.setattr(phrases, "PROJECTED", 6)
-    cut_ = list(phrases.parted(batch))
-    monkeypatch.setattr(phrases, "PROJECTED", 1 << 20)
-    whole = list(phrases.parted(batch))
-    grow = lambda parts: sorted((name, tuple(w), f) for name, c, n in parts for w, f in phrases.grown(c, n, 0, len(n), 0, 3))
-    assert len(cut_) > len(whole) and grow(cut_) == grow(whole) != []
-
+    monkeypatch.setattr(phrases, "HOT", 20)  # most prefixes are dealt by two or three words
+    assert mined(df, least=10) == want
 
-def _sorted_batch(n, made=[0]):
-    """The next n of 48 sorted rows of a projection with many equal ones."""
-    import pyarrow as pa
 
+def test_records_hold_all_and_shrink(monkeypatch):
+    """Windows packed by prefix, hot ones by longer prefixes, come back whole from any order of tasks, however often they are compacted."""
     r = random.Random(9)
-    rows = sorted(("de" if i < 20 else "en", *[r.randrange(-1, 2) or 5 for _ in range(3)], *r.choice([(0, 0), (4, 0), (4, -7)]), 1) for i in range(48))
-    start = made[0]
-    made[0] = (start + n) % 48
-    part = rows[start : start + n]
-    kinds = [pa.string(), *[pa.int64()] * 6]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], k) for i, k in enumerate(kinds)], ["lang", "w1", "w2", "w3", "w4", "w5", "n"])
+    rows = [("de" if i < 80 else "en", *[r.randrange(-1, 2) or 5 for _ in range(3)], *r.choice([(0, 0), (4, 0), (4, -7)])) for i in range(200)]
+    count = collections.Counter(x[:1] + x[1 : k + 1] for x in rows for k in (3, 4, 5) if 0 not in x[1 : k + 1])
+    for ones, twos in ((set(), set()), ({("de", 5), ("en", 1)}, {("en", 1, 5), ("de", 5, -1)})):
+        records = []
+        for task in range(5):
+            for name in ("de", "en"):
+                own = [x for x in rows[task::5] if x[0] == name]
+                window, n = phrases.summed([np.array([x[k] for x in own]) for k in range(1, 6)], np.ones(len(own), np.int64))
+                for batch in phrases.packed(name, window, n, ones, twos):
+                    records += [tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows)]
+        records.sort(key=lambda x: x[:4])
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in records[s : s + 7]], k) for i, k in enumerate(kinds)], ["lang", "w1", "p2", "p3", "rows"]) for s in range(0, len(records), 7)]
+        for most in (1 << 20, 6):
+            monkeypatch.setattr(phrases, "PROJECTED", most)
+            parts = list(phrases.by_prefix(batches))
+            assert len(parts) == len({x[:4] for x in records})
+            got = collections.Counter({(name, *w): f for name, c, n in parts for w, f in phrases.grown(c, n, 0, len(n), 0, 3)})
+            assert got == {k: f for k, f in count.items() if f >= 3} and len(got) > 20
 
 
 def test_phrases_of_equal_hash_are_counted_anew(spark, texts):
