@@ -31,7 +31,7 @@ from molframe.llm.common import cut, lean, only, table, text_buffers
 LONGEST, LEAST, TOP = 5, 100, 2000
 HOT_SHARE, HOT = 500, 2_000_000
 #: Bytes of text that a task counts at once, bytes hashed at once, rows of a projection between two compactions.
-CHUNK, HASHED, PROJECTED = 12 << 20, 1 << 20, 1 << 20
+CHUNK, HASHED, PROJECTED = 6 << 20, 1 << 20, 1 << 20
 #: The filter's size: bits for each key, and the most bits there are (16 MB).
 BITS_PER_KEY, MOST_BITS = 32, 1 << 27
 #: Frequent words that are sent to tasks as they are (16 MB); of more only the filter is.
