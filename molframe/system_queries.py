@@ -20,7 +20,8 @@ from molframe.plans.report import report
 from molframe.plans.structure import Structure
 from molframe.plans.system import System
 from molframe.runtime import cut
-from molframe.sinks import bundle, render
+from molframe.schema import GB_RADII, GB_RADIUS_AMIDE_H, GB_SCREEN
+from molframe.sinks import bundle, render, sections
 from molframe.sources import pdb, prmtop
 
 QUERIES: dict = {}
@@ -505,7 +506,8 @@ _SECTIONS = ["POINTERS", "CHARGE", "ATOMIC_NUMBER", "ATOM_TYPE_INDEX", "NUMBER_E
 _TOLD = "count(*) AS n, round(sum(v * (place % 13 + 1)), 3) + 0 AS told"
 
 
-@query(f"""WITH {SYSTEM}, h AS (SELECT sid, id FROM p WHERE element = 1),
+#: Numbers of parameters, rows of sections and pairs of types.
+_PARTS = """h AS (SELECT sid, id FROM p WHERE element = 1),
     bt AS (SELECT sid, (i + j) % 7 AS t, row_number() OVER (PARTITION BY sid ORDER BY min(i * 1000000 + j)) AS k FROM e GROUP BY sid, (i + j) % 7),
     br AS (SELECT e.sid, i, j, k, EXISTS (SELECT 1 FROM h WHERE h.sid = e.sid AND h.id IN (i, j)) AS h FROM e JOIN bt ON bt.sid = e.sid AND t = (i + j) % 7),
     bs AS (SELECT *, row_number() OVER (PARTITION BY sid, h ORDER BY i, j) - 1 AS r FROM br),
@@ -514,7 +516,10 @@ _TOLD = "count(*) AS n, round(sum(v * (place % 13 + 1)), 3) + 0 AS told"
     gs AS (SELECT *, row_number() OVER (PARTITION BY sid, h ORDER BY j, i, k) - 1 AS r FROM gr),
     fe AS (SELECT sid, i, j + 1 AS v, row_number() OVER (PARTITION BY sid ORDER BY i, j) - 1 AS place FROM ex WHERE j > i),
     ty AS (SELECT sid, atom_type, any_value(r) AS r, any_value(eps) AS eps, row_number() OVER (PARTITION BY sid ORDER BY atom_type) AS t FROM p GROUP BY sid, atom_type),
-    lj AS (SELECT a.sid, row_number() OVER (PARTITION BY a.sid ORDER BY a.t, b.t) - 1 AS place, sqrt(a.eps * b.eps) AS ee, a.r + b.r AS rr FROM ty a JOIN ty b ON a.sid = b.sid AND a.t >= b.t),
+    lj AS (SELECT a.sid, row_number() OVER (PARTITION BY a.sid ORDER BY a.t, b.t) - 1 AS place, sqrt(a.eps * b.eps) AS ee, a.r + b.r AS rr FROM ty a JOIN ty b ON a.sid = b.sid AND a.t >= b.t)"""
+
+
+@query(f"""WITH {SYSTEM}, {_PARTS},
     values_ AS (
       SELECT sid, 'CHARGE' AS section, id AS place, q * 18.2223::DOUBLE AS v FROM p UNION ALL SELECT sid, 'ATOMIC_NUMBER', id, element FROM p
       UNION ALL SELECT p.sid, 'ATOM_TYPE_INDEX', id, t FROM p JOIN ty USING (sid, atom_type)
@@ -575,6 +580,57 @@ def coordinate_lines(spark, d):
     return _files(spark, d, "system.gro").select("sid", F.explode(F.slice(lines, 3, F.size(lines) - 4)).alias("line"))
 
 
+@query(f"""WITH {SYSTEM}, {_PARTS},
+    dn AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY improper, i, j, k, l) AS ord, (i + l) % 3 + 0.5::DOUBLE AS f, ((j + k) % 3 + 1)::DOUBLE AS per, CASE WHEN i % 2 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS ph, (i + l) % 2 = 0 AS sc FROM dih),
+    dt AS (SELECT sid, f, per, ph, sc, row_number() OVER (PARTITION BY sid ORDER BY min(ord)) AS q FROM dn GROUP BY sid, f, per, ph, sc),
+    dr AS (SELECT dn.*, q, i % 4 = 0 OR j % 4 = 0 OR k % 4 = 0 OR l % 4 = 0 AS h, improper AND l = 0 AS swap, NOT improper AND (k = 0 OR l = 0) AS turn FROM dn JOIN dt USING (sid, f, per, ph, sc)),
+    ds AS (SELECT *, improper OR row_number() OVER (PARTITION BY sid, h, improper, least(i, l), greatest(i, l) ORDER BY ord) > 1 AS again, row_number() OVER (PARTITION BY sid, h ORDER BY ord) - 1 AS r FROM dr),
+    size AS (SELECT sid, count(*) AS atoms, (count(*) + 7) // 8 AS residues, least(count(*), 8) AS largest, count(DISTINCT atom_type) AS types FROM p GROUP BY sid),
+    pointers AS (SELECT *, (SELECT count(*) FROM br WHERE br.sid = s.sid AND h) AS bh, (SELECT count(*) FROM br WHERE br.sid = s.sid AND NOT h) AS b0, (SELECT count(*) FROM gr WHERE gr.sid = s.sid AND h) AS gh, (SELECT count(*) FROM gr WHERE gr.sid = s.sid AND NOT h) AS g0,
+      (SELECT count(*) FROM dr WHERE dr.sid = s.sid AND h) AS dh, (SELECT count(*) FROM dr WHERE dr.sid = s.sid AND NOT h) AS d0, (SELECT count(*) FROM fe WHERE fe.sid = s.sid) AS fx,
+      (SELECT count(*) FROM bt WHERE bt.sid = s.sid) AS nb_, (SELECT count(*) FROM gt WHERE gt.sid = s.sid) AS ng, (SELECT count(*) FROM dt WHERE dt.sid = s.sid) AS nd FROM size s),
+    ljp AS (SELECT a.sid, a.t - 1 AS x, b.t - 1 AS y, types, sqrt(a.eps * b.eps) AS ee, a.r + b.r AS rr, (a.t - 1) * a.t // 2 + b.t AS cell FROM ty a JOIN ty b ON a.sid = b.sid AND a.t >= b.t JOIN size ON size.sid = a.sid),
+    whole AS (SELECT sid, 'ATOMIC_NUMBER' AS section, id AS place, element AS v FROM p UNION ALL SELECT p.sid, 'ATOM_TYPE_INDEX', id, t FROM p JOIN ty USING (sid, atom_type)
+      UNION ALL SELECT p.sid, 'NUMBER_EXCLUDED_ATOMS', id, (SELECT count(*) FROM fe WHERE fe.sid = p.sid AND fe.i = p.id) FROM p
+      UNION ALL SELECT sid, unnest(['JOIN_ARRAY', 'IROTAT']), id, 0 FROM p UNION ALL SELECT sid, 'RESIDUE_POINTER', id // 8, id + 1 FROM p WHERE id % 8 = 0 UNION ALL SELECT sid, 'EXCLUDED_ATOMS_LIST', place, v FROM fe
+      UNION ALL SELECT sid, 'NONBONDED_PARM_INDEX', x * types + y, cell FROM ljp UNION ALL SELECT sid, 'NONBONDED_PARM_INDEX', y * types + x, cell FROM ljp WHERE x <> y
+      UNION ALL SELECT sid, CASE WHEN h THEN 'BONDS_INC_HYDROGEN' ELSE 'BONDS_WITHOUT_HYDROGEN' END, 3 * r + unnest([0, 1, 2]), unnest([3 * i, 3 * j, k]) FROM bs
+      UNION ALL SELECT sid, CASE WHEN h THEN 'ANGLES_INC_HYDROGEN' ELSE 'ANGLES_WITHOUT_HYDROGEN' END, 4 * r + unnest([0, 1, 2, 3]), unnest([3 * i, 3 * j, 3 * k, q]) FROM gs
+      UNION ALL SELECT sid, CASE WHEN h THEN 'DIHEDRALS_INC_HYDROGEN' ELSE 'DIHEDRALS_WITHOUT_HYDROGEN' END, 5 * r + unnest([0, 1, 2, 3, 4]),
+        unnest([3 * CASE WHEN turn OR swap THEN l ELSE i END, 3 * CASE WHEN turn THEN k ELSE j END, CASE WHEN again THEN -3 ELSE 3 END * CASE WHEN turn THEN j ELSE k END, CASE WHEN improper THEN -3 ELSE 3 END * CASE WHEN turn OR swap THEN i ELSE l END, q]) FROM ds
+      UNION ALL SELECT sid, 'POINTERS', unnest(range(31)), unnest([atoms, types, bh, b0, gh, g0, dh, d0, 0, 0, fx, residues, b0, g0, d0, nb_, ng, nd, types, 0, 0, 0, 0, 0, 0, 0, 0, 0, largest, 0, 0]) FROM pointers),
+    decimals AS (SELECT sid, 'CHARGE' AS section, id AS place, q * 18.2223::DOUBLE AS v FROM p UNION ALL SELECT sid, 'MASS', id, {_MASS} FROM p
+      UNION ALL SELECT sid, 'RADII', id, CASE element WHEN 1 THEN {GB_RADIUS_AMIDE_H} WHEN 6 THEN {GB_RADII[6]} WHEN 7 THEN {GB_RADII[7]} ELSE {GB_RADII[8]} END FROM p
+      UNION ALL SELECT sid, 'SCREEN', id, CASE element WHEN 1 THEN {GB_SCREEN[1]} WHEN 6 THEN {GB_SCREEN[6]} WHEN 7 THEN {GB_SCREEN[7]} ELSE {GB_SCREEN[8]} END FROM p
+      UNION ALL SELECT sid, unnest(['BOND_FORCE_CONSTANT', 'BOND_EQUIL_VALUE']), k - 1, unnest([t + 1.0, 0.4]) FROM bt UNION ALL SELECT sid, unnest(['ANGLE_FORCE_CONSTANT', 'ANGLE_EQUIL_VALUE']), q - 1, unnest([t + 1.0, 1.9]) FROM gt
+      UNION ALL SELECT sid, unnest(['DIHEDRAL_FORCE_CONSTANT', 'DIHEDRAL_PERIODICITY', 'DIHEDRAL_PHASE', 'SCEE_SCALE_FACTOR', 'SCNB_SCALE_FACTOR']), q - 1, unnest([f, per, ph, CASE WHEN sc THEN 1.2 ELSE 1.0 END, CASE WHEN sc THEN 2.0 ELSE 1.0 END]) FROM dt
+      UNION ALL SELECT sid, 'SOLTY', t - 1, 0.0 FROM ty UNION ALL SELECT sid, unnest(['LENNARD_JONES_ACOEF', 'LENNARD_JONES_BCOEF']), cell - 1, unnest([ee * pow(rr, 12), 2 * ee * pow(rr, 6)]) FROM ljp),
+    words AS (SELECT sid, unnest(['ATOM_NAME', 'AMBER_ATOM_TYPE', 'TREE_CHAIN_CLASSIFICATION']) AS section, id AS place, unnest(['A' || (id % 900), atom_type, 'M']) AS v FROM p UNION ALL SELECT sid, 'RESIDUE_LABEL', id // 8, 'ALA' FROM p WHERE id % 8 = 0 UNION ALL SELECT sid, 'RADIUS_SET', 0, 'modi' FROM size),
+    fields AS (SELECT sid, section, place, printf('%8d', v::BIGINT) AS t, 10 AS n FROM whole UNION ALL SELECT sid, section, place, printf('%16.8E', v::DOUBLE), 5 FROM decimals UNION ALL SELECT sid, section, place, rpad(v, 4, ' '), 20 FROM words)
+    SELECT sid, section, place // n AS line, string_agg(t, '' ORDER BY place) AS text FROM fields GROUP BY ALL""")
+def topology_lines(spark, d):
+    """Every line of every section of the topology files, put together as tables."""
+    names = F.array(*[F.lit(n) for n, _ in sections.SECTIONS])
+    return sections.topology(_system(spark, d)).where(f"section <> {sections.HEAD} AND o1 >= 0").select("sid", F.element_at(names, F.col("section") + 1).alias("section"), F.col("o1").alias("line"), "text")
+
+
+@query(f"""WITH {SYSTEM}, dn AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY improper, i, j, k, l) AS ord FROM dih),
+    ty AS (SELECT sid, atom_type, element, any_value(r) AS r, any_value(eps) AS eps, row_number() OVER (PARTITION BY sid ORDER BY atom_type) AS t FROM p GROUP BY sid, atom_type, element),
+    lines AS (SELECT sid, 'atomtypes' AS section, t AS o1, 0 AS o2, 0 AS o3, printf('%-8s %3d %12.6f 0.0 A %14.8e %14.8e', atom_type, element, {_MASS}::DOUBLE, r * 2 / pow(2::DOUBLE, 1 / 6::DOUBLE) / 10, eps * 4.184::DOUBLE) AS text FROM ty
+      UNION ALL SELECT sid, 'atoms', id, 0, 0, printf('%7d %-8s %7d ALA   %-5s %7d %14.8f %12.6f ; A:%d ', id + 1, atom_type, id // 8 + 1, 'A' || (id % 900), id + 1, q, {_MASS}::DOUBLE, id // 8 + 1) FROM p
+      UNION ALL SELECT sid, 'bonds', i, j, 0, printf('%7d %7d 1 %14.8f %14.6f', i + 1, j + 1, 0.4 / 10.0::DOUBLE, 2 * ((i + j) % 7 + 1.0) * 4.184::DOUBLE * 100) FROM e
+      UNION ALL SELECT sid, 'angles', j, i, k, printf('%7d %7d %7d 1 %14.8f %14.6f', i + 1, j + 1, k + 1, degrees(1.9::DOUBLE), 2 * ((i + k) % 5 + 1.0) * 4.184::DOUBLE) FROM ang
+      UNION ALL SELECT sid, 'dihedrals', ord, 0, 0, printf('%7d %7d %7d %7d %d %12.6f %12.6f %d', i + 1, j + 1, k + 1, l + 1, CASE WHEN improper THEN 4 ELSE 9 END, degrees(CASE WHEN i % 2 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE), ((i + l) % 3 + 0.5) * 4.184::DOUBLE, (j + k) % 3 + 1) FROM dn
+      UNION ALL SELECT sid, 'pairs', i, j, 0, printf('%7d %7d 1', i + 1, j + 1) FROM ends)
+    SELECT * FROM lines""")
+def second_topology_lines(spark, d):
+    """Every line of the second topology format that differs between systems, with its place."""
+    names = F.array(*[F.lit(n) for n, _ in sections.SECOND])
+    own = [n for n, (name, _) in enumerate(sections.SECOND) if name not in sections.ALIKE]
+    rows = sections.gromacs_topology(_system(spark, d)).where(F.col("section").isin(own) & (F.col("o1") >= 0))
+    return rows.select("sid", F.element_at(names, F.col("section") + 1).alias("section"), "o1", "o2", "o3", "text")
+
+
 # -- options and reports ----------------------------------------------------------------------------------
 
 
