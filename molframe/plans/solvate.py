@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from molframe.errors import require_none, violation
 from molframe.functions.geometry import distance2, vec
 from molframe.functions.mixing import splitmix64, unsigned_order
+from molframe.functions.order import total_order_np
 from molframe.operators.radius import without_near
 from molframe.options import BuildOptions
 from molframe.plans.prepare import ForceField
@@ -75,8 +76,9 @@ def ion_schedule(sodium: int, chloride: int, net: int) -> list[bool]:
 
 
 def choose_spaced(xyz: np.ndarray, potential: np.ndarray, tie: np.ndarray, schedule: list[bool], spacing: float = SPACING) -> list[int]:
-    """One site an ion, in order: of the free sites by potential (rising for sodium, falling for chloride, then by tie) the first at least `spacing` from all chosen, else the first."""
-    rising, falling = np.lexsort((tie, potential)), np.lexsort((tie, -potential))
+    """One site an ion, in order: of the free sites by potential (in total order, rising for sodium, falling for chloride, then by tie) the first at least `spacing` from all chosen, else the first."""
+    key = total_order_np(potential)
+    rising, falling = np.lexsort((tie, key)), np.lexsort((tie, ~key))
     free, clear = np.ones(len(xyz), bool), np.ones(len(xyz), bool)
     out = []
     for sodium in schedule:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from molframe import system_queries
 from molframe.functions import geometry as geo
 from molframe.functions.mixing import splitmix64, unsigned_order
+from molframe.functions.order import total_order
 from molframe.functions.text import read_records, write_records
 from molframe.operators import graph, lookup, radius, relational
 from molframe.plans import optimize
@@ -431,6 +433,17 @@ def tie_hash(spark, d):
     return o.select("o_orderkey", splitmix64(F.col("o_orderkey")).alias("mixed"), unsigned_order(splitmix64(F.col("o_orderkey"))).alias("rank_key"))
 
 
+@query("""WITH x AS (SELECT o_custkey, o_orderkey, CASE (o_orderkey // 4) % 7 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'infinity'::DOUBLE WHEN 2 THEN '-infinity'::DOUBLE WHEN 3 THEN 0.0 WHEN 4 THEN 0.0 ELSE o_totalprice::DOUBLE - 150000 END AS v, CASE WHEN (o_orderkey // 4) % 7 = 3 THEN 0 ELSE 1 END AS sign FROM orders)
+    SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY v, sign, o_orderkey) AS rising, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY v DESC, sign DESC, o_orderkey) AS falling FROM x""")
+def float_total_order(spark, d):
+    """Places by the total order of numbers among which are NaN, both infinities and both zeros."""
+    k = F.floor(F.col("o_orderkey") / 4) % 7
+    v = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).when(k == 3, -0.0).when(k == 4, 0.0).otherwise(F.col("o_totalprice").cast("double") - 150000)
+    rows = _t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("part"), total_order(v).alias("key"))
+    w = W.partitionBy("part")
+    return rows.select("o_orderkey", F.row_number().over(w.orderBy("key", "o_orderkey")).alias("rising"), F.row_number().over(w.orderBy(F.col("key").desc(), "o_orderkey")).alias("falling"))
+
+
 @query("SELECT count(*) AS n, sum(CASE WHEN isnan(x) OR isinf(x) OR x IS NULL THEN 1 ELSE 0 END)::BIGINT AS bad FROM (SELECT CASE WHEN l_linenumber = 3 THEN 'nan'::DOUBLE WHEN l_linenumber = 5 THEN 'infinity'::DOUBLE ELSE l_tax END AS x FROM lineitem)")
 def coordinate_validation(spark, d):
     li = _t(spark, d, "lineitem").select(F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).when(F.col("l_linenumber") == 5, F.lit(float("inf"))).otherwise(F.col("l_tax")).alias("x"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from molframe.errors import require_none, violation
+from molframe.functions.order import total_order
 from molframe.functions.text import char_at, field, parsed
 from molframe.operators.relational import best_row, first_seen, part_rank, part_state, running_state
 from molframe.options import BuildOptions
@@ -119,7 +120,7 @@ def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = F
     good = raw.where((F.col("len") >= 54) & number_ok)
     kept = good.where(~(hydrogen & protein))
     key = ["sid", "chain", "number", "icode", "name"]
-    order = [altloc_rank(F.col("altloc"), o.altloc).desc(), F.col("occupancy").desc(), F.col("altloc").asc_nulls_first(), "line_no"]
+    order = [altloc_rank(F.col("altloc"), o.altloc).desc(), total_order(F.col("occupancy")).desc(), F.col("altloc").asc_nulls_first(), "line_no"]
     chosen = best_row(kept, key, order, "candidates")
     by = ["serial", "chain", "number", "icode", "name"]
     if large:
