@@ -28,10 +28,14 @@ FILES = ["system.prmtop", "system.inpcrd", "system.top", "system.gro"]
 ORDER = {"atoms": ["atom_idx"], "residues": ["residue"], "bonds": ["i", "j"], "angles": ["j", "i", "k"], "dihedrals": ["ord"], "exclusions": ["i", "j"]}
 
 
-def _nested(s: System) -> DataFrame:
-    """One row a system with every table as a sorted array of structs."""
+#: The tables that each file is made of.
+OF = {"system.prmtop": list(ORDER), "system.inpcrd": ["atoms"], "system.top": ["atoms", "residues", "bonds", "angles", "dihedrals"], "system.gro": ["atoms", "residues"]}
+
+
+def _nested(s: System, tables: list[str]) -> DataFrame:
+    """One row a system with each of the tables as a sorted array of structs."""
     out = s.info
-    for name, order in ORDER.items():
+    for name, order in ((n, o) for n, o in ORDER.items() if n in tables):
         t = getattr(s, name)
         rest = [c for c in t.columns if c not in ("sid", *order)]
         rows = t.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias(name))
@@ -39,22 +43,25 @@ def _nested(s: System) -> DataFrame:
     return out
 
 
-def texts(s: System) -> DataFrame:
-    """(sid, file, text, sha256) of every file of every system."""
+def texts(s: System, files: list[str] | None = None) -> DataFrame:
+    """(sid, file, text, sha256) of each of `files` (all four by default) of every system; tables that none of them is made of are not read."""
+    wanted = files or FILES
+    tables = [n for n in ORDER if any(n in OF[f] for f in wanted)]
+    write = {
+        "system.prmtop": lambda t, row: render.topology(t["atoms"], t["residues"], t["bonds"], t["angles"], t["dihedrals"], t["exclusions"], row),
+        "system.inpcrd": lambda t, row: render.coordinates(t["atoms"], row),
+        "system.top": lambda t, row: render.gromacs_topology(t["atoms"], t["residues"], t["bonds"], t["angles"], t["dihedrals"]),
+        "system.gro": lambda t, row: render.gro(t["atoms"], t["residues"], row),
+    }
 
     def run(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                t = {k: [] if row[k] is None else list(row[k]) for k in ORDER}
-                made = {
-                    "system.prmtop": render.topology(t["atoms"], t["residues"], t["bonds"], t["angles"], t["dihedrals"], t["exclusions"], row),
-                    "system.inpcrd": render.coordinates(t["atoms"], row),
-                    "system.top": render.gromacs_topology(t["atoms"], t["residues"], t["bonds"], t["angles"], t["dihedrals"]),
-                    "system.gro": render.gro(t["atoms"], t["residues"], row),
-                }
+                t = {k: [] if row[k] is None else list(row[k]) for k in tables}
+                made = {f: write[f](t, row) for f in wanted}
                 yield pd.DataFrame({"sid": row["sid"], "file": list(made), "text": list(made.values()), "sha256": [hashlib.sha256(v.encode()).hexdigest() for v in made.values()]})
 
-    return _nested(s).mapInPandas(run, "sid string, file string, text string, sha256 string")
+    return _nested(s, tables).mapInPandas(run, "sid string, file string, text string, sha256 string")
 
 
 def places(folder: str | Path, ids: list[str], overwrite: bool = False) -> dict[str, Path]:
