@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -53,7 +54,7 @@ def texts(spark: SparkSession, named: dict[str, str]) -> DataFrame:
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """(sid, line_no from 1, line)."""
     lines = F.split(F.regexp_replace("text", r"\n$", ""), "\n")
-    return docs.select("sid", F.posexplode(lines).alias("line_no", "line")).select("sid", F.col("line_no") + 1, F.regexp_replace("line", "\r$", "").alias("line")).toDF("sid", "line_no", "line")
+    return docs.select("sid", F.posexplode(lines).alias("line_no", "line")).select("sid", F.col("line_no") + 1, F.when(F.col("line").contains("\r"), F.regexp_replace("line", "\r$", "")).otherwise(F.col("line")).alias("line")).toDF("sid", "line_no", "line")
 
 
 def with_models(lines: DataFrame, large: bool = False) -> DataFrame:
@@ -101,10 +102,15 @@ def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = F
     o = options or BuildOptions()
     lines = numbered_lines(docs)
     large = not docs.where(F.length("text") > giant).isEmpty()
-    tagged = with_models(lines, large)
     line = F.col("line")
-    mine = tagged.where(F.col("model") == o.model).where(~F.col("marker"))
-    records = mine.where(line.startswith("ATOM  ") | line.startswith("HETATM"))
+
+    def of(*kinds: str) -> DataFrame:
+        """Lines of these kinds with their model; the markers go along, and no other line does."""
+        some = reduce(lambda x, y: x | y, [line.startswith(k) for k in ("MODEL ", "ENDMDL", *kinds)])
+        return with_models(lines.where(some), large)
+
+    mine = lambda *kinds: of(*kinds).where(F.col("model") == o.model).where(~F.col("marker"))
+    tagged, records = of(), mine("ATOM  ", "HETATM")
     raw = records.select("sid", "line_no", F.length("line").alias("len"), *[parsed(line, a, b, k).alias(n) for n, a, b, k in ATOM_FIELDS], char_at(line, 26).alias("icode"), char_at(line, 16).alias("altloc"))
     guess = F.upper(F.coalesce(F.nullif(F.regexp_extract("name", r"^[0-9]*(.)", 1), F.lit("")), F.lit("X")))
     raw = raw.withColumn("element", F.when(F.col("element") == "", guess).otherwise(F.col("element"))).withColumn("occupancy", F.coalesce("occupancy", F.lit(0.0)))
@@ -128,17 +134,25 @@ def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = F
     else:
         ordered = chosen.withColumn("pos", F.row_number().over(W.partitionBy("sid").orderBy(*by)) - 1)
     rkey = ["sid", "chain", "number", "icode"]
-    residues = first_seen(ordered, rkey[:1], rkey[1:], "pos", {"name": F.col("residue_name")}, "residue_idx", large).select("sid", "residue_idx", "chain", "number", "icode", "name")
-    r = residues.select(F.col("sid").alias("__s"), F.col("chain").alias("__c"), F.col("number").alias("__n"), F.col("icode").alias("__i"), "residue_idx")
-    same = (F.col("sid") == F.col("__s")) & (F.col("chain") == F.col("__c")) & (F.col("number") == F.col("__n")) & F.col("icode").eqNullSafe(F.col("__i"))
-    atoms = ordered.join(r, same).select("sid", "serial", "pos", "residue_idx", "name", "chain", "number", "icode", "element", "x", "y", "z")
+    if large:
+        residues = first_seen(ordered, rkey[:1], rkey[1:], "pos", {"name": F.col("residue_name")}, "residue_idx", True).select("sid", "residue_idx", "chain", "number", "icode", "name")
+        r = residues.select(F.col("sid").alias("__s"), F.col("chain").alias("__c"), F.col("number").alias("__n"), F.col("icode").alias("__i"), "residue_idx")
+        same = (F.col("sid") == F.col("__s")) & (F.col("chain") == F.col("__c")) & (F.col("number") == F.col("__n")) & F.col("icode").eqNullSafe(F.col("__i"))
+        atoms = ordered.join(r, same)
+    else:
+        # the rows lie by structure already, so residues are numbered where they lie
+        residues = first_seen(ordered, rkey[:1], rkey[1:], "pos", {"name": F.col("residue_name")}, "residue_idx").select("sid", "residue_idx", "chain", "number", "icode", "name")
+        atoms = ordered.withColumn("__first", F.min("pos").over(W.partitionBy(*rkey))).withColumn("residue_idx", F.dense_rank().over(W.partitionBy("sid").orderBy("__first")) - 1)
+        # as by the join of before, no atom without a chain or a number is in a residue
+        atoms = atoms.where("chain IS NOT NULL AND number IS NOT NULL")
+    atoms = atoms.select("sid", "serial", "pos", "residue_idx", "name", "chain", "number", "icode", "element", "x", "y", "z")
 
     chunks = F.transform(F.sequence(F.lit(7), F.greatest(F.length("line"), F.lit(7)), F.lit(5)), lambda i: F.trim(F.substring("line", i, F.lit(5))).try_cast("long"))
     serials = F.filter(chunks, lambda x: x.isNotNull())
-    stars = mine.where(line.startswith("CONECT")).select("sid", serials.alias("s")).where(F.size("s") > 1)
+    stars = mine("CONECT").select("sid", serials.alias("s")).where(F.size("s") > 1)
     conect = stars.select("sid", F.col("s")[0].alias("f"), F.explode(F.slice("s", F.lit(2), F.size("s") - 1)).alias("t")).select("sid", F.least("f", "t").alias("a"), F.greatest("f", "t").alias("b")).distinct()
-    links = _ends(mine.where(line.startswith("LINK  ")), LINK_FIELDS, [("icode1", 26), ("icode2", 56)])
-    ssbonds = _ends(mine.where(line.startswith("SSBOND")), SSBOND_FIELDS, [("icode1", 21), ("icode2", 35)])
+    links = _ends(mine("LINK  "), LINK_FIELDS, [("icode1", 26), ("icode2", 56)])
+    ssbonds = _ends(mine("SSBOND"), SSBOND_FIELDS, [("icode1", 21), ("icode2", 35)])
 
     empty = docs.select("sid").join(ordered.select("sid").distinct(), "sid", "left_anti")
     problems = problems.unionByName(violation(empty, "invalid_pdb", F.col("sid"), F.lit("nothing but hydrogen, or nothing, is in the model")))
