@@ -350,25 +350,31 @@ def unpredict(p: np.ndarray, width: int, height: int, data: np.ndarray, block: i
     return joined(out.reshape(4, -1))
 
 
+def _neighbours(c: np.ndarray) -> tuple:
+    """The left, top, top-right and top-left pixels of an image (4, height, width); rows above the first and pixels left of it are 0, the last of a row has the first of its own row at its top right."""
+    l, t, tl = np.zeros_like(c), np.zeros_like(c), np.zeros_like(c)
+    l[:, :, 1:], t[:, 1:], tl[:, 1:, 1:] = c[:, :, :-1], c[:, :-1], c[:, :-1, :-1]
+    tr = np.concatenate([t[:, :, 1:], c[:, :, :1]], 2)
+    return l, t, tr, tl
+
+
+def _residuals(c: np.ndarray, near: tuple, mode: np.ndarray) -> np.ndarray:
+    """What is left of an image by the mode of each pixel, (height, width) or one number; the first row and column have fixed ones."""
+    l, t, tr, tl = near
+    modes = np.unique(mode)
+    guess = predicted(int(modes[0]), l, t, tr, tl).copy()
+    for k in modes[1:]:
+        guess = np.where(mode == k, predicted(int(k), l, t, tr, tl), guess)
+    guess[:, :, 0] = t[:, :, 0]
+    guess[:, 0] = l[:, 0]
+    guess[0, 0, 0] = 255
+    return c - guess
+
+
 def predict(p: np.ndarray, width: int, height: int, data: np.ndarray, block: int) -> np.ndarray:
     """The residuals that `unpredict` takes back."""
-    c, mode = channels(p).reshape(4, height, width), _modes(data, width, height, block)
-    zero = np.zeros((4, 1), np.int32)
-    out = np.zeros_like(c)
-    for y in range(height):
-        l = np.concatenate([zero, c[:, y, :-1]], 1)
-        if y == 0:
-            guess = l.copy()
-            guess[0, 0] = 255
-        else:
-            t = c[:, y - 1]
-            tr, tl = np.concatenate([t[:, 1:], c[:, y, :1]], 1), np.concatenate([zero, t[:, :-1]], 1)
-            guess = np.zeros_like(t)
-            for k in np.unique(mode[y]):
-                guess = np.where(mode[y] == k, predicted(int(k), l, t, tr, tl), guess)
-            guess[:, 0] = t[:, 0]
-        out[:, y] = c[:, y] - guess
-    return joined(out.reshape(4, -1))
+    c = channels(p).reshape(4, height, width)
+    return joined(_residuals(c, _neighbours(c), _modes(data, width, height, block)).reshape(4, -1))
 
 
 def recolour(p: np.ndarray, width: int, height: int, data: np.ndarray, block: int, back: bool) -> np.ndarray:
@@ -665,16 +671,15 @@ def _by_block(v: np.ndarray, width: int, height: int, block: int) -> np.ndarray:
     return np.add.reduceat(rows, np.arange(0, width, 1 << block), 1).ravel()
 
 
-def _weight(p: np.ndarray) -> np.ndarray:
-    """About the bits of each pixel's residuals: the logarithm of their sizes, either way."""
-    v = channels(p) & 255
-    return np.log2(1.0 + np.minimum(v, 256 - v)).sum(0)
+#: About the bits of a residual by its low byte: the logarithm of its size, either way.
+_SIZE = np.log2(1.0 + np.minimum(np.arange(256), 256 - np.arange(256)))
 
 
 def chosen_modes(p: np.ndarray, width: int, height: int, block: int) -> np.ndarray:
     """The predictor mode of least weight in each block, as the pixels of its image."""
-    bw, bh = (width + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block
-    every = [_by_block(_weight(predict(p, width, height, np.full(bw * bh, mode << 8, U32), block)), width, height, block) for mode in range(14)]
+    c = channels(p).reshape(4, height, width)
+    near = _neighbours(c)
+    every = [_by_block(_SIZE[_residuals(c, near, mode) & 255].sum(0), width, height, block) for mode in range(14)]
     return (np.argmin(every, 0).astype(U32) << U32(8)) | U32(OPAQUE)
 
 
@@ -732,21 +737,22 @@ def encode_best(p: np.ndarray, width: int, height: int, mode_block: int = 4) ->
     one = np.zeros(len(p), np.int64)
     blocks = ((width + (1 << mode_block) - 1) >> mode_block) * ((height + (1 << mode_block) - 1) >> mode_block)
     colours, index = np.unique(p, return_inverse=True)
-    bits = {}
+    bits, done = {}, {(): (p, 0)}
     for chain in CHOICES:
         if PALETTE in chain:
             if len(colours) <= 256:
                 h = np.bincount(index)
                 bits[chain] = float((h * (np.log2(len(p)) - np.log2(h))).sum()) + 24 * len(colours)
             continue
-        q, extra = p, 0
-        for kind in chain:
+        q, extra = done[chain[:-1]] if chain else done[()]  # a chain's beginning comes before it
+        for kind in chain[-1:]:
             if kind == PREDICTOR:
                 q, extra = predict(q, width, height, chosen_modes(q, width, height, mode_block), mode_block), extra + 4 * blocks
             elif kind == CROSS_COLOUR:
                 q, extra = recolour(q, width, height, chosen_colours(q, width, height, mode_block), mode_block, False), extra + 20 * blocks
             else:
                 q = add_green(q, -1)
+        done[chain] = q, extra
         bits[chain] = float(entropies(q, one, 1)[0]) + extra
     best = min(bits, key=bits.get)
     return encode(p, width, height, best, 0 if PALETTE in best else 4, mode_block=mode_block, choose=True)
@@ -943,7 +949,7 @@ class _Head:
 _heads: list[_Head] = []
 
 
-def decode_many(files: list[bytes], few: int = 40) -> list[tuple[int, int, np.ndarray]]:
+def decode_many(files: list[bytes], few: int = 16) -> list[tuple[int, int, np.ndarray]]:
     """`decode` of every file; files that begin with equal code tables are read together."""
     out: list = [None] * len(files)
     alike: dict[int, list] = {}
