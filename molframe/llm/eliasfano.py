@@ -52,14 +52,15 @@ class EliasFano:
     @staticmethod
     def _bit(word: np.ndarray, r: np.ndarray) -> np.ndarray:
         """Place of the r-th set bit of every word."""
-        word, r, pos = word.copy(), r.astype(np.int64), np.zeros(len(r), np.int64)
+        word, r, pos = word.copy(), r.astype(np.uint8), np.zeros(len(r), np.uint8)
         for w in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(word & U64((1 << w) - 1)).astype(np.int64)
+            c = np.bitwise_count(word & U64((1 << w) - 1))
             over = r >= c
             r -= c * over
-            pos += w * over
-            word >>= (w * over).astype(U64)
-        return pos
+            step = over * np.uint8(w)
+            pos += step
+            word >>= step
+        return pos.astype(np.int64)
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.zeros, k, "right") - 1

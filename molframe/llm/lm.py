@@ -20,9 +20,10 @@ and each task hold is a few numbers a shard.
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
-from collections import OrderedDict
+from collections import OrderedDict, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -46,17 +47,10 @@ MOST_OPEN = 2048
 _TOP = U64(24)
 
 
-class _Numbers(dict):
-    """Words in the order of their first use, START and END before them."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
-
-
 def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct tokens, number of each token, starts): of every text START, its words, END; A-Z is lower-cased here."""
-    of, out, size = _Numbers({b"\r": 0, b"\n": 1}), [], []
+    # words are numbered in the order of their first use, START and END before them
+    of, out, size = defaultdict(itertools.count(2).__next__, {b"\r": 0, b"\n": 1}), [], []
     at = of.__getitem__
     for t in texts:
         w = t.lower().split()
@@ -65,7 +59,7 @@ def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x[1:-1] = np.fromiter(map(at, w), np.int64, len(w))
         out.append(x)
         size.append(len(x))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in of), U64, len(of))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, of, itertools.repeat(SEED)), U64, len(of))
     return hashes, np.concatenate([*out, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
@@ -198,8 +192,12 @@ class Words:
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unknown words: id -1, count 0."""
         ids, n, before = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        for s, part in _runs(_word_shard(h, self.number)):
-            if self.there[s]:
+        # in the order of hashes, which is that of shards: a shard is read from its beginning to its end
+        order = np.argsort(h)
+        shard = _word_shard(h[order], self.number)
+        for part in np.split(order, np.flatnonzero(np.diff(shard)) + 1):
+            s = int(_word_shard(h[part[:1]], self.number)[0]) if len(part) else 0
+            if len(part) and self.there[s]:
                 a = self.files.shard(s)
                 at = a["keys"].find(h[part] - U64(_start(s, self.number)))
                 got, at = part[at >= 0], at[at >= 0]
