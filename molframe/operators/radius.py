@@ -7,6 +7,7 @@ salts as it takes and the other side repeated for each, so a key never has more
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -93,11 +94,32 @@ def without_near(left: DataFrame, right: DataFrame, radius: float, ident: str, p
     return left.join(hit, [*part, ident], "left_anti")
 
 
-def nearest(left: DataFrame, right: DataFrame, ident: str, rident: str, radius: float, part: Sequence[str] = ()) -> DataFrame:
-    """(part, ident, rident, d2): the nearest point of `right` within `radius` but the point itself; ties by its id."""
-    near = radius_join(left.select(*part, ident, *AXES), right.select(*part, F.col(rident).alias("__r"), *AXES), radius, part).where(F.col(f"l_{ident}") != F.col("r___r"))
-    best = near.groupBy(*part, F.col(f"l_{ident}").alias(ident)).agg(F.min(F.struct("d2", F.col("r___r").alias("r"))).alias("b"))
-    return best.select(*part, ident, F.col("b.r").alias(rident), F.col("b.d2").alias("d2"))
+def _seen(points: DataFrame, side: float, part: Sequence[str]) -> float:
+    """How many points share the cube of a point, on average over points."""
+    n = _cells(points.select(*part, *AXES), side, False).groupBy(*part, *[f"__k{a}" for a in AXES]).agg(F.count("*").cast("double").alias("n"))
+    return n.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).first()[0] or 0.0
+
+
+def nearest(left: DataFrame, right: DataFrame, ident: str, rident: str, radius: float, part: Sequence[str] = (), few: float = 8.0) -> DataFrame:
+    """(part, ident, rident, d2): the nearest point of `right` within `radius` but the point itself; ties by its id.
+
+    A point that has another within a smaller radius has its nearest one there. So where cubes of `radius` hold more than a `few` points the search begins
+    with a smaller radius, which is doubled for those that have found none: pairs grow with the points and not with their square."""
+    key = [*part, ident]
+    todo, other = left.select(*key, *AXES), right.select(*part, F.col(rident).alias("__r"), *AXES)
+    crowd = _seen(right, radius, part)
+    halvings = math.ceil(math.log2(crowd / few) / 3) if crowd > few else 0
+    out = None
+    for step in range(halvings, -1, -1):
+        # those that search visit the cubes around theirs, as they become fewer
+        near = radius_join(other, todo, radius / 2**step, part).where(F.col(f"r_{ident}") != F.col("l___r"))
+        best = near.groupBy(*part, F.col(f"r_{ident}").alias(ident)).agg(F.min(F.struct("d2", F.col("l___r").alias("r"))).alias("b"))
+        best = best.select(*key, F.col("b.r").alias(rident), F.col("b.d2").alias("d2"))
+        if step:
+            best = cut(best)
+            todo = cut(todo.join(best.select(*key), key, "left_anti"))
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 class PairList:
