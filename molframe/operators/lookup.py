@@ -60,12 +60,17 @@ def containing_set(items: DataFrame, sid: Sequence[str], members: str, sets: Dat
     """(sid, name): the set that holds all members, of least (cost, name). `sets` is a small dimension.
 
     `cost` is a column over both sides. Sets are found by an equi-join on one member (a set that holds all
-    of them holds the least one), so no pair of an item and a set is made that shares nothing."""
-    probe = items.select(*sid, members, *extra, F.array_min(members).alias("__m"))
+    of them holds the least one), so no pair of an item and a set is made that shares nothing. Distinct members with their
+    `extra` columns are looked up once, however many items have them."""
+    own = items.select(*sid, F.array_sort(F.array_distinct(members)).alias(members), *extra)
+    key = [F.hash(members, *extra).alias("__h"), members, *extra]
+    asked = own.select(*key).distinct()
     s = sets.select(name, set_members, *[c for c in sets.columns if c not in {name, set_members}], F.explode(set_members).alias("__m"))
-    fit = probe.join(s, "__m").where(F.size(F.array_except(members, set_members)) == 0)
-    best = fit.groupBy(*sid).agg(F.min(F.struct(cost.alias("cost"), F.col(name).alias("name"))).alias("b"))
-    return best.select(*sid, F.col("b.name").alias(name), F.col("b.cost").alias("cost"))
+    fit = asked.withColumn("__m", F.array_min(members)).join(s, "__m").where(F.size(F.array_except(members, set_members)) == 0)
+    best = fit.groupBy("__h", members, *extra).agg(F.min(F.struct(cost.alias("cost"), F.col(name).alias("name"))).alias("b"))
+    found = best.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(["__h", members, *extra])], "b")
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(["__h", members, *extra])]
+    return own.select(*sid, *key).join(found, on).select(*sid, F.col("b.name").alias(name), F.col("b.cost").alias("cost"))
 
 
 def with_aliases(values: DataFrame, aliases: DataFrame, key: str, rounds: int = 4) -> DataFrame:
