@@ -40,7 +40,7 @@ KEPT_BY: dict = {}
 
 
 def only(name: str) -> None:
-    """Called in a task: let go of what other operators keep in this worker."""
+    """Called at the start of every Python task: let go of what other operators keep in this worker, before this one takes memory of its own."""
     for k, let_go in KEPT_BY.items():
         if k != name:
             let_go()

@@ -123,6 +123,7 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
     langs = sorted(sizes)
 
     def frequencies(batches):
+        only("langid")
         df, n = np.zeros(DIMS, np.int64), 0
         for batch in batches:
             for _, m in blocks(batch.column(0)):
@@ -140,6 +141,7 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
 
     def sampled(batches):
+        only("langid")
         for batch in batches:
             for k, m in blocks(batch.column(0)):
                 cells = [np.nonzero(x)[0].astype(np.int32) for x in m]
@@ -147,6 +149,7 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
 
     def clustered(tab: pa.Table) -> pa.Table:
         """The centroids of one language and the cosines of its sampled rows to their nearest; about per_language rows."""
+        only("langid")
         name = tab.column("l")[0].as_py()
         x = np.zeros((tab.num_rows, DIMS), np.float32)
         for r, c, w in zip(x, tab.column("c"), tab.column("v")):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molframe.llm.common import KEPT_BY, cut, lean, table
+from molframe.llm.common import KEPT_BY, cut, lean, only, table
 
 GIANT = 65_536
 CHUNK = 16_384
@@ -361,6 +361,7 @@ KEPT_BY["sentencepiece"] = _loaded.clear
 
 def _model(held) -> PieceModel:
     """The worker's model, parsed once per broadcast."""
+    only("sentencepiece")
     if held.id not in _loaded:
         _loaded.clear()
         _loaded[held.id] = PieceModel(held.value)

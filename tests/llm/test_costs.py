@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from molframe.llm import lm, media, webp
+from molframe.llm import langid, lm, media, webp
 from molframe.llm.eliasfano import EliasFano
 
 
@@ -47,3 +47,18 @@ def test_words_are_looked_up_in_the_order_of_a_shard(monkeypatch):
     at = np.searchsorted(h, mixed)
     known = (at < len(h)) & (h[np.minimum(at, len(h) - 1)] == mixed)
     assert (ids == np.where(known, at, -1)).all() and ((n > 0) == known).all()
+
+
+def test_language_fit_lets_go_of_what_other_operators_keep(spark, monkeypatch, tmp_path):
+    """Every step of the fit begins by freeing tables that an earlier operator left in the worker, the tokenizer's above all."""
+    folder = str(tmp_path)
+
+    def told(name):
+        import sys
+
+        open(f"{folder}/{name}-{sys._getframe(1).f_code.co_name}", "w").close()
+
+    monkeypatch.setattr(langid, "only", told)
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
+    langid.fit(docs)
+    assert {p.name for p in tmp_path.iterdir()} == {"langid-frequencies", "langid-sampled", "langid-clustered"}
