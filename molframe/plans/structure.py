@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from molframe.operators.relational import with_neighbour
 from molframe.plans.system import System
 from molframe.runtime import cut
 from molframe.schema import PROTEIN
-from molframe.sources.pdb import ParsedPdb
+from molframe.sources.pdb import Later, ParsedPdb
 
 RID = ["chain", "number", "icode"]
 #: Order numbers of links start here that were appended or added, not read; those are no metadata by themselves.
@@ -84,15 +85,16 @@ class Structure:
 
     # -- edits --------------------------------------------------------------------------------
 
-    def _with(self, **tables) -> Structure:
-        return replace(self, parsed=replace(self.parsed, **tables))
+    def _with(self, **tables: Callable[[], DataFrame]) -> Structure:
+        """Other tables, given by what makes them: each is made when it is first read."""
+        return replace(self, parsed=self.parsed.replaced(**{k: Later(f) for k, f in tables.items()}))
 
     def set_positions(self, moved: DataFrame) -> Structure:
         """New x, y, z by (sid, serial); unknown serials are refused."""
         a = self.parsed.atoms
         require_none(violation(moved.join(a, ["sid", "serial"], "left_anti"), "invalid_pdb", F.col("serial"), F.concat(F.lit("atom "), F.col("serial").cast("string"), F.lit(" does not exist"))))
         m = moved.select("sid", "serial", *[F.col(c).alias(f"n{c}") for c in "xyz"])
-        return self._with(atoms=cut(a.join(m, ["sid", "serial"], "left").withColumns({c: F.coalesce(f"n{c}", c) for c in "xyz"}).select(*a.columns)))
+        return self._with(atoms=lambda: a.join(m, ["sid", "serial"], "left").withColumns({c: F.coalesce(f"n{c}", c) for c in "xyz"}).select(*a.columns))
 
     def rename_residues(self, names: DataFrame) -> Structure:
         """New names by (sid, chain, number, icode, new_name); unknown residues are refused."""
@@ -101,30 +103,33 @@ class Structure:
         missing = n.join(r, _same(r, n, "w_"), "left_anti")
         require_none(violation(missing.withColumnRenamed("w_sid", "sid"), "invalid_pdb", F.col("w_number"), F.concat(F.lit("residue "), "w_chain", F.lit(":"), F.col("w_number").cast("string"), F.coalesce("w_icode", F.lit("")), F.lit(" does not exist"))))
         out = r.join(n, _same(r, n, "w_"), "left").withColumn("name", F.coalesce("w_new_name", "name")).select(*r.columns)
-        return self._with(residues=cut(out))
+        return self._with(residues=lambda: out)
 
     def remove_residues_named(self, names: list[str]) -> Structure:
         """Residues of these names go, with their atoms and every declared bond that touches them."""
         p = self.parsed
         gone = cut(p.residues.where(F.col("name").isin(names)))
-        serials = p.atoms.join(gone.select("sid", "residue_idx"), ["sid", "residue_idx"], "left_semi").select("sid", "serial")
-        con = p.conect
-        for c in ("a", "b"):
-            con = con.join(serials.withColumnRenamed("serial", c), ["sid", c], "left_anti")
         g = gone.select(*[F.col(c).alias(f"g_{c}") for c in ["sid", *RID]])
+        keep = ["sid", "residue_idx"]
 
         def clear(df: DataFrame) -> DataFrame:
             for k in ("1", "2"):
                 df = df.join(g, _same(df, g, "g_", k), "left_anti")
-            return cut(df)
+            return df
+
+        def bonds() -> DataFrame:
+            serials = p.atoms.join(gone.select(*keep), keep, "left_semi").select("sid", "serial")
+            con = p.conect
+            for c in ("a", "b"):
+                con = con.join(serials.withColumnRenamed("serial", c), ["sid", c], "left_anti")
+            return con.select("sid", "a", "b")
 
-        keep = ["sid", "residue_idx"]
         return self._with(
-            residues=cut(p.residues.join(gone.select(*keep), keep, "left_anti")),
-            atoms=cut(p.atoms.join(gone.select(*keep), keep, "left_anti")),
-            conect=cut(con.select("sid", "a", "b")),
-            links=clear(p.links),
-            ssbonds=clear(p.ssbonds),
+            residues=lambda: p.residues.join(gone.select(*keep), keep, "left_anti"),
+            atoms=lambda: p.atoms.join(gone.select(*keep), keep, "left_anti"),
+            conect=bonds,
+            links=lambda: clear(p.links),
+            ssbonds=lambda: clear(p.ssbonds),
         )
 
     def append(self, other: Structure, chain: str) -> tuple[Structure, DataFrame, DataFrame]:
@@ -149,7 +154,7 @@ class Structure:
         residues = rmap.select("sid", F.col("new_idx").alias("residue_idx"), F.lit(chain).alias("chain"), F.col("new_number").alias("number"), null, "name")
         atoms = amap.join(rmap.select("sid", "residue_idx", "new_idx", "new_number"), ["sid", "residue_idx"]).select("sid", F.col("new_serial").alias("serial"), F.col("new_pos").alias("pos"), F.col("new_idx").alias("residue_idx"), "name", F.lit(chain).alias("chain"), F.col("new_number").alias("number"), null, "element", "x", "y", "z")
         s = amap.select("sid", "serial", "new_serial")
-        con = q.conect.join(s.toDF("sid", "a", "na"), ["sid", "a"]).join(s.toDF("sid", "b", "nb"), ["sid", "b"]).select("sid", F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+        con = lambda: q.conect.join(s.toDF("sid", "a", "na"), ["sid", "a"]).join(s.toDF("sid", "b", "nb"), ["sid", "b"]).select("sid", F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
         def carried(df: DataFrame, what: str) -> DataFrame:
             out, columns = df, df.columns
@@ -160,12 +165,14 @@ class Structure:
             changed = {f"chain{k}": F.lit(chain) for k in (1, 2)} | {f"number{k}": F.col(f"to{k}") for k in (1, 2)} | {f"icode{k}": F.lit(None).cast("string") for k in (1, 2)} | {"ord": F.col("ord") + APPENDED}
             return out.withColumns(changed).select(*columns)
 
+        # links and disulfides are checked here, whether or not they are read
+        links, ssbonds = carried(q.links, "LINK"), carried(q.ssbonds, "SSBOND")
         out = self._with(
-            atoms=cut(p.atoms.unionByName(atoms)),
-            residues=cut(p.residues.unionByName(residues)),
-            conect=cut(p.conect.unionByName(con).distinct()),
-            links=cut(p.links.unionByName(carried(q.links, "LINK"))),
-            ssbonds=cut(p.ssbonds.unionByName(carried(q.ssbonds, "SSBOND"))),
+            atoms=lambda: p.atoms.unionByName(atoms),
+            residues=lambda: p.residues.unionByName(residues),
+            conect=lambda: p.conect.unionByName(con()).distinct(),
+            links=lambda: p.links.unionByName(links),
+            ssbonds=lambda: p.ssbonds.unionByName(ssbonds),
         )
         return out, amap.select("sid", "serial", "new_serial"), rmap.select("sid", *RID, F.lit(chain).alias("new_chain"), "new_number")
 
@@ -177,7 +184,7 @@ class Structure:
             bad = bad.unionByName(pairs.join(have.withColumnRenamed("serial", c), ["sid", c], "left_anti").select("sid", F.col(c).alias("a")))
         require_none(violation(bad, "invalid_pdb", F.col("a"), F.lit("both ends of a bond have to be atoms of the structure, and not the same one")))
         new = pairs.select("sid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return self._with(conect=cut(self.parsed.conect.unionByName(new).distinct()))
+        return self._with(conect=lambda: self.parsed.conect.unionByName(new).distinct())
 
     def add_glycosylation_sites(self, sites: DataFrame) -> Structure:
         """Sites (sid, protein_*, glycan_*): each is recorded, its link is added unless it is there already."""
@@ -189,7 +196,7 @@ class Structure:
             on = on & link[c].eqNullSafe(p.links[c])
         new = link.join(p.links, on, "left_anti").select(*p.links.columns)
         kept = sites if self.extra_sites is None else self.extra_sites.unionByName(sites)
-        return replace(self._with(links=cut(p.links.unionByName(new))), extra_sites=kept)
+        return replace(self._with(links=lambda: p.links.unionByName(new)), extra_sites=kept)
 
     def update_from(self, s: System) -> Structure:
         """Positions of a prepared system's atoms, by residue and atom name; atoms that it added are ignored."""
@@ -197,7 +204,7 @@ class Structure:
         a = s.atoms.join(r, ["sid", "residue"]).select(*[F.col(c).alias(f"w_{c}") for c in ["sid", *RID, "name"]], *[F.col(c).alias(f"n{c}") for c in "xyz"])
         mine = self.parsed.atoms
         j = mine.join(a, _same(mine, a, "w_") & (mine["name"] == a["w_name"]), "left").withColumns({c: F.coalesce(f"n{c}", c) for c in "xyz"})
-        return self._with(atoms=cut(j.select(*mine.columns)))
+        return self._with(atoms=lambda: j.select(*mine.columns))
 
     # -- text ---------------------------------------------------------------------------------
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,12 +16,25 @@ from molframe.functions.order import total_order
 from molframe.functions.text import char_at, field, parsed
 from molframe.operators.relational import best_row, first_seen, part_rank, part_state, running_state
 from molframe.options import BuildOptions
+from molframe.runtime import cut
 from molframe.schema import ATOM_FIELDS, LINK_FIELDS, PROTEIN, SSBOND_FIELDS
 
 #: Characters of a text beyond which a structure is no longer read by one task.
 GIANT = 50_000_000
 
 
+class Later:
+    """A table that is made and kept (`cut`) when it is first read, so that one that nothing reads is never made."""
+
+    def __init__(self, plan: Callable[[], DataFrame]):
+        self.plan, self.df = plan, None
+
+    def made(self) -> DataFrame:
+        if self.df is None:
+            self.df = cut(self.plan())
+        return self.df
+
+
 @dataclass
 class ParsedPdb:
     """Tables of the selected model.
@@ -37,6 +52,16 @@ class ParsedPdb:
     warnings: DataFrame
     violations: DataFrame
 
+    def __getattribute__(self, name: str):
+        v = object.__getattribute__(self, name)
+        return v.made() if isinstance(v, Later) else v
+
+    def replaced(self, **tables) -> ParsedPdb:
+        """The same with other tables, or a `Later`; none of them is read."""
+        out = copy(self)
+        vars(out).update(tables)
+        return out
+
     def chains(self) -> DataFrame:
         return self.residues.groupBy("sid").agg(F.array_sort(F.collect_set("chain")).alias("chains"))
 
@@ -54,7 +79,9 @@ def texts(spark: SparkSession, named: dict[str, str]) -> DataFrame:
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """(sid, line_no from 1, line)."""
     lines = F.split(F.regexp_replace("text", r"\n$", ""), "\n")
-    return docs.select("sid", F.posexplode(lines).alias("line_no", "line")).select("sid", F.col("line_no") + 1, F.when(F.col("line").contains("\r"), F.regexp_replace("line", "\r$", "")).otherwise(F.col("line")).alias("line")).toDF("sid", "line_no", "line")
+    # asked once of a text and not of every line
+    lines = F.when(F.col("text").contains("\r"), F.transform(lines, lambda x: F.regexp_replace(x, "\r$", ""))).otherwise(lines)
+    return docs.select("sid", F.posexplode(lines).alias("line_no", "line")).select("sid", F.col("line_no") + 1, "line").toDF("sid", "line_no", "line")
 
 
 def with_models(lines: DataFrame, large: bool = False) -> DataFrame:
@@ -95,8 +122,8 @@ def _ends(df: DataFrame, fields, icodes) -> DataFrame:
     return df.where(ok).select("sid", F.col("line_no").alias("ord"), *cols, *[char_at(line, i).alias(n) for n, i in icodes])
 
 
-def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = False, giant: int = GIANT) -> ParsedPdb:
-    """Tables of `docs` (sid, text). Problems become violations; with `strict` the first is raised.
+def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = False, giant: int = GIANT, keep: bool = False) -> ParsedPdb:
+    """Tables of `docs` (sid, text). Problems become violations; with `strict` the first is raised. With `keep` texts are gone through twice and the tables kept.
 
     Where a text has over `giant` characters, models, ranks and residue numbers are found by ranges of a structure's lines and atoms; else a structure is one task."""
     o = options or BuildOptions()
@@ -144,15 +171,22 @@ def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = F
         residues = first_seen(ordered, rkey[:1], rkey[1:], "pos", {"name": F.col("residue_name")}, "residue_idx").select("sid", "residue_idx", "chain", "number", "icode", "name")
         atoms = ordered.withColumn("__first", F.min("pos").over(W.partitionBy(*rkey))).withColumn("residue_idx", F.dense_rank().over(W.partitionBy("sid").orderBy("__first")) - 1)
         # as by the join of before, no atom without a chain or a number is in a residue
+        if keep:
+            atoms = cut(atoms.select("sid", "serial", "pos", "residue_idx", "name", "chain", "number", "icode", "element", "x", "y", "z", "__first", "residue_name"))
+            residues = atoms.where("pos = __first").select("sid", "residue_idx", "chain", "number", "icode", F.col("residue_name").alias("name"))
         atoms = atoms.where("chain IS NOT NULL AND number IS NOT NULL")
     atoms = atoms.select("sid", "serial", "pos", "residue_idx", "name", "chain", "number", "icode", "element", "x", "y", "z")
 
     chunks = F.transform(F.sequence(F.lit(7), F.greatest(F.length("line"), F.lit(7)), F.lit(5)), lambda i: F.trim(F.substring("line", i, F.lit(5))).try_cast("long"))
     serials = F.filter(chunks, lambda x: x.isNotNull())
-    stars = mine("CONECT").select("sid", serials.alias("s")).where(F.size("s") > 1)
+    others = mine("CONECT", "LINK  ", "SSBOND")
+    if keep:
+        others = cut(others.select("sid", "line_no", "line"))
+    only = lambda kind: others.where(line.startswith(kind))
+    stars = only("CONECT").select("sid", serials.alias("s")).where(F.size("s") > 1)
     conect = stars.select("sid", F.col("s")[0].alias("f"), F.explode(F.slice("s", F.lit(2), F.size("s") - 1)).alias("t")).select("sid", F.least("f", "t").alias("a"), F.greatest("f", "t").alias("b")).distinct()
-    links = _ends(mine("LINK  "), LINK_FIELDS, [("icode1", 26), ("icode2", 56)])
-    ssbonds = _ends(mine("SSBOND"), SSBOND_FIELDS, [("icode1", 21), ("icode2", 35)])
+    links = _ends(only("LINK  "), LINK_FIELDS, [("icode1", 26), ("icode2", 56)])
+    ssbonds = _ends(only("SSBOND"), SSBOND_FIELDS, [("icode1", 21), ("icode2", 35)])
 
     empty = docs.select("sid").join(ordered.select("sid").distinct(), "sid", "left_anti")
     problems = problems.unionByName(violation(empty, "invalid_pdb", F.col("sid"), F.lit("nothing but hydrogen, or nothing, is in the model")))
@@ -162,6 +196,10 @@ def parse(docs: DataFrame, options: BuildOptions | None = None, strict: bool = F
     warnings = warnings.unionByName(violation(counts.where("kept > 0"), "input_glycan_hydrogens_preserved", F.col("sid"), text("kept", " hydrogens of sugars keep their places where the template has them")))
     place = F.concat(F.col("chain"), F.lit(":"), F.col("number").cast("string"), F.coalesce("icode", F.lit(" ")), F.lit(" "), F.col("name"), F.lit(": selected "), F.coalesce("altloc", F.lit(" ")))
     warnings = warnings.unionByName(violation(ordered.where("candidates > 1"), "alternate_location_selected", F.col("name"), place))
+    if keep:
+        conect, links, ssbonds = (Later(lambda t=t: t) for t in (conect, links, ssbonds))
+        if large:
+            atoms, residues = cut(atoms), cut(residues)
     if strict:
         require_none(problems)
     return ParsedPdb(atoms, residues, conect, links, ssbonds, warnings, problems)
