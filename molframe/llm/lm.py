@@ -23,10 +23,11 @@ from __future__ import annotations
 import itertools
 import os
 import uuid
-from collections import OrderedDict, defaultdict
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -50,17 +51,27 @@ _TOP = U64(24)
 def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct tokens, number of each token, starts): of every text START, its words, END; A-Z is lower-cased here."""
     # words are numbered in the order of their first use, START and END before them
-    of, out, size = defaultdict(itertools.count(2).__next__, {b"\r": 0, b"\n": 1}), [], []
-    at = of.__getitem__
-    for t in texts:
-        w = t.lower().split()
-        x = np.ones(len(w) + 2, np.int64)
-        x[0] = 0
-        x[1:-1] = np.fromiter(map(at, w), np.int64, len(w))
-        out.append(x)
-        size.append(len(x))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, of, itertools.repeat(SEED)), U64, len(of))
-    return hashes, np.concatenate([*out, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(_strings(texts)))
+    words, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    # blanks before the first word and after the last one leave an empty word
+    full = pc.binary_length(words).to_numpy() > 0
+    if not full.all():
+        words, at = words.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[at]
+    words = words.dictionary_encode()
+    starts = at + 2 * np.arange(len(at))
+    x = np.empty(starts[-1], np.int64)
+    x[starts[:-1]], x[starts[1:] - 1] = 0, 1
+    inner = np.ones(len(x), bool)
+    inner[starts[:-1]] = inner[starts[1:] - 1] = False
+    x[inner] = words.indices.to_numpy() + np.int64(2)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, itertools.chain((b"\r", b"\n"), words.dictionary.cast(pa.binary()).to_pylist()), itertools.repeat(SEED)), U64, len(words.dictionary) + 2)
+    return hashes, x, starts
+
+
+def _strings(texts) -> pa.Array:
+    """Bytes as strings, whether or not they are UTF-8: only bytes below 128 are looked at."""
+    a = pa.array(texts, pa.large_binary())
+    return pa.Array.from_buffers(pa.large_string(), len(a), [None, *a.buffers()[1:]])
 
 
 def _batches(batches):
@@ -104,12 +115,17 @@ def _codes(x: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-np.log10(np.maximum(x, 1e-12)) * STEP), 0, 65535).astype(np.uint16)
 
 
+_VALUES = 10.0 ** (np.arange(1 << 16) / -STEP)
+
+
 def _value(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code / -STEP)
+    return _VALUES[code]
 
 
 def _runs(s: np.ndarray):
     """(value, places) of each value of s, places in order."""
+    if len(s) and s.max() < 1 << 15:
+        s = s.astype(np.int16)  # sorted by radix
     order = np.argsort(s, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(s[order])) + 1):
         if len(part):
