@@ -15,6 +15,7 @@ from molframe.errors import require_none, violation
 from molframe.functions.geometry import distance2, vec
 from molframe.functions.mixing import splitmix64, unsigned_order
 from molframe.functions.order import total_order_np
+from molframe.operators import radius
 from molframe.operators.radius import without_near
 from molframe.options import BuildOptions
 from molframe.plans.prepare import ForceField
@@ -95,9 +96,9 @@ def site_potential(sites: DataFrame, charges: DataFrame, ident: str, part: Seque
     """(part, ident, potential) of every site: the sum of charge / distance over the charges of its part, distances of FLOOR at least; 0 without any.
 
     Quadratic by definition. Sites and charges of a part are dealt over tiles of about `tile` rows each, by counts taken first, and a key is a
-    pair of tiles, so a large part is many tasks of bounded size; the partial sums are then added up by site."""
+    pair of tiles, so a large part is many tasks of bounded size; the partial sums are then added up by site. Tiles of a large part are larger (`radius.tiles`)."""
     p = list(part)
-    count = lambda df, name: df.groupBy(*p).agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    count = lambda df, name: df.groupBy(*p).agg(radius.tiles(F.count("*"), tile, max(tile, TILE)).alias(name))
     n = cut(count(sites, "__s").join(count(charges, "__c"), p)) if p else cut(count(sites, "__s").crossJoin(F.broadcast(count(charges, "__c"))))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     meet = (lambda df: df.join(n, p)) if p else (lambda df: df.crossJoin(F.broadcast(n)))
